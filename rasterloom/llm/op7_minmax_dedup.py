@@ -194,6 +194,15 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
 
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of df, all columns, whose document is kept; of rows with the same id and text each stays where that document does."""
+    verdict = near_duplicates(df, id_col, text_col)
+    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    left = rows.join(gone, F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return left.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
+
+
 def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -201,7 +210,8 @@ def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: The contract's rows in DuckDB's SQL: all pairs of distinct sets that share a shingle, then the least id that can be reached.
 OP7_SQL = r"""
 WITH RECURSIVE w AS MATERIALIZED (
-  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-]+'), x -> x <> '') AS words FROM documents),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
+]+'), x -> x <> '') AS words FROM documents),
 s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
     ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')))) END AS shingles FROM w),
