@@ -6,8 +6,9 @@ all of them with a probability of about (1 - 0.75^6)^80 = 1.5e-7. Links are conf
 
 Groups of copies stay cheap. Documents with equal sets are one class from the start. A class is compared with the
 centre of each bucket it is in, the class whose bands meet most others; what is then in one component needs no more comparisons.
-Only pairs of a bucket whose two components still differ are compared too, once each and only where the signatures
-leave the threshold possible, so no link between components is lost.
+Only pairs of a bucket whose two components still differ are compared too, once each. Before full sets are moved, odd
+sketches (bits that flip with each element) rule out pairs: sketches never differ in more bits than the sets do in
+elements, so no link between components is lost.
 
 Defined results: null, empty or blank texts have an empty set and link with nothing; fewer than five words are one
 shingle; repeated rows each get a row; rows with a null id take part as documents of their own without being a
@@ -22,15 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import cut, documents, own
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
-#: A pair at the threshold differs in an eighth of the signature's lowest bits; five standard deviations more are out of the question.
-DEVIATIONS = 5
+#: Longs of the odd sketch of a set.
+SKETCH = 32
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -81,48 +82,42 @@ class MinMax:
         return out.view(np.int64)
 
 
-def lowest_bits(signature: np.ndarray) -> np.ndarray:
-    packed = np.packbits((signature & np.uint32(1)).astype(np.uint8))
-    return np.pad(packed, (0, -len(packed) % 8)).view(np.int64)
-
-
-def most_differing_bits(values: int) -> int:
-    p = (1 - THRESHOLD / 100) / 2
-    return round(values * p + DEVIATIONS * (values * p * (1 - p)) ** 0.5)
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """A bit per slot that an odd number of hashes falls into. Two sketches differ in at most as many bits as their sets in elements."""
+    counts = np.bincount((hashes % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles long, set_key binary (null for an empty set), bands array<long>, bits array<long> (the lowest bit of each signature value)."""
+    """doc_id, n_shingles long, set_key binary (null for an empty set), bands array<long>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minmax = MinMax(bands, rows)
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                n, key, band, bits = [], [], [], []
+                n, key, band = [], [], []
                 for text in part.column(1).to_pylist():
                     hashes = shingle_set(text, words)
                     n.append(len(hashes))
                     key.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
-                    signature = minmax.signature(hashes) if len(hashes) else None
-                    band.append(minmax.keys(signature) if len(hashes) else None)
-                    bits.append(lowest_bits(signature) if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands", "bits"])
+                    band.append(minmax.keys(minmax.signature(hashes)) if len(hashes) else None)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
 
-    return own(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, bits array<long>")
+    return own(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
 
 
 def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
-    """set_key binary, hashes array<long> of doc_id, text; texts without words are left out."""
+    """set_key binary, hashes, sketch array<long> of doc_id, text; texts without words are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 sets = [x for x in (shingle_set(t, words) for t in batch.column(1).slice(start, 1000).to_pylist()) if len(x)]
                 keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64()))], ["set_key", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64()))], ["set_key", "hashes", "sketch"])
 
-    return df.mapInArrow(run, "set_key binary, hashes array<long>")
+    return df.mapInArrow(run, "set_key binary, hashes array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -143,9 +138,21 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _differing() -> Column:
+    """Bits in which sketch_a and sketch_b differ."""
+    return sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+
+
+def possible() -> Column:
+    """Whether sets of n_a and n_b elements with sketch_a and sketch_b can meet the threshold: sets that do differ in at most (n_a + n_b) (1 - t) / (1 + t) elements."""
+    return (100 + THRESHOLD) * _differing() <= (100 - THRESHOLD) * (F.col("n_a") + F.col("n_b"))
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose full sets meet the threshold."""
-    a, b = sets.select(F.col("node").alias("a"), F.col("hashes").alias("set_a")), sets.select(F.col("node").alias("b"), F.col("hashes").alias("set_b"))
+    a, b = (sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
+    pairs = pairs.join(a, "a").join(b, "b").where(possible()).select("a", "b")
+    a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
     common = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
     return common.where(f"100 * common >= {THRESHOLD} * (n_a + n_b - common)").select("a", "b")
 
@@ -155,7 +162,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     docs = own(df, id_col, text_col)
     found = cut(features(docs, "doc_id", "text", words, bands, rows))
     classes = cut(
-        found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"), F.first("bits").alias("bits")).withColumn("node", F.monotonically_increasing_id())
+        found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     )
     entries = classes.select("node", F.explode("bands").alias("key"))
     buckets = cut(entries.groupBy("key").count().where("count > 1"))
@@ -165,23 +172,21 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centres = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
     first_pairs = shared.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-    members = met.join(classes, "node").select("node", "set_key", "first_id", "bands", "bits")
+    members = met.join(classes, "node").select("node", "set_key", "first_id", "bands")
     texts = docs.join(members.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = cut(shingle_sets(texts, words).groupBy("set_key").agg(F.first("hashes").alias("hashes")).join(members.select("set_key", "node"), "set_key").select("node", "hashes"))
+    sets = cut(shingle_sets(texts, words).groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")).join(members.select("set_key", "node"), "set_key").select("node", F.size("hashes").alias("n"), "hashes", "sketch"))
     edges = cut(linked(first_pairs, sets))
     labels = components(edges)
 
     # What is left: pairs of a bucket in different components.
-    labelled = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands", "bits")
+    labelled = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands")
     placed = shared.select("key", "node").join(labelled.select("node", "label"), "node")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key").select("key", "node").join(labelled, "node")
-    left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "label", "bands", "bits"))) for side in "ab")
-    n_bits = bands * rows
-    differing = sum((F.bit_count(F.get("bits_a", F.lit(i)).bitwiseXOR(F.get("bits_b", F.lit(i)))) for i in range(-(-n_bits // 64))), F.lit(0))
+    rest = placed.join(mixed, "key").select("key", "node").join(labelled, "node").join(sets.select("node", "n", "sketch"), "node")
+    left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "label", "bands", "n", "sketch"))) for side in "ab")
     once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
     more_pairs = (
-        left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & (differing <= most_differing_bits(n_bits)) & once)
+        left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible() & once)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(first_pairs, ["a", "b"], "left_anti")
     )
     more_edges = cut(linked(more_pairs, sets))
