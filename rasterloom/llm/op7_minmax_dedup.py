@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import cut, documents, own
+from .shared import bit_set, cut, documents, in_bit_set, own
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -172,8 +172,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     centres = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
     first_pairs = shared.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
 
-    members = met.join(classes, "node").select("node", "set_key", "first_id", "bands")
-    texts = docs.join(members.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    members = cut(met.join(classes, "node").select("node", "set_key", "first_id", "bands"))
+    candidates = members.select(F.col("first_id").alias("doc_id")).distinct()
+    texts = docs.where(in_bit_set(bit_set(candidates, "doc_id"), "doc_id")).join(members.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
     sets = cut(shingle_sets(texts, words).groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")).join(members.select("set_key", "node"), "set_key").select("node", F.size("hashes").alias("n"), "hashes", "sketch"))
     edges = cut(linked(first_pairs, sets))
     labels = components(edges)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..packaging import ship
 
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
+#: Longs of a bit set; its size doesn't depend on the rows in it.
+BIT_WORDS = 1 << 15
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,3 +44,22 @@ def own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own: extra columns, whatever they are called, stay out."""
     ship(df.sparkSession)
     return df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+
+def _bit(*columns: str) -> tuple[Column, Column]:
+    h = F.pmod(F.xxhash64(*columns), F.lit(64 * BIT_WORDS))
+    return F.shiftright(h, 6).cast("int"), h.bitwiseAND(63).cast("int")
+
+
+def bit_set(rows: DataFrame, *columns: str) -> np.ndarray:
+    """A bit for the hash of each row's columns; BIT_WORDS longs, whatever the number of rows. A filter before a semi-join, which stays exact: the set only rules out."""
+    word, bit = _bit(*columns)
+    out = np.zeros(BIT_WORDS, np.int64)
+    for r in rows.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) x").groupBy("w").agg(F.bit_or("x").alias("x")).collect():
+        out[r["w"]] = r["x"]
+    return out
+
+
+def in_bit_set(bits: np.ndarray, *columns: str) -> Column:
+    word, bit = _bit(*columns)
+    return F.getbit(F.get(F.lit(bits), word), bit) == 1
