@@ -55,11 +55,16 @@ def bit_set(rows: DataFrame, *columns: str) -> np.ndarray:
     """A bit for the hash of each row's columns; BIT_WORDS longs, whatever the number of rows. A filter before a semi-join, which stays exact: the set only rules out."""
     word, bit = _bit(*columns)
     out = np.zeros(BIT_WORDS, np.int64)
-    for r in rows.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) x").groupBy("w").agg(F.bit_or("x").alias("x")).collect():
-        out[r["w"]] = r["x"]
+    found = rows.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most BIT_WORDS rows
+    out[found.column("w").to_numpy()] = found.column("x").to_numpy()
     return out
 
 
 def in_bit_set(bits: np.ndarray, *columns: str) -> Column:
     word, bit = _bit(*columns)
-    return F.getbit(F.get(F.lit(bits), word), bit) == 1
+    return F.getbit(F.get(array_literal(bits), word), bit) == 1
+
+
+def array_literal(values: np.ndarray) -> Column:
+    """Whole numbers as one array of longs, which the optimizer folds to a literal; handed over as one string, not number by number."""
+    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
