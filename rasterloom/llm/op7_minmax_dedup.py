@@ -203,9 +203,10 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, whose document is kept; of rows with the same id and text each stays where that document does."""
     verdict = near_duplicates(df, id_col, text_col)
-    gone = verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
-    left = rows.join(gone, F.col(f"row.`{id_col}`").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    gone = cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
+    may_go = in_bit_set(bit_set(gone, "gone_id"), "gone_id")  # of the rest no text moves
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).withColumn("gone_id", F.col(f"row.`{id_col}`").cast("long"))
+    left = rows.where(~may_go).select("row").union(rows.where(may_go).join(gone.withColumnRenamed("gone_id", "g"), F.col("gone_id").eqNullSafe(F.col("g")), "left_anti").select("row"))
     return left.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 

@@ -1,7 +1,6 @@
 """Operators 2 and 7 against brute force, and their odd cases."""
 
 import collections
-import itertools
 import random
 
 import numpy as np
@@ -9,32 +8,11 @@ import numpy as np
 from rasterloom.llm.op2_line_dedup import deduplicate, op2_line_dedup
 from rasterloom.llm.op7_minmax_dedup import MinMax, components, keep_one, near_duplicates, odd_sketch, op7_minmax_dedup, shingle_set
 
-
-def shingles(text, n=5):
-    w = (text or "").encode().lower().split()
-    return frozenset(tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))) if w else frozenset()
-
-
-def groups(texts):
-    """doc_id to least reachable id, by all pairs."""
-    sets = {d: shingles(t) for d, t in texts.items()}
-    up = {d: d for d in texts}
-
-    def find(x):
-        while up[x] != x:
-            x = up[x]
-        return x
-
-    for a, b in itertools.combinations(sorted(texts), 2):
-        both = len(sets[a] & sets[b])
-        if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
-            a, b = find(a), find(b)
-            up[max(a, b)] = min(a, b)
-    return {d: find(d) for d in texts}, sets
+from helpers import line_oracle, near_groups
 
 
 def test_near_duplicates_query(spark, data, texts):
-    want, sets = groups(texts)
+    want, sets = near_groups(texts)
     got = {r["doc_id"]: r for r in op7_minmax_dedup(spark, data).collect()}
     assert {d: (r["n_shingles"], r["component_id"], r["kept"]) for d, r in got.items()} == {d: (len(sets[d]), want[d], want[d] == d) for d in texts}
 
@@ -55,7 +33,7 @@ def test_chains_and_large_groups(spark):
     """Groups whose members mostly resemble their original only, and exact copies."""
     all_of = variants(1, 90, 120, 9) + variants(2, 60, 40, 4) + ["copy of one text with some words"] * 30 + ["Copy OF one text with\tsome  words"] * 5 + ["two words", "two  words", "words two"]
     texts = dict(enumerate(all_of))
-    want, _ = groups(texts)
+    want, _ = near_groups(texts)
     got = near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in got} == want and len(set(want.values())) > 3
 
@@ -97,21 +75,6 @@ def test_components(spark):
     assert all(labels[i] == 0 for i in range(41)) and labels[119] == 100 and labels[201] == 200
 
 
-def line_oracle(texts):
-    lines = [(d, i, frozenset(x for x in l.split() if x)) for d in sorted(texts) for i, l in enumerate((texts[d] or "").split("\n"))]
-    lines = [l for l in lines if len(l[2]) >= 5]
-    out = {}
-    for k, (d, i, s) in enumerate(lines):
-        links, removed = 0, False
-        for j, (_, _, t) in enumerate(lines):
-            both = len(s & t)
-            if j != k and 100 * both >= 75 * (len(s) + len(t) - both):
-                links, removed = links + 1, removed or j < k
-        if links:
-            out[(d, i)] = (links, removed)
-    return out
-
-
 def check_lines(rows, texts):
     want = line_oracle(texts)
     got = {}
