@@ -218,16 +218,16 @@ def op7_minmax_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP7_SQL = r"""
 WITH RECURSIVE w AS MATERIALIZED (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ 	-
-]+'), x -> x <> '') AS words FROM documents),
+]+'), lambda x: x <> '') AS words FROM documents),
 s AS MATERIALIZED (
   SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i + 4], ' ')))) END AS shingles FROM w),
+    ELSE list_sort(list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(list_slice(words, i, i + 4), ' ')))) END AS shingles FROM w),
 c AS MATERIALIZED (SELECT shingles, min(doc_id) AS id, len(shingles) AS n FROM s WHERE len(shingles) > 0 GROUP BY shingles),
 x AS MATERIALIZED (SELECT id, n, unnest(shingles) AS shingle FROM c),
 e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.id < b.id AND 100 * least(a.n, b.n) >= 75 * greatest(a.n, b.n) GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
 both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
-reach AS (SELECT id, id AS at FROM c UNION SELECT r.id, t.b FROM reach r JOIN both_ways t ON r.at = t.a),
-comp AS MATERIALIZED (SELECT id, min(at) AS component_id FROM reach GROUP BY id)
+reach AS (SELECT id, id AS node FROM c UNION SELECT r.id, t.b FROM reach r JOIN both_ways t ON r.node = t.a),
+comp AS MATERIALIZED (SELECT id, min(node) AS component_id FROM reach GROUP BY id)
 SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(comp.component_id, s.doc_id) AS component_id, s.doc_id = coalesce(comp.component_id, s.doc_id) AS kept
 FROM s LEFT JOIN c ON s.shingles = c.shingles LEFT JOIN comp ON comp.id = c.id
 """

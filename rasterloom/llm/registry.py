@@ -1,7 +1,7 @@
 """The queries of this subpackage and their SQL."""
 
 from .op1_secret_scan import op1_secret_scan
-from .op2_line_dedup import op2_line_dedup
+from .op2_line_dedup import OP2_SQL, op2_line_dedup
 from .op3_bpe_codec import op3_bpe_codec
 from .op4_token_records import op4_token_records
 from .op5_stupid_backoff import op5_stupid_backoff
@@ -12,7 +12,7 @@ from .op9_chroma_fingerprint import op9_chroma_fingerprint
 from .op10_language_id import op10_language_id
 
 QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_line_dedup, op3_bpe_codec, op4_token_records, op5_stupid_backoff, op6_best_fit_packing, op7_minmax_dedup, op8_quality_outliers, op9_chroma_fingerprint, op10_language_id)}
-SQL = {"op7_minmax_dedup": OP7_SQL}
+SQL = {"op2_line_dedup": OP2_SQL, "op7_minmax_dedup": OP7_SQL}
 
 
 def pipeline(spark, sf_dir):

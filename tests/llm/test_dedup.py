@@ -79,8 +79,11 @@ def check_lines(rows, texts):
     want = line_oracle(texts)
     got = {}
     for r in rows:
-        gone = {m["line"] for m in r["matched"] or [] if m["removed"]}
-        got |= {(r["doc_id"], m["line"]): (m["n_links"], m["removed"]) for m in r["matched"] or []}
+        lines = r["matched"] or []
+        if isinstance(lines, str):
+            lines = [dict(zip(("line", "class_doc", "class_line", "n_links", "removed"), (*map(int, m.split(":")[:4]), m.endswith("true")))) for m in lines.split(",")]
+        gone = {m["line"] for m in lines if m["removed"]}
+        got |= {(r["doc_id"], m["line"]): (m["n_links"], m["removed"]) for m in lines}
         text = texts[r["doc_id"]]
         if "clean" in r:
             assert r["clean"] == (None if text is None else "\n".join(l for i, l in enumerate(text.split("\n")) if i not in gone))
