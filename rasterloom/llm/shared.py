@@ -13,7 +13,7 @@ from ..packaging import ship
 #: ASCII white space that separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD_SPACE = r"[\x20\x09-\x0D]+"
 #: Longs of a bit set; its size doesn't depend on the rows in it.
-BIT_WORDS = 1 << 15
+BIT_WORDS = 1 << 14
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
