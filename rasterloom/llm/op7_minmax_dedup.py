@@ -30,8 +30,8 @@ from .shared import bit_set, cut, documents, in_bit_set, own
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
-#: Longs of the odd sketch of a set.
-SKETCH = 32
+#: Longs of the odd sketch of a set, and of the shorter one that goes with the entries of buckets.
+SKETCH, SHORT = 32, 8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -138,20 +138,27 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _differing() -> Column:
-    """Bits in which sketch_a and sketch_b differ."""
-    return sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(SKETCH)), F.lit(0))
+def shorter(sketch: str) -> Column:
+    """The odd sketch of the same set with SHORT longs: slots that are equal modulo its bits flip together."""
+    def folded(i: int) -> Column:
+        out = F.get(sketch, F.lit(i))
+        for k in range(i + SHORT, SKETCH, SHORT):
+            out = out.bitwiseXOR(F.get(sketch, F.lit(k)))
+        return out
 
+    return F.array(*map(folded, range(SHORT)))
 
-def possible() -> Column:
+
+def possible(longs: int) -> Column:
     """Whether sets of n_a and n_b elements with sketch_a and sketch_b can meet the threshold: sets that do differ in at most (n_a + n_b) (1 - t) / (1 + t) elements."""
-    return (100 + THRESHOLD) * _differing() <= (100 - THRESHOLD) * (F.col("n_a") + F.col("n_b"))
+    differing = sum((F.bit_count(F.get("sketch_a", F.lit(i)).bitwiseXOR(F.get("sketch_b", F.lit(i)))) for i in range(longs)), F.lit(0))
+    return (100 + THRESHOLD) * differing <= (100 - THRESHOLD) * (F.col("n_a") + F.col("n_b"))
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Of the pairs (a, b) of nodes, those whose full sets meet the threshold."""
     a, b = (sets.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sketch").alias(f"sketch_{s}")) for s in "ab")
-    pairs = pairs.join(a, "a").join(b, "b").where(possible()).select("a", "b")
+    pairs = pairs.join(a, "a").join(b, "b").where(possible(SKETCH)).select("a", "b")
     a, b = (sets.select(F.col("node").alias(s), F.col("hashes").alias(f"set_{s}")) for s in "ab")
     common = pairs.join(a, "a").join(b, "b").select("a", "b", F.size("set_a").alias("n_a"), F.size("set_b").alias("n_b"), F.size(F.array_intersect("set_a", "set_b")).alias("common"))
     return common.where(f"100 * common >= {THRESHOLD} * (n_a + n_b - common)").select("a", "b")
@@ -179,15 +186,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     edges = cut(linked(first_pairs, sets))
     labels = components(edges)
 
-    # What is left: pairs of a bucket in different components.
-    labelled = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "bands")
+    # What is left: pairs of a bucket in different components. Entries carry half of each key, to compare a pair in its
+    # first common bucket only, and short sketches; the full sketches follow in `linked`.
+    half = lambda key: F.shiftright(key, 32).cast("int")
+    labelled = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.transform("bands", half).alias("bands"))
     placed = shared.select("key", "node").join(labelled.select("node", "label"), "node")
     mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key").select("key", "node").join(labelled, "node").join(sets.select("node", "n", "sketch"), "node")
+    rest = placed.join(mixed, "key").select("key", "node").join(labelled, "node").join(sets.select("node", "n", shorter("sketch").alias("sketch")), "node")
     left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "label", "bands", "n", "sketch"))) for side in "ab")
-    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == F.col("key")
+    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == half(F.col("key"))
     more_pairs = (
-        left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible() & once)
+        left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible(SHORT) & once)
         .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(first_pairs, ["a", "b"], "left_anti")
     )
     more_edges = cut(linked(more_pairs, sets))
