@@ -66,11 +66,15 @@ def base_spans(text: Column) -> dict[str, Column]:
     return {kind: spans(text, pattern, i, long_enough if kind == "assign" else None) for i, (kind, pattern) in enumerate(BASE.items())}
 
 
+def _let(value: Column, f) -> Column:
+    """f(value), where value is one node of the expression however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _normal_tail(z: Column) -> Column:
     """P(Z > z) of a standard normal, for z >= 0, by a rational approximation good to 1e-7."""
-    t = 1.0 / (1.0 + 0.2316419 * z)
-    series = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * series
+    series = lambda t: t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
+    return F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * _let(1.0 / (1.0 + 0.2316419 * z), series)
 
 
 def encoding_of(token: Column) -> Column:
@@ -85,28 +89,33 @@ def randomness(token: Column, encoding: Column) -> Column:
     alphabet = F.lit("")
     for name, (symbols, _) in ENCODINGS.items():
         alphabet = F.when(encoding == name, F.lit(symbols)).otherwise(alphabet)
-    body = F.rtrim(token, F.lit("="))
-    n, k = F.length(body).cast("double"), F.length(alphabet).cast("double")
-    codes = F.transform(F.split(body, ""), lambda c: (F.instr(alphabet, c) - 1).cast("double"))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
-    # Uniformity: chi-squared of the symbol counts, its tail by the cube-root law.
-    squares = total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda x: x == c)).cast("double"), 2.0)))
-    df = k - 1
-    chi = F.greatest(squares * k / n - n, F.lit(0.0))
-    z_chi = (F.pow(chi / df, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
-    p_chi = F.when(z_chi >= 0, _normal_tail(z_chi)).otherwise(1.0 - _normal_tail(-z_chi))
-    # Runs above and below the alphabet's middle.
-    high = F.transform(codes, lambda c: c >= k / 2)
-    pairs = F.zip_with(F.slice(high, 1, F.size(high) - 1), F.slice(high, 2, F.size(high) - 1), lambda a, b: F.when(a != b, F.lit(1.0)).otherwise(F.lit(0.0)))
-    changes = total(pairs)
-    z_runs = F.abs(changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
-    # Serial correlation of neighbours around the alphabet's mean.
-    mean, variance = (k - 1) / 2, (k * k - 1) / 12
-    products = F.zip_with(F.slice(codes, 1, F.size(codes) - 1), F.slice(codes, 2, F.size(codes) - 1), lambda a, b: (a - mean) * (b - mean))
-    z_serial = F.abs(total(products)) / (F.sqrt(n - 1) * variance)
-    tails = [F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)) for p in (p_chi, 2 * _normal_tail(z_runs), 2 * _normal_tail(z_serial))]
-    half = -sum((F.log(p) for p in tails[1:]), F.log(tails[0]))
-    return F.exp(-half) * (1 + half + half * half / 2)
+
+    def coded(x: Column) -> Column:
+        codes = F.transform(F.split(x["body"], ""), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
+        return F.struct(F.length(x["body"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), codes.alias("codes"))
+
+    def joint(x: Column) -> Column:
+        n, k, codes = x["n"], x["k"], x["codes"]
+        before, after = (lambda xs: F.slice(xs, 1, F.size(xs) - 1)), (lambda xs: F.slice(xs, 2, F.size(xs) - 1))
+        # Uniformity: chi-squared of the symbol counts, its tail by the cube-root law.
+        squares = total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda y: y == c)).cast("double"), 2.0)))
+        df = k - 1
+        chi = F.greatest(squares * k / n - n, F.lit(0.0))
+        z_chi = (F.pow(chi / df, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
+        p_chi = _let(z_chi, lambda z: F.when(z >= 0, _normal_tail(z)).otherwise(1.0 - _normal_tail(-z)))
+        # Runs above and below the alphabet's middle.
+        high = F.transform(codes, lambda c: c >= k / 2)
+        changes = _let(high, lambda h: total(F.zip_with(before(h), after(h), lambda a, b: F.when(a != b, F.lit(1.0)).otherwise(F.lit(0.0)))))
+        z_runs = F.abs(changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        # Serial correlation of neighbours around the alphabet's mean.
+        mean, variance = (k - 1) / 2, (k * k - 1) / 12
+        z_serial = F.abs(total(F.zip_with(before(codes), after(codes), lambda a, b: (a - mean) * (b - mean)))) / (F.sqrt(n - 1) * variance)
+        tails = [F.greatest(F.least(p, F.lit(1.0)), F.lit(1e-12)) for p in (p_chi, 2 * _let(z_runs, _normal_tail), 2 * _let(z_serial, _normal_tail))]
+        half = -sum((F.log(p) for p in tails[1:]), F.log(tails[0]))
+        return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
+
+    return _let(_let(F.struct(F.rtrim(token, F.lit("=")).alias("body"), alphabet.alias("alphabet")), coded), joint)
 
 
 def candidates(text: Column, base: Column) -> Column:
@@ -180,9 +189,11 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """Replaces each span, merged with those it overlaps, by a mark; all other columns and rows stay as they are. A null text stays null."""
     packed = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).withColumn("text", F.col(f"row.`{text_col}`"))
-    found = examined(packed, F.col("text"))
-    bounds = rejection_bounds(found.select("tested"))
-    ordered = _sorted(F.concat(*(F.transform(k, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))) for k in BASE), random_spans(F.col("tested"), bounds)))
+    bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    # Written once: the bounds need all spans before any text changes.
+    found = cut(examined(packed, F.col("text")).select("row", F.concat(*map(bare, BASE)).alias("base"), "tested"))
+    found = found.withColumn("text", F.col(f"row.`{text_col}`"))
+    ordered = _sorted(F.concat("base", random_spans(F.col("tested"), rejection_bounds(found.select("tested")))))
     begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
     piece = lambda text, a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
 
