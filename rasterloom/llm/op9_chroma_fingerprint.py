@@ -161,6 +161,35 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.select("node", "prints").mapInArrow(run, "node long, value int, positions array<int>")
 
 
+def best_shift(q_at: list, m_at: list) -> tuple[int, int]:
+    """The position difference that most pairs of equal integers have (of ties the least one in size, then the greater), and how many have it."""
+    low, high = min(x[0] for x in m_at) - max(x[-1] for x in q_at), max(x[-1] for x in m_at) - min(x[0] for x in q_at)
+    counts = np.zeros(high - low + 1, np.int64)
+    for a, b in zip(q_at, m_at):
+        if len(a) == len(b) == 1:
+            counts[b[0] - a[0] - low] += 1
+        else:
+            b = np.asarray(b) - low
+            for x in a:  # the positions of an integer differ, so no slot is met twice
+                counts[b - x] += 1
+    tied = np.flatnonzero(counts == counts.max()) + low
+    shift = max(tied.tolist(), key=lambda x: (-abs(x), x))
+    return shift, int(counts[shift - low])
+
+
+def best_shifts(met: DataFrame) -> DataFrame:
+    """q, m, shift int, hits long of rows that list, per common integer, its positions (ascending) in q and in m."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                best = [best_shift(a, b) for a, b in zip(part.column("q_at").to_pylist(), part.column("m_at").to_pylist())]
+                yield pa.RecordBatch.from_arrays([part.column("q"), part.column("m"), pa.array([x[0] for x in best], pa.int32()), pa.array([x[1] for x in best], pa.int64())], ["q", "m", "shift", "hits"])
+
+    return met.mapInArrow(run, "q long, m long, shift int, hits long")
+
+
 def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str = "media", width: int = 1, rate: int = RATE) -> DataFrame:
     """Membership and matches. Each row of df: doc_id, class_id (least id with the same fingerprint), n_prints. Each match of a class with a
     query (`query` over doc_id) and another class, both by class_id: doc_id null, class_id, match_id, shift (position in match_id less
@@ -174,9 +203,7 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     all_of = postings(classes).select(F.col("node").alias("m"), "value", F.col("positions").alias("m_at"))
     both_ask = classes.where("asks").select(F.col("node").alias("m"), F.lit(True).alias("m_asks"))
     shared = asked.join(all_of, "value").where("q <> m")
-    shifts = shared.select("q", "m", F.explode(F.flatten(F.transform("q_at", lambda a: F.transform("m_at", lambda b: b - a)))).alias("shift"))
-    hits = shifts.groupBy("q", "m", "shift").agg(F.count(F.lit(1)).alias("hits"))
-    best = hits.groupBy("q", "m").agg(F.max_by(F.struct("shift", "hits"), F.struct("hits", -F.abs("shift"), "shift")).alias("best")).select("q", "m", "best.*")
+    best = best_shifts(shared.groupBy("q", "m").agg(F.collect_list("q_at").alias("q_at"), F.collect_list("m_at").alias("m_at")))  # no more positions than the two recordings have
     best = best.join(both_ask, "m", "left").where("m_asks is null or q < m")  # a pair of asking classes once
     of = lambda node: classes.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
     pairs = best.join(of("q"), "q").join(of("m"), "m")
