@@ -2,17 +2,17 @@
 
 The model is the corpus itself, each document scored by the counts of all others: for a word w after v,
 S(w | v) = c(v w) / c(v) if c(v w) > 0, else 0.4 c(w) / N, counts being those of the whole corpus less the document's
-own. The vocabulary is closed, as usual for count models: the most frequent `VOCABULARY` words have ids, other words
-share one, so word counts fit a fixed table and a bigram is one 32-bit key.
+own. Every word counts as itself, by its 64-bit hash; the vocabulary is open and grows with the corpus.
 
-Bigram counts are a written table, summed with map-side combination and partitioned by a hash of the key. Documents'
-bigrams, counted per document, are packed by the same buckets and joined bucket by bucket; sums per document follow. A bigram
-of which the corpus holds more than one in `HOT` occurrences would make its bucket grow with the corpus; there can be
-at most `HOT` such bigrams, whose counts go to all tasks, so they never enter a bucket.
+Documents are written in blocks of about `BLOCK_WORDS` words, so all that moves is a row per block and bucket. Each block
+sends its distinct words with their counts to buckets by hash; a bucket adds them up, numbers its words and answers each
+block. Pairs of numbers, which are exact keys of bigrams, go the same way. A word or bigram is in a block's message at most
+once, so one that a large part of the corpus holds doesn't make its bucket grow with its occurrences. Then each block knows
+all counts its documents ask for.
 
 Defined results: null or empty texts have no words and score null; rows that share an id, null included, are summed as
 one document; words no other document has score 0.4 (1 / N) each; extra columns are left out; an empty table gives an
-empty result.
+empty result; more than `VOCABULARY` distinct words raise an error.
 """
 
 from __future__ import annotations
@@ -27,12 +27,12 @@ from pyspark.sql import functions as F
 
 from .shared import documents, fresh_dir, own
 
-#: Ids 1 to VOCABULARY; 0 is any other word, VOCABULARY + 1 the start of a document.
-VOCABULARY = (1 << 16) - 2
-START = VOCABULARY + 1
-BACKOFF, HOT = 0.4, 1 << 15
-#: Bigrams of documents in a bucket, about; words a task holds before it hands rows on.
-BUCKET_ROWS, BLOCK_WORDS = 4_000_000, 2_000_000
+#: Numbers that words can have, two to a 64-bit key; START is that of the start of a document.
+VOCABULARY = (1 << 32) - 1
+START = VOCABULARY
+BACKOFF = 0.4
+#: Words and documents of a block, about; distinct words or bigrams of blocks in a bucket, about.
+BLOCK_WORDS, BLOCK_DOCS, BUCKET_ROWS = 1 << 20, 60_000, 1 << 21
 
 
 def word_hashes(text: str | None) -> np.ndarray:
@@ -40,206 +40,189 @@ def word_hashes(text: str | None) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def vocabulary(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes of the most frequent words, sorted; counts by id (0: all others, last: documents' starts); all words."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in _and_last(batches):
-            if batch is not None:
-                held += [word_hashes(t) for t in batch.column(1).to_pylist()]
-            if held and (batch is None or sum(map(len, held)) > BLOCK_WORDS):
-                words, n = np.unique(np.concatenate(held), return_counts=True)
-                held = []
-                yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
-
-    counts = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    folder = fresh_dir(docs.sparkSession, "words")
-    counts.write.option("compression", "zstd").parquet(folder)
-    counts = docs.sparkSession.read.parquet(folder)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).toPandas()
-    hashes = top["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    table = np.zeros(START + 1, np.int64)
-    table[1 : len(order) + 1] = top["n"].to_numpy(np.int64)[order]
-    table[0] = total - int(table.sum())
-    return hashes[order], table, int(total)
-
-
-def _and_last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    """The batches in slices, then None."""
-    for batch in batches:
-        for start in range(0, batch.num_rows, 500):
-            yield batch.slice(start, 500)
-    yield None
-
-
-def word_ids(docs: DataFrame, vocabulary_hashes: np.ndarray) -> DataFrame:
-    """doc_id, ids binary: little-endian unsigned 16-bit ids of the words of each text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _and_last(batches):
-            if batch is not None:
-                out = []
-                for text in batch.column(1).to_pylist():
-                    h = word_hashes(text)
-                    at = np.minimum(np.searchsorted(vocabulary_hashes, h), max(0, len(vocabulary_hashes) - 1))
-                    out.append(np.where(vocabulary_hashes[at] == h, at + 1, 0).astype("<u2").tobytes() if len(vocabulary_hashes) else bytes(2 * len(h)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "ids"])
-
-    return docs.mapInArrow(run, "doc_id long, ids binary")
-
-
-def bigrams(ids: np.ndarray) -> np.ndarray:
-    before = np.concatenate([[START], ids[:-1]]).astype(np.int64) if len(ids) else np.empty(0, np.int64)
-    return before << 16 | ids.astype(np.int64)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers, compressed by planes of bytes."""
+    out = []
+    for x in columns:
+        planes = x.view("u1").reshape(-1, x.itemsize).T.tobytes()
+        body = pa.compress(planes, "zstd", asbytes=True)
+        out.append(np.array([len(x), x.itemsize, len(body)], "<u8").tobytes() + body)
+    return b"".join(out)
 
 
-def bigram_counts(ids: DataFrame) -> DataFrame:
-    """key long, n long over all documents."""
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    at, out = 0, []
+    while at < len(blob):
+        n, size, length = np.frombuffer(blob, "<u8", 3, at).tolist()
+        planes = pa.decompress(blob[at + 24 : at + 24 + length], n * size, "zstd", asbytes=True) if n else b""
+        out.append(np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(size, n).T).view(f"<u{size}").reshape(n))
+        at += 24 + length
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in _and_last(batches):
-            if batch is not None:
-                held += [bigrams(np.frombuffer(x, "<u2")) for x in batch.column(1).to_pylist()]
-            if held and (batch is None or sum(map(len, held)) > BLOCK_WORDS):
-                keys, n = np.unique(np.concatenate(held), return_counts=True)
-                held = []
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
-    return ids.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u4" if not len(x) or int(x.max()) < 1 << 32 else "<u8")
 
 
-#: Of an entry in a bucket: bigram, document by its place among those that follow, and counts.
-_ENTRY = {"key": "<u4", "local": "<u2", "n": "<u4", "of_before": "<u4", "of_word": "<u4"}
+def _deltas(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8")
 
 
-def _pack(e: dict[str, np.ndarray], doc: np.ndarray, words: np.ndarray) -> bytes:
-    """Column by column, then the documents (by their place in the block) and their words; lengths in front."""
-    present, local = np.unique(doc, return_inverse=True)
-    columns = [x.astype(t) for x, t in zip((e["key"], local, e["n"], e["of_before"], e["of_word"]), _ENTRY.values())]
-    return np.array([len(doc), len(present)], "<u4").tobytes() + b"".join(x.tobytes() for x in (*columns, present.astype("<u4"), words[present].astype("<u4")))
+def _row(kind: int, block: int, bucket: int, data: bytes, docs: list | None = None, lengths: list | None = None) -> pa.RecordBatch:
+    columns = [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
-def _unpack(blob: bytes) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-    """Entries, their documents' places among those present, these documents, their words."""
-    n, n_docs = np.frombuffer(blob, "<u4", 2).tolist()
-    at, out = 8, []
-    for t, size in (*((t, n) for t in _ENTRY.values()), ("<u4", n_docs), ("<u4", n_docs)):
-        out.append(np.frombuffer(blob, t, size, at).astype(np.int64))
-        at += size * np.dtype(t).itemsize
-    e = dict(zip(_ENTRY, out))
-    return e, e.pop("local"), out[-2], out[-1]
+#: Rows that move: a block of documents, or answers to one, and those of which bucket.
+_NAMES = ["kind", "block", "bucket", "ids", "lengths", "data"]
+_ROWS = "kind int, block long, bucket long, ids array<long>, lengths array<long>, data binary"
+BLOCK, WORDS, BIGRAMS = 0, 1, 2
 
 
-def entries(ids: np.ndarray) -> dict[str, np.ndarray]:
-    """A document's distinct bigrams, how often it has each, and how often it has their two words (the start counts once)."""
-    keys, n = np.unique(bigrams(ids), return_counts=True)
-    words, of = np.unique(np.append(ids, START), return_counts=True)
-    return {"key": keys, "n": n, "of_before": of[np.searchsorted(words, keys >> 16)], "of_word": of[np.searchsorted(words, keys & 0xFFFF)]}
+def blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of documents: ids, numbers of words, and data (distinct hashes of words, their counts, and each word by its place among them); `bucket` holds the number of distinct words."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def log_scores(e: dict[str, np.ndarray], count: np.ndarray, table: np.ndarray, n_doc: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per entry the sum of log S over its occurrences, and the occurrences whose bigram other documents have."""
-    others = count - e["n"]
-    before = table[e["key"] >> 16] - e["of_before"]
-    word = np.maximum(table[e["key"] & 0xFFFF] - e["of_word"], 1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        seen = np.log(np.maximum(others, 1) / np.maximum(before, 1))
-        unseen = np.log(BACKOFF * word / np.maximum(total - n_doc, 1))
-    return np.where(others > 0, seen, unseen) * e["n"], np.where(others > 0, e["n"], 0)
+        block, ids, held, words = TaskContext.get().partitionId() << 32, [], [], 0
+
+        def full() -> pa.RecordBatch:
+            keys, local, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+            return _row(BLOCK, block, len(keys), _pack(_deltas(keys), n.astype("<u4"), local.astype("<u4")), ids, [len(x) for x in held])
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 500):
+                part = batch.slice(start, 500)
+                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    ids.append(doc_id)
+                    held.append(word_hashes(text))
+                    words += len(held[-1])
+                    if words >= BLOCK_WORDS or len(held) >= BLOCK_DOCS:
+                        yield full()
+                        block, ids, held, words = block + 1, [], [], 0
+        if held:
+            yield full()
+
+    return docs.mapInArrow(run, _ROWS)
+
+
+def _places(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys in the order of their buckets, and the bucket of each in this order."""
+    bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n_buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order].astype(np.int64)
+
+
+def _messages(kind: int, block: int, keys: np.ndarray, n: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
+    """A block's distinct keys and their counts, a row per bucket."""
+    order, bucket = _places(keys, n_buckets)
+    for part in np.split(order, np.flatnonzero(np.diff(bucket)) + 1) if len(order) else ():
+        yield _row(kind, block, int(_places(keys[part[:1]], n_buckets)[1][0]), _pack(_deltas(keys[part]), _narrow(n[part])))
+
+
+def _answers(messages: DataFrame, kind: int, n_buckets: int) -> DataFrame:
+    """To each message the counts of its keys over all blocks, in its order, and for words their numbers."""
+
+    def run(group: pa.Table) -> pa.Table:
+        senders, bucket = group.column("block").to_pylist(), group.column("bucket")[0].as_py()
+        keys, n = [], []
+        for blob in group.column("data"):
+            a, b = _unpack(blob.as_py())
+            keys.append(np.cumsum(a, dtype=np.uint64))
+            n.append(b)
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        # Sums of whole numbers below 2^53, which doubles hold exactly.
+        total = np.bincount(place, np.concatenate(n)).astype(np.int64)
+        if kind == WORDS and (len(distinct) - 1) * n_buckets + bucket >= VOCABULARY:
+            raise ValueError(f"more than {VOCABULARY} distinct words")
+        out = []
+        for block, at in zip(senders, np.split(place, ends)):
+            numbers = [(at * n_buckets + bucket).astype("<u4")] if kind == WORDS else []
+            out.append(_row(kind, block, bucket, _pack(_narrow(total[at]), *numbers)))
+        return pa.Table.from_batches(out)
+
+    return messages.groupBy("bucket").applyInArrow(run, _ROWS)
+
+
+class _Block:
+    """A block's documents with the numbers and counts of their words, from its row and the answers to its words."""
+
+    def __init__(self, group: pa.Table, n_word_buckets: int, n_rows: int):
+        rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
+        own, answers = rows[0], [_unpack(r["data"]) for r in rows if r["kind"] == WORDS]
+        self.bigram_answers = [_unpack(r["data"])[0] for r in rows if r["kind"] == BIGRAMS]
+        self.block, self.ids, self.lengths = own["block"], own["ids"], np.array(own["lengths"], np.int64)
+        deltas, _, self.word = _unpack(own["data"])
+        keys = np.cumsum(deltas, dtype=np.uint64)
+        order, _ = _places(keys, n_word_buckets)
+        number, self.total = np.full(len(keys) + 1, START, np.uint64), np.full(len(keys) + 1, n_rows, np.int64)
+        if len(keys):
+            self.total[order], number[order] = (np.concatenate(x) for x in zip(*answers))
+        self.word, start = self.word.astype(np.int64), len(keys)
+        self.before = np.concatenate([[start], self.word[:-1]])[: len(self.word)]
+        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = start
+        pairs = number[self.before] << np.uint64(32) | number[self.word]
+        self.keys, self.pair, self.n = np.unique(pairs, return_inverse=True, return_counts=True)
+
+    def scores(self, n_buckets: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+        """Per document the words whose bigram other documents have, and the sum of log S."""
+        count = np.empty(len(self.keys), np.int64)
+        if len(self.keys):
+            count[_places(self.keys, n_buckets)[0]] = np.concatenate(self.bigram_answers)
+        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        _, place, of = np.unique(doc * len(self.total) + self.word, return_inverse=True, return_counts=True)
+        of = of[place]  # how often its document has the word at each position
+        entry, at, n = np.unique(doc * max(1, len(self.keys)) + self.pair, return_index=True, return_counts=True)
+        before, word, doc = self.before[at], self.word[at], doc[at]
+        of_before = np.where(before == len(self.total) - 1, 1, of[at - 1])
+        logs, seen = log_scores(n, count[self.pair[at]], self.total[before] - of_before, self.total[word] - of[at], words - self.lengths[doc])
+        return np.bincount(doc, seen, len(self.lengths)).astype(float), np.bincount(doc, logs, len(self.lengths)).astype(float)
+
+
+def log_scores(n: np.ndarray, count: np.ndarray, before: np.ndarray, word: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of bigrams that a document has n times, the sum of log S over these, and those whose bigram others have; counts of the word before, the word and all words are those of others."""
+    others = count - n
+    seen = np.log(np.maximum(others, 1) / np.maximum(before, 1))
+    unseen = np.log(BACKOFF * np.maximum(word, 1) / np.maximum(words, 1))
+    return np.where(others > 0, seen, unseen) * n, np.where(others > 0, n, 0)
 
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_seen (words whose bigram another document has) long, log_score, score (log_score a word) double."""
     spark = df.sparkSession
-    docs = own(df, id_col, text_col)
-    hashes, table, total = vocabulary(docs)
     folder = fresh_dir(spark, "bigrams")
-    word_ids(docs, hashes).write.option("compression", "zstd").parquet(f"{folder}/ids")
-    ids = spark.read.parquet(f"{folder}/ids")
-    table[START] = ids.count()
-    bigram_counts(ids).write.option("compression", "zstd").parquet(f"{folder}/counts")
-    counts = spark.read.parquet(f"{folder}/counts")
-    hot = counts.where(F.col("n") > max(1, total // HOT)).toPandas().sort_values("key")  # fewer than HOT rows
-    hot_keys, hot_n = hot["key"].to_numpy(np.int64), hot["n"].to_numpy(np.int64)
-    n_buckets = total // BUCKET_ROWS * 2 + 1
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Per block of documents a row with their own figures (bucket -1), and their packed entries by bucket."""
-        from pyspark import TaskContext
-
-        block, doc_ids, held, words = TaskContext.get().partitionId() << 32, [], [], 0
-        for batch in _and_last(batches):
-            if batch is not None:
-                for doc_id, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    x = np.frombuffer(x, "<u2")
-                    held.append(entries(x) | {"words": len(x)})
-                    doc_ids.append(doc_id)
-                    words += len(x)
-            if held and (batch is None or words > BLOCK_WORDS or len(held) >= 60_000):
-                e = {k: np.concatenate([h[k] for h in held]) for k in ("key", "n", "of_before", "of_word")}
-                doc = np.repeat(np.arange(len(held)), [len(h["key"]) for h in held])
-                n_doc = np.array([h["words"] for h in held])
-                at = np.minimum(np.searchsorted(hot_keys, e["key"]), max(0, len(hot_keys) - 1))
-                is_hot = hot_keys[at] == e["key"] if len(hot_keys) else np.zeros(len(doc), bool)
-                logs, seen = log_scores({k: v[is_hot] for k, v in e.items()}, hot_n[at[is_hot]] if len(hot_keys) else e["n"][is_hot], table, n_doc[doc[is_hot]], total)
-                own = _sums(np.arange(len(held)), np.bincount(doc[is_hot], seen, len(held)), np.bincount(doc[is_hot], logs, len(held)))
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([-1], pa.int64()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([n_doc.tolist()], pa.list_(pa.int64())), pa.array([0], pa.int64()), pa.array([own], pa.binary())], _NAMES)
-                bucket = e["key"] % n_buckets
-                order = np.lexsort((e["key"], bucket))
-                order = order[~is_hot[order]]
-                for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-                    if len(part):
-                        blob = _pack({k: v[part] for k, v in e.items()}, doc[part], n_doc)
-                        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([int(bucket[part[0]])], pa.int64()), pa.array([None], pa.list_(pa.int64())), pa.array([None], pa.list_(pa.int64())), pa.array([len(blob)], pa.int64()), pa.array([pa.compress(blob, "zstd", asbytes=True)], pa.binary())], _NAMES)
-                block, doc_ids, held, words = block + 1, [], [], 0
-
-    rows = ids.mapInArrow(packed, "block long, bucket long, ids array<long>, words array<long>, size long, entries binary")
-    rows.write.option("compression", "zstd").parquet(f"{folder}/entries")
-    rows = spark.read.parquet(f"{folder}/entries")
-
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Sums of each block's documents over the bigrams of one bucket."""
-        keys, n = right.column("key").to_numpy(), right.column("n").to_numpy()
-        order = np.argsort(keys)
-        keys, n, blocks, sums = keys[order], n[order], [], []
-        for batch in left.select(["block", "size", "entries"]).to_batches(max_chunksize=1):
+    blocks(own(df, id_col, text_col)).write.option("compression", "none").parquet(f"{folder}/blocks")
+    rows = spark.read.parquet(f"{folder}/blocks")
+    found = rows.selectExpr("size(ids) d", "aggregate(lengths, 0L, (a, x) -> a + x) w", "bucket").agg(F.sum("d"), F.sum("w"), F.sum("bucket")).first()
+    n_rows, words, distinct = (x or 0 for x in found)
+    n_word_buckets, n_buckets = distinct // BUCKET_ROWS + 1, words // BUCKET_ROWS + 1
+
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             for r in batch.to_pylist():
-                e, local, present, words = _unpack(pa.decompress(r["entries"], r["size"], "zstd", asbytes=True))
-                logs, seen = log_scores(e, n[np.searchsorted(keys, e["key"])], table, words[local], total)
-                blocks.append(r["block"])
-                sums.append(_sums(present, np.bincount(local, seen, len(present)), np.bincount(local, logs, len(present))))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "sums": pa.array(sums, pa.binary())})
-
-    def summed(group: pa.Table) -> pa.Table:
-        """The documents of a block; a group holds no more figures than the block has bigrams."""
-        ids, words, sums = (group.column(c).to_pylist() for c in ("ids", "words", "sums"))
-        at = next(i for i, x in enumerate(ids) if x is not None)
-        parts = np.concatenate([np.frombuffer(x, _SUM) for x in sums])
-        n = len(ids[at])
-        return pa.table({"doc_id": pa.array(ids[at], pa.int64()), "words": pa.array(words[at], pa.int64()), "seen": np.bincount(parts["doc"], parts["seen"], n), "logs": np.bincount(parts["doc"], parts["logs"], n)})
-
-    cold = counts.where(F.col("n") <= max(1, total // HOT)).withColumn("bucket", F.col("key") % n_buckets)
-    parts = rows.where("bucket >= 0").groupBy("bucket").cogroup(cold.groupBy("bucket")).applyInArrow(scored, "block long, sums binary")
-    own_rows = rows.where("bucket < 0").select("block", "ids", "words", F.col("entries").alias("sums"))
-    nothing = F.lit(None).cast("array<bigint>")
-    by_block = own_rows.unionByName(parts.select("block", nothing.alias("ids"), nothing.alias("words"), "sums")).groupBy("block").applyInArrow(summed, "doc_id long, words long, seen double, logs double")
+                deltas, n, _ = _unpack(r["data"])
+                yield from _messages(WORDS, r["block"], np.cumsum(deltas, dtype=np.uint64), n, n_word_buckets)
+
+    def own_bigrams(group: pa.Table) -> pa.Table:
+        b = _Block(group, n_word_buckets, n_rows)
+        return pa.Table.from_batches(_messages(BIGRAMS, b.block, b.keys, b.n, n_buckets), _SCHEMA)
+
+    def scored(group: pa.Table) -> pa.Table:
+        b = _Block(group, n_word_buckets, n_rows)
+        seen, logs = b.scores(n_buckets, words)
+        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "words": b.lengths, "seen": seen, "logs": logs})
+
+    _answers(rows.select("block", "data").mapInArrow(own_words, _ROWS), WORDS, n_word_buckets).write.option("compression", "none").parquet(f"{folder}/words")
+    known = rows.unionByName(spark.read.parquet(f"{folder}/words"))
+    answers = _answers(known.groupBy("block").applyInArrow(own_bigrams, _ROWS), BIGRAMS, n_buckets)
+    by_block = known.unionByName(answers).groupBy("block").applyInArrow(scored, "doc_id long, words long, seen double, logs double")
     by_id = by_block.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("seen").cast("long").alias("n_seen"), F.sum("logs").alias("logs"))
     return by_id.select("doc_id", "n_words", "n_seen", F.when(F.col("n_words") > 0, F.col("logs")).alias("log_score"), F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score"))
 
 
-#: Columns of the packed rows; sums of documents, by their place in the block.
-_NAMES = ["block", "bucket", "ids", "words", "size", "entries"]
-_SUM = [("doc", "<u4"), ("seen", "<f8"), ("logs", "<f8")]
-
-
-def _sums(docs: np.ndarray, seen: np.ndarray, logs: np.ndarray) -> bytes:
-    out = np.empty(len(docs), _SUM)
-    out["doc"], out["seen"], out["logs"] = docs, seen, logs
-    return out.tobytes()
+_SCHEMA = _row(BLOCK, 0, 0, b"").schema
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
