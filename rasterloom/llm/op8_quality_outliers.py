@@ -1,13 +1,13 @@
 """Operator 8: quality rules, base rules on word statistics and a robust multivariate outlier test.
 
-For each language and source a minimum-covariance-determinant estimate (concentration steps from a coordinate-wise
-median start) gives centre and scatter of transformed statistics; a document far from its group by Mahalanobis distance
-fails. All of it is DataFrame expressions and aggregates: sums and quantile sketches are combined before each shuffle,
+For each language and source a minimum-covariance-determinant estimate (concentration steps from four starts until the
+determinant stops falling, the least of them) gives centre and scatter of transformed statistics; a document far from its
+group by Mahalanobis distance fails. All of it is DataFrame expressions and aggregates: sums and quantile sketches are combined before each shuffle,
 so a group that holds a third of all rows costs what others cost.
 
 Defined results: null texts have no words, so they fail the base rule; null languages and sources are groups like
-others; groups of fewer than `min_group` documents that pass the base rules have no estimate and keep them; repeated rows
-each get a row; extra columns are left out; an empty table gives an empty result.
+others; groups of fewer than `min_group` documents that pass the base rules are tested by the estimate of their language,
+and languages of fewer by that of all documents; repeated rows each get a row; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from .shared import WORD_SPACE, cut, documents
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Standard deviations a statistic is granted at least; the natural spread of clean prose, so that a group without any spread in one doesn't reject all that differs.
 FLOORS = {"z_length": 0.15, "z_symbols": 0.3, "z_lines": 0.15, "z_repeats": 0.15}
-#: Share of a group's documents the estimate rests on, concentration steps, and the squared distance beyond which a document is an outlier (4 dimensions, one in 10^8 of a normal law).
-SUPPORT, STEPS, CUTOFF, MIN_GROUP = 0.75, 3, 42.7, 50
+#: Share of a group's documents the estimate rests on, and the squared distance beyond which a document is an outlier (4 dimensions, one in 10^8 of a normal law).
+SUPPORT, CUTOFF, MIN_GROUP = 0.75, 42.7, 50
+#: A determinant has stopped falling when its logarithm falls by less.
+SETTLED = 1e-3
 #: Makes the scatter of the innermost three quarters of a 4-dimensional normal law that of the whole: support / P(chi2 of 6 <= 3/4 quantile of chi2 of 4).
 CONSISTENCY = 0.75 / 0.5055
 
@@ -85,28 +87,45 @@ def _cholesky(groups: DataFrame, dims: list[str]) -> DataFrame:
     return groups.drop(*(f"c_{i}_{j}" for i in range(len(dims)) for j in range(i + 1)))
 
 
-def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], support: float = SUPPORT, steps: int = STEPS, min_group: int = MIN_GROUP) -> DataFrame:
-    """Adds `distance`, squared, to rows with the columns of `by` (no nulls) and `dims` (and the least standard deviation of each); null in small groups. Reads df more than once."""
+def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], support: float = SUPPORT, min_group: int = MIN_GROUP) -> DataFrame:
+    """Adds `distance`, squared, to rows with the columns of `by` (no nulls) and `dims` (and the least standard deviation of each), by the estimate of the narrowest group of min_group rows; groups are those of all of `by`, of all but its last, and so on to all rows, which have an estimate whatever their number. Reads df more than once."""
     names = list(dims)
-    median = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n_group"), *(F.percentile_approx(d, 0.5, 1000).alias(f"m_{d}") for d in names)).where(F.col("n_group") >= min_group)
-    spread = df.join(median, by).groupBy(*by).agg(*(F.percentile_approx(F.abs(F.col(d) - F.col(f"m_{d}")), 0.5, 1000).alias(f"s_{d}") for d in names))
-    groups = median.join(spread, by)
-    for i, d in enumerate(names):
-        groups = groups.withColumn(f"l_{i}_{i}", F.greatest(1.4826 * F.col(f"s_{d}"), F.lit(dims[d]))).drop(f"s_{d}")
-        for j in range(i):
-            groups = groups.withColumn(f"l_{i}_{j}", F.lit(0.0))
-    groups = cut(groups)
-    for _ in range(steps):
-        near = df.join(groups, by).withColumn("distance", _distance(names)).select(*by, *names, "distance")
-        bound = near.groupBy(*by).agg(F.percentile_approx("distance", support, 1000).alias("bound"))
-        inner = near.join(bound, by).where("distance <= bound")
-        covariances = [(i, j, F.covar_pop(a, b) * CONSISTENCY + (F.lit(dims[a] ** 2) if i == j else F.lit(0.0))) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
-        groups = cut(_cholesky(inner.groupBy(*by).agg(*(F.avg(d).alias(f"m_{d}") for d in names), *(c.alias(f"c_{i}_{j}") for i, j, c in covariances)), names))
-    return df.join(groups, by, "left").withColumn("distance", _distance(names)).select(*df.columns, "distance")
+    keys = [F.to_json(F.struct(F.lit(i).alias("level"), *by[:i])) for i in range(len(by) + 1)]
+    groups = df.groupBy(*by).agg(F.count(F.lit(1)).alias(f"n_{len(by)}"))
+    for i in range(1, len(by)):
+        groups = groups.join(groups.groupBy(*by[:i]).agg(F.sum(f"n_{len(by)}").alias(f"n_{i}")), by[:i])
+    groups = cut(groups.withColumn("e_key", F.coalesce(*(F.when(F.col(f"n_{i}") >= min_group, keys[i]) for i in range(len(by), 0, -1)), keys[0])).select(*by, "e_key"))
+    parts = cut(groups.select(*by, F.explode(F.array(*keys)).alias("e_key")).join(groups.select("e_key").distinct(), "e_key"))  # of the estimates in use those a group's rows belong to
+    members = df.join(parts, by).select("e_key", *names)
+
+    pairs = [(i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
+    means = [F.avg(d).alias(f"m_{d}") for d in names]
+    scatter = lambda factor: [(F.covar_pop(a, b) * factor + (F.lit(dims[a] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}") for i, j, a, b in pairs]
+    columns = ["e_key", "start", *(f"m_{d}" for d in names), *(f"l_{i}_{j}" for i, j, *_ in pairs)]
+    quartiles = cut(members.groupBy("e_key").agg(*(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q_{d}") for d in names)))
+    spread = members.join(quartiles, "e_key").groupBy("e_key").agg(*(F.percentile_approx(F.abs(F.col(d) - F.get(f"q_{d}", F.lit(1))), 0.5, 1000).alias(f"s_{d}") for d in names))
+    # Starts: each quartile with the median deviation of each statistic, and the plain mean and scatter.
+    starts = quartiles.join(spread, "e_key").crossJoin(df.sparkSession.range(3).select(F.col("id").cast("int").alias("start")))
+    starts = starts.select("e_key", "start", *(F.get(f"q_{d}", F.col("start")).alias(f"m_{d}") for d in names), *((F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(dims[a])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j, a, _ in pairs))
+    plain = _cholesky(members.groupBy("e_key").agg(*means, *scatter(1.0)), names).withColumn("start", F.lit(3))
+    moving = cut(starts.unionByName(plain.select(*columns)).withColumn("log_det", F.lit(float("inf"))))
+    settled = moving.where("false")
+    while not moving.isEmpty():
+        near = members.join(moving.select(*columns), "e_key").withColumn("distance", _distance(names)).select("e_key", "start", *names, "distance")
+        bound = near.groupBy("e_key", "start").agg(F.percentile_approx("distance", support, 1000).alias("bound"))
+        inner = near.join(bound, ["e_key", "start"]).where("distance <= bound")
+        after = _cholesky(inner.groupBy("e_key", "start").agg(*means, *scatter(CONSISTENCY)), names)
+        after = after.select(*columns, sum((2 * F.log(f"l_{i}_{i}") for i in range(len(names))), F.lit(0.0)).alias("log_det"))
+        after = cut(after.join(moving.select("e_key", "start", F.col("log_det").alias("old")), ["e_key", "start"]))
+        fell = after.where(F.col("log_det") < F.col("old") - SETTLED)
+        settled = settled.unionByName(moving.join(fell.select("e_key", "start"), ["e_key", "start"], "left_anti"))
+        moving = fell.drop("old")
+    least = cut(settled.groupBy("e_key").agg(F.min_by(F.struct(*columns[2:]), F.struct("log_det", "start")).alias("e")).select("e_key", "e.*"))
+    return df.join(groups, by).join(least, "e_key").withColumn("distance", _distance(names)).select(*df.columns, "distance")
 
 
 def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean, distance double (null: not tested)."""
+    """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean, distance double (null: failed by the base rule)."""
     absent = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))  # noqa: E731  nulls become a value that no other has
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), absent(lang_col).alias("g_lang"), absent(source_col).alias("g_source"), F.col(f"`{text_col}`").cast("string").alias("g_text"))
     rows = word_statistics(rows.withColumn("n_lines", F.size(F.split(F.coalesce("g_text", F.lit("")), "\n"))), F.col("g_text")).drop("g_text")

@@ -2,8 +2,10 @@
 
 import collections
 import math
+import random
 
 from rasterloom.llm.op5_stupid_backoff import score
+from rasterloom.llm.op8_quality_outliers import judge
 
 
 def backoff_oracle(texts):
@@ -32,3 +34,15 @@ def test_backoff_counts_more_words_than_16_bits(spark):
     want = backoff_oracle(texts)
     assert {r["doc_id"]: r["n_seen"] for r in rows} == {d: s for d, (s, _) in want.items()}
     assert all(math.isclose(r["log_score"], want[r["doc_id"]][1], rel_tol=1e-9) for r in rows)
+
+
+def test_outliers_of_small_groups(spark):
+    """Sources of 12 documents, and a language of 13, are tested too."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(900)]
+    prose = lambda: " ".join(rng.choice(words) for _ in range(rng.randrange(30, 200)))
+    rows = [(i, prose(), "en" if i < 120 else "de", f"source {i // 12}") for i in range(132)]
+    rows += [(1000 + i, " ".join(rng.choice(words) + "$$$###" for _ in range(80)), lang, source) for i, (lang, source) in enumerate([("en", "source 3"), ("de", "source 10"), ("fr", None)])]
+    got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(got[i]["kept"] for i in range(132)) and not any(got[i]["kept"] for i in got if i >= 1000)
+    assert all(r["distance"] is not None for r in got.values())
