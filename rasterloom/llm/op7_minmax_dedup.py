@@ -89,7 +89,7 @@ def odd_sketch(hashes: np.ndarray) -> np.ndarray:
 
 
 def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles long, set_key binary (null for an empty set), bands array<long>."""
+    """doc_id, n_shingles long, set_key binary (null for an empty set), bands array<long>, text_key long (a hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minmax = MinMax(bands, rows)
@@ -102,9 +102,9 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                     n.append(len(hashes))
                     key.append(hashlib.blake2b(hashes.tobytes(), digest_size=16).digest() if len(hashes) else None)
                     band.append(minmax.keys(minmax.signature(hashes)) if len(hashes) else None)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "set_key", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), part.column(2)], ["doc_id", "n_shingles", "set_key", "bands", "text_key"])
 
-    return own(df, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>")
+    return own(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, text_key long")
 
 
 def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -166,10 +166,16 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """doc_id, n_shingles, component_id long, kept boolean: a row per row of df."""
+    return _verdicts(df, id_col, text_col, words, bands, rows).drop("text_key", "stays")
+
+
+def _verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """As near_duplicates, with text_key long and `stays`: whether the row has the id and the text of the one document that stays of its component."""
     docs = own(df, id_col, text_col)
     found = cut(features(docs, "doc_id", "text", words, bands, rows))
+    first = lambda *c: F.struct(F.col(c[0]).isNull(), *c)  # noqa: E731  nulls come last
     classes = cut(
-        found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
+        found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min_by("text_key", first("doc_id", "text_key")).alias("first_text"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
     )
     entries = classes.select("node", F.explode("bands").alias("key"))
     buckets = cut(entries.groupBy("key").count().where("count > 1"))
@@ -203,19 +209,24 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     all_edges = edges if more_edges.isEmpty() else edges.union(more_edges)
     labels = labels if all_edges is edges else components(all_edges)
 
-    named = classes.select("set_key", "node", "first_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_class = named.join(least, "label").select("set_key", "component_id")
-    return found.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
+    named = classes.select("set_key", "node", "first_id", "first_text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first_text", first("first_id", "set_key")).alias("stays_text"))
+    of_class = named.join(least, "label").select("set_key", "component_id", "stays_text")
+    stays = F.col("set_key").isNull() | (F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("text_key") == F.col("stays_text")))
+    return found.select("doc_id", "n_shingles", "set_key", "text_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", "text_key", stays.alias("stays"), F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("doc_id").isNull() & F.col("component_id").isNull()))
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of df, all columns, whose document is kept; of rows with the same id and text each stays where that document does."""
-    verdict = near_duplicates(df, id_col, text_col)
-    gone = cut(verdict.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct())
-    may_go = in_bit_set(bit_set(gone, "gone_id"), "gone_id")  # of the rest no text moves
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")).withColumn("gone_id", F.col(f"row.`{id_col}`").cast("long"))
-    left = rows.where(~may_go).select("row").union(rows.where(may_go).join(gone.withColumnRenamed("gone_id", "g"), F.col("gone_id").eqNullSafe(F.col("g")), "left_anti").select("row"))
+    """The rows of df, all columns, of the document that stays of each component; of rows with the same id and text each stays where that document does, of those with a null id and the same text one."""
+    gone = cut(_verdicts(df, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_text")).distinct())
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
+    rows = rows.withColumns({"g_id": F.col(f"row.`{id_col}`").cast("long"), "text": F.col(f"row.`{text_col}`").cast("string")})
+    may_go = F.col("g_id").isNull() | in_bit_set(bit_set(gone, "g_id"), "g_id")  # of the rest no text moves
+    moved = rows.where(may_go).withColumn("r_text", F.xxhash64("text")).alias("r")
+    on = F.col("r.g_id").eqNullSafe(F.col("g.g_id")) & (F.col("r_text") == F.col("g.g_text"))
+    stay = moved.join(gone.alias("g"), on, "left_anti")
+    copies = F.col("g_id").isNull() & F.coalesce(F.rlike("text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    left = rows.where(~may_go).select("row").union(stay.where(~copies).select("row")).union(stay.where(copies).dropDuplicates(["r_text"]).select("row"))
     return left.select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 

@@ -5,6 +5,7 @@ import math
 import random
 
 from rasterloom.llm.op5_stupid_backoff import score
+from rasterloom.llm.op7_minmax_dedup import keep_one
 from rasterloom.llm.op8_quality_outliers import judge
 
 
@@ -46,3 +47,14 @@ def test_outliers_of_small_groups(spark):
     got = {r["doc_id"]: r for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert all(got[i]["kept"] for i in range(132)) and not any(got[i]["kept"] for i in got if i >= 1000)
     assert all(r["distance"] is not None for r in got.values())
+
+
+def test_near_dedup_goes_by_row(spark):
+    """Copies go, but not other texts under the same id, null included; of copies that all lack an id one stays."""
+    text = lambda name, n=60: " ".join(f"{name}{i}" for i in range(n))
+    stay = [(1, text("a")), (None, text("b")), (2, text("c")), (2, text("d")), (7, text("g")), (7, text("g")), (None, ""), (None, "")]
+    go = [(None, text("a") + " end"), (3, text("a") + " more"), (2, text("a", 59))]
+    orphans = [(None, text("e")), (None, text("e")), (None, text("e") + " end"), (None, text("E"))]
+    got = collections.Counter(tuple(r) for r in keep_one(spark.createDataFrame(stay + go + orphans, "doc_id long, text string")).collect())
+    assert sum(got[o] for o in set(orphans)) == 1
+    assert got - collections.Counter({o: got[o] for o in set(orphans)}) == collections.Counter(stay)
