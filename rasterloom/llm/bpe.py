@@ -17,13 +17,45 @@ import regex
 
 #: Pretokens of more bytes get a tree of their own.
 WIDE = 64
-#: Remembered chunks per Python worker; beyond it the memory starts anew. Bounds memory, not results.
-REMEMBERED = 700_000
+#: Bytes of a memory of encoded pieces, about, and characters of a piece that is remembered. Both bound memory, not results.
+REMEMBERED, LONGEST = 96 << 20, 64
 
 _CHUNKS = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile(r"[\x1c-\x1f]")
 
 
+class Memory:
+    """Encoded pieces in two generations. When the younger has grown to half of the bound the older goes; what has been used meanwhile is in the younger."""
+
+    #: Bytes of an entry beside its characters and ids, about.
+    ENTRY = 200
+
+    def __init__(self, most: int = REMEMBERED):
+        self.most, self.size = most, 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.passing: list[str] = []
+
+    def holding(self, pieces: set[str], encode: Callable[[list[str]], list[bytes]]) -> dict[str, bytes]:
+        """A dictionary that holds all the pieces until `settle`."""
+        new = pieces.difference(self.young)
+        known = {x: self.old[x] for x in new if x in self.old}
+        missing = [x for x in new if x not in known] if known else list(new)
+        self.young.update(known)
+        self.young.update(zip(missing, encode(missing)))
+        self.passing += [x for x in missing if len(x) > LONGEST]
+        self.size += sum(map(len, new)) + self.ENTRY * len(new)
+        return self.young
+
+    def settle(self) -> None:
+        for x in self.passing:
+            if self.young.pop(x, None) is not None:
+                self.size -= len(x) + self.ENTRY
+        self.passing = []
+        if self.size > self.most // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+
+
 def read_ranks(path: str) -> dict[bytes, int]:
     """Token bytes to rank, from a file with a base64 token and its rank on each line."""
     with open(path, "rb") as lines:
@@ -39,34 +71,31 @@ class Chunks:
     """
 
     def __init__(self, encode_chunks: Callable[[list[str]], list[bytes]], remembered: int = REMEMBERED):
-        self.encode_chunks, self.remembered = encode_chunks, remembered
-        self.after_space: dict[str, bytes] = {}
-        self.whole: dict[str, bytes] = {}
+        self.encode_chunks = encode_chunks
+        self.after_space, self.whole = Memory(remembered * 3 // 4), Memory(remembered // 4)
 
-    def pieces(self, text: str) -> tuple[dict[str, bytes], str | None, list[str]]:
-        """The memory to look the pieces up in, the first piece if it is looked up in `whole`, and the pieces."""
+    def pieces(self, text: str) -> tuple[bool, str | None, list[str]]:
+        """Whether the pieces follow a space that they don't hold, the first piece, which follows none, in that case, and the pieces."""
         if " ".join(text.split()) == text.replace("\n", " "):  # each run of white space is one space or line feed, between others
             first, *rest = text.replace("\n", " \n").split(" ")
-            return self.after_space, first, rest
-        return self.whole, None, [text] if _ODD_SPACE.search(text) else _CHUNKS.findall(text)
+            return True, first, rest
+        return False, None, [text] if _ODD_SPACE.search(text) else _CHUNKS.findall(text)
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:
         """One bytes object per text; null counts as empty."""
-        split = [self.pieces(t) if t else (self.whole, None, []) for t in texts]
-        if len(self.after_space) + len(self.whole) > self.remembered:
-            self.after_space.clear(), self.whole.clear()
+        split = [self.pieces(t) if t else (False, None, []) for t in texts]
         spaced, whole = set(), set()
-        for memory, first, rest in split:
-            if memory is self.after_space:
+        for after, first, rest in split:
+            if after:
                 spaced.update(rest)
                 whole.add(first)
             else:
                 whole.update(rest)
-        new = [x for x in whole if x not in self.whole]
-        self.whole.update(zip(new, self.encode_chunks(new)))
-        new = [x for x in spaced if x not in self.after_space]
-        self.after_space.update(zip(new, self.encode_chunks([x if x[:1] == "\n" else f" {x}" for x in new])))
-        return [(self.whole[first] if first is not None else b"") + b"".join(map(memory.__getitem__, rest)) for memory, first, rest in split]
+        after_space = self.after_space.holding(spaced, lambda new: self.encode_chunks([x if x[:1] == "\n" else f" {x}" for x in new]))
+        unspaced = self.whole.holding(whole, self.encode_chunks)
+        out = [(unspaced[first] if after else b"") + b"".join(map((after_space if after else unspaced).__getitem__, rest)) for after, first, rest in split]
+        self.after_space.settle(), self.whole.settle()
+        return out
 
 
 class Codec:
@@ -75,7 +104,7 @@ class Codec:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.find = ranks, regex.compile(pattern).findall
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.memory: dict[str, bytes] = {}
+        self.memory = Memory(REMEMBERED // 2)
         single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         keys, values = [], []
         for token, rank in ranks.items():
@@ -86,7 +115,7 @@ class Codec:
         order = np.argsort(np.array(keys, np.int64), kind="stable")
         self.pair_keys, self.pair_ranks = np.array(keys, np.int64)[order], np.array(values, np.int64)[order]
         self.single = single
-        self.chunks = Chunks(self.encode_chunks)
+        self.chunks = Chunks(self.encode_chunks, REMEMBERED // 2)
 
     #: A rank that no pair has.
     NONE = 1 << 40
@@ -192,31 +221,27 @@ class Codec:
             at = after[at]
         return out
 
-    def encode_pretokens(self, pretokens: list[str]) -> None:
-        """Fills the memory with pretokens that aren't in it."""
-        if len(self.memory) > REMEMBERED:
-            self.memory.clear()
-        many: list[tuple[str, bytes]] = []
-        for t in dict.fromkeys(pretokens):
-            if t in self.memory:
-                continue
+    def encode_pretokens(self, pretokens: list[str]) -> list[bytes]:
+        out, many = [b""] * len(pretokens), []
+        for i, t in enumerate(pretokens):
             piece = t.encode("utf-8", "surrogatepass")
             if (rank := self.ranks.get(piece)) is not None:
-                self.memory[t] = rank.to_bytes(4, "little")
+                out[i] = rank.to_bytes(4, "little")
             elif len(piece) > WIDE:
-                self.memory[t] = np.array(self.encode_long(piece), "<u4").tobytes()
+                out[i] = np.array(self.encode_long(piece), "<u4").tobytes()
             else:
-                many.append((t, piece))
-        for (t, _), ids in zip(many, self.encode_many([p for _, p in many])):
-            self.memory[t] = ids
+                many.append((i, piece))
+        for (i, _), ids in zip(many, self.encode_many([p for _, p in many])):
+            out[i] = ids
+        return out
 
     def encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        found = list(map(self.find, chunks))
         out = []
-        for start in range(0, len(found), 100_000):
-            block = found[start : start + 100_000]
-            self.encode_pretokens([t for f in block for t in f])
-            out += [b"".join(map(self.memory.__getitem__, f)) for f in block]
+        for start in range(0, len(chunks), 50_000):
+            found = list(map(self.find, chunks[start : start + 50_000]))
+            known = self.memory.holding({t for f in found for t in f}, self.encode_pretokens)
+            out += [b"".join(map(known.__getitem__, f)) for f in found]
+            self.memory.settle()
         return out
 
     def encode(self, texts: Iterable[str | None]) -> list[bytes]:

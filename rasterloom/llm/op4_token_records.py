@@ -6,7 +6,7 @@ constant, so that a checksum over data that holds checksums stays meaningful. Th
 is null), width of a token id in bytes (1 byte), document id (8 bytes, signed), token ids. Beside `X.rec` lies `X.idx`:
 per record the frame's offset (8 bytes, unsigned) and the document id (8 bytes, signed), for shuffled reads.
 
-Each task writes its range of document ids to files whose names no other attempt uses; the manifest, written as Parquet
+Each task writes its range of document ids to files of about `ROLL` bytes, whose names no other attempt uses; the manifest, written as Parquet
 after all tasks, names the files of the attempts that count, so retried or speculative attempts leave no trace in it.
 
 Defined results: null or empty texts hold the end id alone; null document ids come first and stay null; repeated rows
@@ -16,6 +16,7 @@ each get a record (in order of a hash of their text); extra columns are left out
 from __future__ import annotations
 
 import random
+import re
 import struct
 import uuid
 import zlib
@@ -35,6 +36,8 @@ from .shared import documents, fresh_dir, own
 _MASK, _HEAD, _PAYLOAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BBq")
 _INDEX = [("offset", "<u8"), ("doc_id", "<i8")]
 
+_INNER_SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
+
 
 def masked(data: bytes) -> int:
     crc = zlib.crc32(data)
@@ -51,97 +54,145 @@ def record(doc_id: int | None, width: int, ids: bytes) -> bytes:
     return frame(_PAYLOAD.pack(doc_id is None, width, doc_id or 0) + ids)
 
 
-def read_frame(data: memoryview, offset: int) -> tuple[bytes, int]:
-    """The payload of the frame at an offset, and where the next one starts; raises ValueError where a checksum differs."""
-    length, crc = _HEAD.unpack_from(data, offset)
-    start = offset + _HEAD.size
-    payload = bytes(data[start : start + length])
-    if crc != masked(bytes(data[offset : offset + 8])) or len(payload) != length or struct.unpack_from("<I", data, start + length)[0] != masked(payload):
-        raise ValueError(f"damaged record at offset {offset}")
-    return payload, start + length + 4
-
-
 def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
     """The file system of a path or URI (file, hdfs, s3, gs) and the path in it."""
     return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path.removeprefix('file:')}")
 
 
+#: Bytes after which a task starts another data file.
+ROLL = 128 << 20
+
+
 @cache
 def encoder(tokenizer_path: str) -> Chunks:
-    """One per Python worker: remembered chunks, each encoded by the tokenizers library."""
+    """One per Python worker: the library's own encoding, special tokens' strings included, of pieces that it is asked for once."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path)
-    t.encode_special_tokens = True  # their strings in a text are then ordinary text
     t.no_padding(), t.no_truncation()
+    feed = t.encode("\n", add_special_tokens=False).ids
+    added = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
+
+    def each(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for s in range(0, len(texts), 10_000) for e in t.encode_batch_fast(texts[s : s + 10_000], add_special_tokens=False)]
 
     def encode(chunks: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for s in range(0, len(chunks), 10_000) for e in t.encode_batch_fast(chunks[s : s + 10_000], add_special_tokens=False)]
+        """Pieces without white space but a leading space, and without the string of an added token, go many to a text, a line each: no token spans a line feed, so its id parts them."""
+        plain = [i for i, x in enumerate(chunks) if len(feed) == 1 and x and (x[0] == " " or not x[0].isspace()) and not _INNER_SPACE.search(x, 1) and not added.search(x)]
+        out = [b""] * len(chunks)
+        lines = [[chunks[i] for i in plain[s : s + 200]] for s in range(0, len(plain), 200)]
+        at = 0
+        for block, ids in zip(lines, each(["\n".join(x) for x in lines])):
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == feed[0])).tolist()
+            for start, end in zip([0, *(x + 4 for x in ends)], [*ends, len(raw)], strict=True):
+                out[plain[at]] = raw[start:end]
+                at += 1
+        others = sorted(set(range(len(chunks))).difference(plain))  # few
+        for i, ids in zip(others, each([chunks[i] for i in others])):
+            out[i] = ids.tobytes()
+        return out
 
     return Chunks(encode)
 
 
-def slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """Slices that bound what a task holds as Python objects."""
+def slices(batch: pa.RecordBatch, rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices that bound what a task holds as Python objects: by rows, and by the bytes of the batch a row has on average."""
+    rows = max(1, min(rows, most * batch.num_rows // max(1, batch.nbytes)))
     for start in range(0, batch.num_rows, rows):
         yield batch.slice(start, rows)
 
 
+class _Writer:
+    """Data files of one task, each with its index, which is written as records are."""
+
+    def __init__(self, folder: str, number: int):
+        self.fs, self.folder = file_system(folder)
+        self.number, self.data, self.done = number << 20, None, []
+
+    def add(self, doc_id: int | None, width: int, ids: bytes) -> None:
+        if self.data is None:
+            self.fs.create_dir(self.folder, recursive=True)
+            self.name, self.at, self.records, self.tokens = f"part-{self.number:014d}-{uuid.uuid4().hex}", 0, 0, 0
+            self.data, self.index = (self.fs.open_output_stream(f"{self.folder}/{self.name}.{x}") for x in ("rec", "idx"))
+        f = record(doc_id, width, ids)
+        self.data.write(f)
+        self.index.write(struct.pack("<Qq", self.at, doc_id or 0))
+        self.at, self.records, self.tokens = self.at + len(f), self.records + 1, self.tokens + len(ids) // width
+        if self.at >= ROLL:
+            self.close()
+
+    def close(self) -> None:
+        if self.data is not None:
+            self.data.close(), self.index.close()
+            self.done.append((self.number, self.name, self.records, self.tokens))
+            self.data, self.number = None, self.number + 1
+
+
 def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int | None = 2, width: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Writes records in ascending order of document ids to path/data, and the manifest to path/manifest: file long, name string, n_records long, n_tokens long."""
+    """Writes records in ascending order of document ids to path/data, and the manifest to path/manifest: file long, name string, n_records long, n_tokens long. Raises ValueError for an id that `width` bytes can't hold."""
     data = f"{path}/data"
-    kind = {2: "<u2", 4: "<u4"}[width]
+    kind, limit = {2: "<u2", 4: "<u4"}[width], 1 << 8 * width
+    if end_id is not None and not 0 <= end_id < limit:
+        raise ValueError(f"id {end_id} doesn't fit {width} bytes")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         encode, end = encoder(tokenizer_path).encode, np.array([end_id] if end_id is not None else [], kind).tobytes()
-        number = TaskContext.get().partitionId()
-        fs, folder = file_system(data)
-        name, out, index, n_tokens, at = f"part-{number:08d}-{uuid.uuid4().hex}", None, [], 0, 0
+        out = _Writer(data, TaskContext.get().partitionId())
         for batch in batches:
             for part in slices(batch):
-                if out is None:
-                    fs.create_dir(folder, recursive=True)
-                    out = fs.open_output_stream(f"{folder}/{name}.rec")
                 for doc_id, ids in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist())):
-                    ids = np.frombuffer(ids, "<u4").astype(kind).tobytes() + end
-                    f = record(doc_id, width, ids)
-                    out.write(f)
-                    index.append((at, doc_id or 0))
-                    n_tokens, at = n_tokens + len(ids) // width, at + len(f)
-        if out is not None:
-            out.close()
-            with fs.open_output_stream(f"{folder}/{name}.idx") as x:
-                x.write(np.array(index, _INDEX).tobytes())
-            yield pa.RecordBatch.from_pydict({"file": [number], "name": [name], "n_records": [len(index)], "n_tokens": [n_tokens]})
+                    ids = np.frombuffer(ids, "<u4")
+                    if len(ids) and int(ids.max()) >= limit:
+                        raise ValueError(f"id {int(ids.max())} doesn't fit {width} bytes")
+                    out.add(doc_id, width, ids.astype(kind).tobytes() + end)
+        out.close()
+        if out.done:
+            yield pa.RecordBatch.from_pydict(dict(zip(("file", "name", "n_records", "n_tokens"), zip(*out.done))))
 
     order = F.asc_nulls_first("doc_id"), F.xxhash64("text")  # the second key spreads rows of one id
     ordered = own(df, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, "file long, name string, n_records long, n_tokens long").write.parquet(f"{path}/manifest")
 
 
+def frames(stream) -> Iterator[bytes]:
+    """The payloads of a data file, one at a time; raises ValueError where a checksum differs or the file ends too soon."""
+    at = 0
+    while head := stream.read(_HEAD.size):
+        length, crc = _HEAD.unpack(head) if len(head) == _HEAD.size else (0, -1)
+        if crc != masked(head[:8]):
+            raise ValueError(f"damaged record at offset {at}")
+        body = stream.read(length + 4)
+        if len(body) != length + 4 or struct.unpack_from("<I", body, length)[0] != masked(body[:length]):
+            raise ValueError(f"damaged record at offset {at}")
+        yield body[:length]
+        at += _HEAD.size + length + 4
+
+
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """Reads all records, one file per task, verifying checksums: file long, record long, doc_id long, ids binary (little-endian unsigned 32-bit)."""
+    """Reads all records, frame by frame, verifying checksums: file long, record long, doc_id long, ids binary (little-endian unsigned 32-bit)."""
     data = f"{path}/data"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, folder = file_system(data)
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], ["file", "record", "doc_id", "ids"])
         for batch in batches:
             for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                with fs.open_input_file(f"{folder}/{name}.rec") as f:
-                    view = memoryview(f.read())
-                offset, nth = 0, 0
-                while offset < len(view):
-                    rows = []
-                    while offset < len(view) and len(rows) < 500:
-                        payload, offset = read_frame(view, offset)
+                with fs.open_input_stream(f"{folder}/{name}.rec", buffer_size=1 << 20) as f:
+                    rows, held = [], 0
+                    for nth, payload in enumerate(frames(f)):
                         rows.append((number, nth, *_record(payload)))
-                        nth += 1
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["file", "record", "doc_id", "ids"])
+                        held += len(payload)
+                        if len(rows) >= 500 or held >= 8 << 20:
+                            yield batch_of(rows)
+                            rows, held = [], 0
+                    if rows:
+                        yield batch_of(rows)
 
     manifest = spark.read.parquet(f"{path}/manifest").select("file", "name")
     return manifest.repartition(max(1, min(manifest.count(), 100_000)), "file").mapInArrow(run, "file long, record long, doc_id long, ids binary")
@@ -156,19 +207,18 @@ def shuffled_read(path: str, name: str, seed: int) -> Iterator[tuple[int | None,
     """The records of one file in a shuffled order, by its index."""
     fs, folder = file_system(f"{path}/data")
     with fs.open_input_file(f"{folder}/{name}.idx") as f:
-        offsets = np.frombuffer(f.read(), _INDEX)["offset"].tolist()
+        offsets = np.frombuffer(f.read(), _INDEX)["offset"].tolist()  # at most ROLL bytes of records
     random.Random(seed).shuffle(offsets)
     with fs.open_input_file(f"{folder}/{name}.rec") as f:
         for at in offsets:
             f.seek(at)
-            head = f.read(_HEAD.size)
-            payload, _ = read_frame(memoryview(head + f.read(_HEAD.unpack(head)[0] + 4)), 0)
-            doc_id, ids = _record(payload)
+            doc_id, ids = _record(next(frames(f)))
             yield doc_id, np.frombuffer(ids, "<u4")
 
 
 def with_starts(records: DataFrame, manifest: DataFrame) -> DataFrame:
     """Digests of the records read: doc_id, start, n_tokens, ids_crc32 long. Where a file starts comes from the manifest, a row per file; within a file, from the records before."""
+    # One task orders the manifest: a row per file of ROLL bytes, a millionth of the data.
     starts = manifest.select("file", (F.sum("n_tokens").over(Window.orderBy("file")) - F.col("n_tokens")).alias("file_start"))
     own_tokens = (F.length("ids") / 4).cast("long")
     narrow = records.select("file", "record", "doc_id", own_tokens.alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

@@ -21,10 +21,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .op4_token_records import encoder, slices
-from .shared import cut, documents, own
+from .shared import array_literal, cut, documents, own
 
-#: Pieces in a bucket of the ranking, about.
-BUCKET_ROWS = 50_000
+#: Pieces in a bucket of the ranking, about; a length has as many buckets as it needs.
+BUCKET_ROWS = 1000
 
 
 class CapacityTree:
@@ -122,8 +122,8 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         counts[length] = n
     plan, _ = best_fit_decreasing(counts, capacity)
     # Rank among the pieces of a length: ranked within buckets, after the buckets before.
-    n_buckets = max(1, sum(counts) // BUCKET_ROWS)
-    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)))
+    n_buckets = F.get(array_literal(np.array(counts) // BUCKET_ROWS + 1), F.col("length").cast("int"))
+    bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n_buckets))
     before = bucketed.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = bucketed.withColumn("within", within).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within")).drop("bucket", "before", "within")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 import numpy as np
@@ -40,6 +41,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Tables that one run writes to the shared folder, as compressed Parquet. A table is dropped when its last reader is done."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.folder = spark, fresh_dir(spark, kind)
+
+    def table(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes tables, and lets Spark's cleaner see which plans are dead, so that their shuffle files go too."""
+        jvm = self.spark._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        free(self.spark)
+
+
+def free(spark: SparkSession) -> None:
+    """Spark keeps the shuffle files of a plan until the driver's garbage collector finds that nothing refers to it; on a driver with memory to spare that may be never."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def by_size(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
+    """A written table to join with: broadcast if it has few rows, else left to the optimizer."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The two columns an operator reads, under names of its own: extra columns, whatever they are called, stay out."""
     ship(df.sparkSession)

@@ -3,6 +3,7 @@
 import base64
 import bisect
 import hashlib
+import io
 import random
 import zlib
 
@@ -15,7 +16,7 @@ public_tokenizers = pytest.importorskip("public_tokenizers")
 
 from rasterloom.llm.bpe import Codec, read_ranks  # noqa: E402
 from rasterloom.llm.op3_bpe_codec import decode_documents, encode_documents, op3_bpe_codec, round_trip  # noqa: E402
-from rasterloom.llm.op4_token_records import frame, op4_token_records, read_frame, read_records, shuffled_read, with_starts, write_records  # noqa: E402
+from rasterloom.llm.op4_token_records import frame, frames, op4_token_records, read_records, shuffled_read, with_starts, write_records  # noqa: E402
 from rasterloom.llm.op6_best_fit_packing import CapacityTree, best_fit_decreasing, op6_best_fit_packing, pack_documents  # noqa: E402
 from rasterloom.llm.shared import fresh_dir  # noqa: E402
 
@@ -41,7 +42,6 @@ def library_ids():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -110,15 +110,38 @@ def test_record_files(spark, odd, none_of, library_ids):
 
 
 def test_damage_is_seen():
-    data = bytearray(frame(b"payload") + frame(b"more"))
-    payload, after = read_frame(memoryview(data), 0)
-    assert payload == b"payload" and read_frame(memoryview(data), after) == (b"more", len(data))
+    data = frame(b"payload") + frame(b"more")
+    assert list(frames(io.BytesIO(data))) == [b"payload", b"more"]
     for at in (0, 9, 14, len(data) - 1):
         broken = bytearray(data)
         broken[at] ^= 1
-        with pytest.raises((ValueError, Exception)):
-            _, then = read_frame(memoryview(broken), 0)
-            read_frame(memoryview(broken), then)
+        with pytest.raises(ValueError):
+            list(frames(io.BytesIO(bytes(broken))))
+    with pytest.raises(ValueError):
+        list(frames(io.BytesIO(data[:-3])))
+
+
+def test_ids_that_do_not_fit(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    with pytest.raises(ValueError):
+        write_records(docs, fresh_dir(spark, "test-records"), TOKENIZER, end_id=1 << 16)
+    wide = fresh_dir(spark, "test-records")
+    write_records(docs, wide, TOKENIZER, end_id=1 << 16, width=4)
+    assert np.frombuffer(read_records(spark, wide).first()["ids"], "<u4")[-1] == 1 << 16
+
+
+def test_memories_are_bounded():
+    from rasterloom.llm.bpe import Chunks
+
+    seen = []
+    chunks = Chunks(lambda new: seen.append(len(new)) or [x.encode() for x in new], remembered=1 << 20)
+    texts = [" ".join(f"w{(i * 37 + j) % 9000}" for j in range(300)) + " " + "x" * 5000 for i in range(200)]
+    for t in texts:
+        assert chunks.encode([t]) == [t.encode()]
+    for m in (chunks.after_space, chunks.whole):
+        assert m.size <= m.most // 2 and max(map(len, [*m.young, *m.old, ""])) <= 64
+        assert sum(len(k) + len(v) for d in (m.young, m.old) for k, v in d.items()) < 1 << 20
+    assert sum(seen) < 60_000
 
 
 def bins_of(lengths, capacity):
