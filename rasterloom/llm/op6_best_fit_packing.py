@@ -122,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         counts[length] = n
     plan, _ = best_fit_decreasing(counts, capacity)
     # Rank among the pieces of a length: ranked within buckets, after the buckets before.
-    n_buckets = F.get(array_literal(np.array(counts) // BUCKET_ROWS + 1), F.col("length").cast("int"))
+    n_buckets = F.get(array_literal(n // BUCKET_ROWS + 1 for n in counts), F.col("length").cast("int"))
     bucketed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), n_buckets))
     before = bucketed.groupBy("length", "bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("bucket")) - F.col("count")).drop("count")
     within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterable
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,20 +82,20 @@ def _bit(*columns: str) -> tuple[Column, Column]:
     return F.shiftright(h, 6).cast("int"), h.bitwiseAND(63).cast("int")
 
 
-def bit_set(rows: DataFrame, *columns: str) -> np.ndarray:
+def bit_set(rows: DataFrame, *columns: str) -> list[int]:
     """A bit for the hash of each row's columns; BIT_WORDS longs, whatever the number of rows. A filter before a semi-join, which stays exact: the set only rules out."""
     word, bit = _bit(*columns)
-    out = np.zeros(BIT_WORDS, np.int64)
-    found = rows.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) x").groupBy("w").agg(F.bit_or("x").alias("x")).toArrow()  # at most BIT_WORDS rows
-    out[found.column("w").to_numpy()] = found.column("x").to_numpy()
+    out = [0] * BIT_WORDS
+    for w, x in rows.select(word.alias("w"), bit.alias("b")).selectExpr("w", "shiftleft(1L, b) x").groupBy("w").agg(F.bit_or("x").alias("x")).collect():  # at most BIT_WORDS rows
+        out[w] = x
     return out
 
 
-def in_bit_set(bits: np.ndarray, *columns: str) -> Column:
+def in_bit_set(bits: list[int], *columns: str) -> Column:
     word, bit = _bit(*columns)
     return F.getbit(F.get(array_literal(bits), word), bit) == 1
 
 
-def array_literal(values: np.ndarray) -> Column:
-    """Whole numbers as one array of longs, which the optimizer folds to a literal; handed over as one string, not number by number."""
-    return F.split(F.lit(",".join(map(str, values.tolist()))), ",").cast("array<bigint>")
+def array_literal(values: Iterable[int], kind: str = "bigint") -> Column:
+    """Whole numbers as one array, which the optimizer folds to a literal; handed over as one string, not number by number."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")

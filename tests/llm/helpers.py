@@ -27,15 +27,13 @@ def near_groups(texts):
 
 
 def line_oracle(texts):
-    lines = [(d, i, frozenset(x for x in l.split() if x)) for d in sorted(texts) for i, l in enumerate((texts[d] or "").split("\n"))]
-    lines = [l for l in lines if len(l[2]) >= 5]
+    """(doc_id, line) of each line that is removed to the earlier lines that match it."""
+    lines = [(d, i, frozenset(l.split())) for d in sorted(texts) for i, l in enumerate((texts[d] or "").split("\n"))]
+    lines = [l for l in lines if l[2]]
     out = {}
     for k, (d, i, s) in enumerate(lines):
-        links, removed = 0, False
-        for j, (_, _, t) in enumerate(lines):
+        for e, j, t in lines[:k]:
             both = len(s & t)
-            if j != k and 100 * both >= 75 * (len(s) + len(t) - both):
-                links, removed = links + 1, removed or j < k
-        if links:
-            out[(d, i)] = (links, removed)
+            if both and 100 * both >= 75 * (len(s) + len(t) - both):
+                out.setdefault((d, i), set()).add((e, j))
     return out

@@ -4,7 +4,10 @@ import collections
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
+from rasterloom.llm import op2_line_dedup as op2
 from rasterloom.llm.op2_line_dedup import deduplicate, op2_line_dedup
 from rasterloom.llm.op7_minmax_dedup import MinMax, components, keep_one, near_duplicates, odd_sketch, op7_minmax_dedup, shingle_set
 
@@ -76,29 +79,33 @@ def test_components(spark):
 
 
 def check_lines(rows, texts):
-    want = line_oracle(texts)
-    got = {}
+    want, got = line_oracle(texts), set()
     for r in rows:
-        lines = r["matched"] or []
-        if isinstance(lines, str):
-            lines = [dict(zip(("line", "class_doc", "class_line", "n_links", "removed"), (*map(int, m.split(":")[:4]), m.endswith("true")))) for m in lines.split(",")]
-        gone = {m["line"] for m in lines if m["removed"]}
-        got |= {(r["doc_id"], m["line"]): (m["n_links"], m["removed"]) for m in lines}
         text = texts[r["doc_id"]]
-        if "clean" in r:
+        if isinstance(r["removed"], str):
+            gone = {int(m.split(":")[0]): tuple(map(int, m.split(":")[1:])) for m in r["removed"].split(",") if m}
+        else:
+            gone = {m["line"]: (m["class_doc"], m["class_line"]) for m in r["removed"] or [] if m["removed"]}
+            assert all((m["match_doc"], m["match_line"]) in want[r["doc_id"], m["line"]] for m in r["removed"] or [] if m["removed"])
             assert r["clean"] == (None if text is None else "\n".join(l for i, l in enumerate(text.split("\n")) if i not in gone))
+        got |= {(r["doc_id"], i) for i in gone}
+        words = lambda d, i: set(texts[d].split("\n")[i].split())
+        assert all(words(r["doc_id"], i) == words(*first) for i, first in gone.items())
         assert r["n_removed"] == len(gone)
-    assert got == want
+    assert got == want.keys()
 
 
 def test_line_dedup_query(spark, data, texts):
     check_lines(op2_line_dedup(spark, data).collect(), texts)
-    check_lines(deduplicate(spark.read.parquet(f"{data}/documents.parquet")).select("row.doc_id", "clean", "n_removed", "matched").collect(), texts)
+    check_lines(deduplicate(spark.read.parquet(f"{data}/documents.parquet")).select("row.doc_id", "clean", "n_removed", F.col("matched").alias("removed")).collect(), texts)
 
 
-def test_line_dedup_near_lines(spark):
+@pytest.mark.parametrize("frequent", [256, 1])
+def test_line_dedup_near_lines(spark, monkeypatch, frequent):
+    """Lines of few words, that resemble each other in groups; where each word is frequent, too."""
+    monkeypatch.setattr(op2, "FREQUENT", frequent)
     rng = random.Random(6)
-    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(4, 16))] for _ in range(40)]
+    base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 16))] for _ in range(40)]
     texts = {}
     for d in range(60):
         lines = []
@@ -108,7 +115,7 @@ def test_line_dedup_near_lines(spark):
                 w[rng.randrange(len(w))] = f"w{rng.randrange(60)}"
             lines.append(" ".join(w))
         texts[d] = "\n".join(lines)
-    rows = deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("row.doc_id", "clean", "n_removed", "matched").collect()
+    rows = deduplicate(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).select("row.doc_id", "clean", "n_removed", F.col("matched").alias("removed")).collect()
     check_lines(rows, texts)
 
 
@@ -117,4 +124,5 @@ def test_line_dedup_odd_rows(odd, none_of):
     assert len(rows) == odd.count()
     assert all(r["clean"] is None for r in rows if r["text"] is None)
     assert {r["clean"] for r in rows if r["doc_id"] == 9} == {"the same line of six words\n"}
+    assert {r["clean"] for r in rows if r["doc_id"] is None} == {"no id here"}
     assert deduplicate(none_of).count() == 0
