@@ -6,7 +6,7 @@ all of them with a probability of about (1 - 0.75^6)^80 = 1.5e-7. Links are conf
 
 Groups of copies stay cheap. Documents with equal sets are one class from the start. A class is compared with the
 centre of each bucket it is in, the class whose bands meet most others; what is then in one component needs no more comparisons.
-Only pairs of a bucket whose two components still differ are compared too, once each. Before full sets are moved, odd
+Only pairs of a bucket whose two components still differ are compared too. Before full sets are moved, odd
 sketches (bits that flip with each element) rule out pairs: sketches never differ in more bits than the sets do in
 elements, so no link between components is lost.
 
@@ -18,6 +18,7 @@ component's name unless alone (then null); extra columns are left out; an empty
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import bit_set, cut, documents, in_bit_set, own
+from .shared import Scratch, bit_set, documents, in_bit_set, own
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -120,21 +121,26 @@ def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
     return df.mapInArrow(run, "set_key binary, hashes array<long>, sketch array<long>")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """node, label: the least node of the connected component, for each node of the edges (a, b).
 
     Each round a node takes the least label around it, then its label's label; rounds grow with the logarithm of the
     longest path. Minima are combined before the shuffle, so a node with many edges is no hot spot.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    run = uuid.uuid4().hex
+    both = scratch.table(f"{run}-edges", edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label"))
+    labels, rounds = scratch.table(f"{run}-0", labels), 0
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("around"))
         near = labels.join(around, "node").select("node", F.least("label", "around").alias("near"), F.col("label").alias("was"))
         of_label = labels.select(F.col("node").alias("near"), F.col("label").alias("beyond"))
-        new = cut(near.join(of_label, "near").select("node", F.least("near", "beyond").alias("label"), "was"))
+        rounds += 1
+        new = scratch.table(f"{run}-{rounds}", near.join(of_label, "near").select("node", F.least("near", "beyond").alias("label"), "was"))
+        scratch.drop(f"{run}-{rounds - 1}")
         labels = new.select("node", "label")
-        if not new.where("label <> was").limit(1).count():
+        if new.where("label <> was").isEmpty():
             return labels
 
 
@@ -171,43 +177,42 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def _verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """As near_duplicates, with text_key long and `stays`: whether the row has the id and the text of the one document that stays of its component."""
-    docs = own(df, id_col, text_col)
-    found = cut(features(docs, "doc_id", "text", words, bands, rows))
+    docs, scratch = own(df, id_col, text_col), Scratch(df.sparkSession, "near")
+    found = scratch.table("found", features(docs, "doc_id", "text", words, bands, rows))
     first = lambda *c: F.struct(F.col(c[0]).isNull(), *c)  # noqa: E731  nulls come last
-    classes = cut(
-        found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min_by("text_key", first("doc_id", "text_key")).alias("first_text"), F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id())
-    )
+    classes = found.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min_by("text_key", first("doc_id", "text_key")).alias("first_text"), F.first("bands").alias("bands"))
+    classes = scratch.table("classes", classes.withColumn("node", F.monotonically_increasing_id()))
     entries = classes.select("node", F.explode("bands").alias("key"))
-    buckets = cut(entries.groupBy("key").count().where("count > 1"))
-    shared = cut(entries.join(buckets, "key"))
+    shared = scratch.table("shared", entries.join(entries.groupBy("key").count().where("count > 1"), "key"))
+    scratch.drop()
     # A class that meets more others is the better centre: near copies all resemble their original more than each other.
-    met = shared.groupBy("node").agg(F.sum("count").alias("met"))
+    met = scratch.table("met", shared.groupBy("node").agg(F.sum("count").alias("met")))
     centres = shared.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("centre"))
-    first_pairs = shared.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-
-    members = cut(met.join(classes, "node").select("node", "set_key", "first_id", "bands"))
-    candidates = members.select(F.col("first_id").alias("doc_id")).distinct()
-    texts = docs.where(in_bit_set(bit_set(candidates, "doc_id"), "doc_id")).join(members.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    sets = cut(shingle_sets(texts, words).groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch")).join(members.select("set_key", "node"), "set_key").select("node", F.size("hashes").alias("n"), "hashes", "sketch"))
-    edges = cut(linked(first_pairs, sets))
-    labels = components(edges)
-
-    # What is left: pairs of a bucket in different components. Entries carry half of each key, to compare a pair in its
-    # first common bucket only, and short sketches; the full sketches follow in `linked`.
-    half = lambda key: F.shiftright(key, 32).cast("int")
-    labelled = members.join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"), F.transform("bands", half).alias("bands"))
-    placed = shared.select("key", "node").join(labelled.select("node", "label"), "node")
-    mixed = placed.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key")
-    rest = placed.join(mixed, "key").select("key", "node").join(labelled, "node").join(sets.select("node", "n", shorter("sketch").alias("sketch")), "node")
-    left, right = (rest.select("key", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "label", "bands", "n", "sketch"))) for side in "ab")
-    once = F.element_at(F.array_intersect("bands_a", "bands_b"), 1) == half(F.col("key"))
-    more_pairs = (
-        left.join(right, "key").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & possible(SHORT) & once)
-        .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).join(first_pairs, ["a", "b"], "left_anti")
-    )
-    more_edges = cut(linked(more_pairs, sets))
-    all_edges = edges if more_edges.isEmpty() else edges.union(more_edges)
-    labels = labels if all_edges is edges else components(all_edges)
+    first_pairs = scratch.table("first_pairs", shared.join(centres, "key").where("node <> centre").select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
+
+    members = scratch.table("members", met.join(classes.select("node", "set_key", "first_id"), "node").select("node", "set_key", "first_id"))
+    texts = docs.where(in_bit_set(bit_set(members, "first_id"), "doc_id")).join(members.select("first_id").distinct(), F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
+    sets = shingle_sets(texts, words).groupBy("set_key").agg(F.first("hashes").alias("hashes"), F.first("sketch").alias("sketch"))
+    sets = scratch.table("sets", sets.join(members.select("set_key", "node"), "set_key").select("node", F.size("hashes").alias("n"), "hashes", "sketch"))
+    scratch.drop("met", "members")
+    edges = scratch.table("edges", linked(first_pairs, sets))
+    labels = scratch.table("labels", components(edges, scratch))
+
+    # What is left: pairs of a bucket in different components. In each bucket the label that most of its entries have is
+    # on one side only, so a group of near copies isn't compared with itself. Entries carry short sketches; the full ones follow in `linked`.
+    placed = shared.select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    by_label = placed.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count(F.lit(1)).alias("labels"))
+    rest = placed.join(by_label.where("labels > 1").drop("labels"), "key").join(sets.select("node", "n", shorter("sketch").alias("sketch")), "node")
+    rest = scratch.table("rest", rest)
+    scratch.drop("shared")
+    left, right = (rest.select("key", "main", *(F.col(x).alias(f"{x}_{side}") for x in ("node", "label", "n", "sketch"))) for side in "ab")
+    met = left.where("label_a <> main").join(right.drop("main"), "key")
+    once = (F.col("label_b") == F.col("main")) | (F.col("node_a") < F.col("node_b"))
+    more_pairs = met.where((F.col("label_a") != F.col("label_b")) & once & possible(SHORT)).select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
+    more_edges = scratch.table("more_edges", linked(more_pairs.join(first_pairs, ["a", "b"], "left_anti"), sets))
+    scratch.drop("rest", "first_pairs", "sets")
+    if not more_edges.isEmpty():
+        labels = scratch.table("all_labels", components(edges.union(more_edges), scratch))
 
     named = classes.select("set_key", "node", "first_id", "first_text").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("first_id").alias("component_id"), F.min_by("first_text", first("first_id", "set_key")).alias("stays_text"))
@@ -218,7 +223,7 @@ def _verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", wor
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of df, all columns, of the document that stays of each component; of rows with the same id and text each stays where that document does, of those with a null id and the same text one."""
-    gone = cut(_verdicts(df, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_text")).distinct())
+    gone = Scratch(df.sparkSession, "gone").table("rows", _verdicts(df, id_col, text_col).where(~F.col("stays")).select(F.col("doc_id").alias("g_id"), F.col("text_key").alias("g_text")).distinct())
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     rows = rows.withColumns({"g_id": F.col(f"row.`{id_col}`").cast("long"), "text": F.col(f"row.`{text_col}`").cast("string")})
     may_go = F.col("g_id").isNull() | in_bit_set(bit_set(gone, "g_id"), "g_id")  # of the rest no text moves
