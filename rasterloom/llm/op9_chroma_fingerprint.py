@@ -1,22 +1,24 @@
 """Operator 9: chroma audio fingerprints of a media column, and alignment of recordings.
 
-A recording's samples are cut into overlapping frames; a frame's spectrum is folded into twelve pitch classes. Sixteen
-rectangle filters over a few frames and classes, answered in constant time from an integral image, give two bits
-each: one packed 32-bit integer per position. Recordings that share integers are aligned by the histogram of position differences,
-and the bit errors along the overlap at the best difference tell how alike they are.
-
-Recordings with equal fingerprints are one class from the start, so copies are compared once. A repeated integer of a
-recording is one row that lists its positions.
-
-Defined results: null or empty media have no integers and match nothing; shorter media than one fingerprint window are
-padded with silence; queries are ids for which `query` holds; repeated rows each get a row; extra columns are left out;
-an empty table gives an empty result.
+A recording's samples are cut into overlapping frames of the same duration at every sample rate, long enough to part
+semitones; a frame's spectrum is folded into twelve pitch classes. Sixteen rectangle filters over a few frames and classes,
+answered in constant time from an integral image, give two bits each: one packed 32-bit integer per position. Recordings that share an index key are aligned by the histogram of
+position differences, and the bit errors along the overlap at the best difference tell how alike they are. A key is the signs
+of all filters at two positions, `STEP` apart, less easily changed by noise than an integer; as keys are shared by chance too, two at the
+same difference make a candidate. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
+
+Recordings with equal fingerprints are one class from the start, so copies are compared once.
+
+Defined results: null or empty media have no integers and match nothing; media that can't be read (damaged or unknown
+files) neither, and say why in `error`; shorter media than one fingerprint window are padded with silence; media of fewer than
+`LEAST_POSITIONS` integers match as copies only; queries are ids for which `query` holds; repeated rows each get a row; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import struct
 import wave
 from collections.abc import Iterator
 
@@ -26,13 +28,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..packaging import ship
-from .shared import cut, documents
+from .shared import Scratch, documents
 
-RATE, FRAME, HOP, SPAN = 11025, 256, 64, 8
+#: Samples a second of raw media, seconds of a frame (4096 samples at that rate), frames of a fingerprint window, and samples that are worked on at once, about.
+RATE, SECONDS, SPAN, AT_ONCE = 11025, 4096 / 11025, 8, 1 << 22
 #: Least and greatest frequency that counts, in Hz.
 LOW, HIGH = 60.0, 3520.0
-#: Greatest share of differing bits of a match (unrelated recordings differ in three tenths or more), and the least share of the shorter recording that the overlap covers, in percent.
-MOST_ERRORS, LEAST_OVERLAP = 0.2, 50
+#: Greatest share of differing bits of a match (unrelated recordings differ in three tenths), the least share of the shorter recording that the overlap covers, in percent, and the least positions of it (some four seconds; in fewer, unrelated ones meet by chance).
+MOST_ERRORS, LEAST_OVERLAP, LEAST_POSITIONS = 0.15, 50, 40
+#: Positions between the two of a key, and keys of a candidate at its best difference.
+STEP, LEAST_HITS = 2, 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -41,37 +46,55 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(i % 6, 3 * i % (13 - heights[i // 4]), heights[i // 4], widths[(i + i // 4) % 4]) for i in range(16)]
 
 
-def samples(media: bytes, width: int = 1) -> np.ndarray:
-    """Samples from -1 to 1 of a WAV file's bytes (channels averaged) or of raw PCM: unsigned 8-bit, or signed little-endian of 2 or 4 bytes."""
+def frame_of(rate: int) -> tuple[int, int]:
+    """Samples of a frame and between the starts of frames."""
+    hop = max(4, round(SECONDS * rate / 4))
+    return 4 * hop, hop
+
+
+def samples(media: bytes, width: int = 1, rate: int = RATE) -> tuple[np.ndarray, int]:
+    """Samples from -1 to 1 and their rate, of a WAV file's bytes (channels averaged) or of raw PCM: unsigned 8-bit, or signed little-endian of 2, 3 or 4 bytes. Raises ValueError for what can't be read."""
     channels = 1
     if media[:4] == b"RIFF" and media[8:12] == b"WAVE":
-        with wave.open(io.BytesIO(media)) as w:
-            channels, width, media = w.getnchannels(), w.getsampwidth(), w.readframes(w.getnframes())
+        try:
+            with wave.open(io.BytesIO(media)) as w:
+                channels, width, rate, media = w.getnchannels(), w.getsampwidth(), w.getframerate(), w.readframes(w.getnframes())
+        except (wave.Error, EOFError, struct.error) as e:
+            raise ValueError(f"WAV: {e}") from e
+    if width not in (1, 2, 3, 4) or channels < 1 or not 100 <= rate <= 1_000_000:
+        raise ValueError(f"{width} bytes a sample, {channels} channels, {rate} samples a second")
     media = media[: len(media) // (width * channels) * width * channels]
     if width == 1:
         x = (np.frombuffer(media, np.uint8).astype(np.float32) - 128) / 128
     else:
+        if width == 3:  # as the upper three bytes of four
+            wide = np.zeros((len(media) // 3, 4), np.uint8)
+            wide[:, 1:] = np.frombuffer(media, np.uint8).reshape(-1, 3)
+            media, width = wide.tobytes(), 4
         x = np.frombuffer(media, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
-    return x.reshape(-1, channels).mean(1) if channels > 1 else x
+    return (x.reshape(-1, channels).mean(1) if channels > 1 else x), rate
 
 
 def chroma_matrix(rate: int = RATE) -> np.ndarray:
-    f = np.arange(FRAME // 2 + 1) * rate / FRAME
+    frame, _ = frame_of(rate)
+    f = np.arange(frame // 2 + 1) * rate / frame
     out = np.zeros((len(f), 12), np.float32)
     use = (f >= LOW) & (f <= HIGH)
     out[np.flatnonzero(use), np.round(12 * np.log2(f[use] / 440)).astype(int) % 12] = 1
     return out
 
 
-def chroma(buffer: np.ndarray, matrix: np.ndarray) -> np.ndarray:
-    """Pitch-class energies of frames every HOP samples, each of unit length."""
-    window = np.hanning(FRAME).astype(np.float32)
-    frames = np.lib.stride_tricks.sliding_window_view(buffer, FRAME)[::HOP]
+def chroma(buffer: np.ndarray, rate: int, matrix: np.ndarray) -> np.ndarray:
+    """Pitch-class energies of frames, each of unit length; of silent frames 0."""
+    frame, hop = frame_of(rate)
+    window = np.hanning(frame).astype(np.float32)
+    frames = np.lib.stride_tricks.sliding_window_view(buffer, frame)[::hop]
     out = np.empty((len(frames), 12), np.float32)
-    for s in range(0, len(frames), 8192):
-        x = frames[s : s + 8192]
+    rows = max(1, (2 << 20) // frame)
+    for s in range(0, len(frames), rows):
+        x = frames[s : s + rows]
         x = (x - x.mean(1, keepdims=True)) * window
-        out[s : s + 8192] = (np.abs(np.fft.rfft(x)) ** 2) @ matrix
+        out[s : s + rows] = (np.abs(np.fft.rfft(x)) ** 2) @ matrix
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-6)
 
 
@@ -111,113 +134,130 @@ def packed_integers(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def prints_of(recordings: list[np.ndarray], rate: int, matrix: np.ndarray) -> list[np.ndarray]:
+    """The integers of recordings of one rate; none of one without samples."""
+    frame, hop = frame_of(rate)
+    parts, starts, counts, at = [], [], [], 0
+    for x in recordings:
+        size = max((SPAN - 1) * hop + frame, -(-len(x) // hop) * hop + frame - hop) if len(x) else 0
+        parts.append(np.pad(x, (0, size - len(x))))
+        starts.append(at // hop)
+        counts.append((size - frame) // hop + 1 - SPAN + 1 if size else 0)
+        at += size
+    codes = packed_integers(chroma(np.concatenate(parts), rate, matrix)).view(np.int32) if at else np.empty(0, np.int32)
+    return [codes[s : s + n] for s, n in zip(starts, counts)]
+
+
 def fingerprints(df: DataFrame, id_col: str, media_col: str, width: int = 1, rate: int = RATE) -> DataFrame:
-    """doc_id, class_key binary (digest of the integers), prints array<int>; null and empty media have no key."""
+    """doc_id, class_key binary (digest of the integers), prints array<int>, error string; media without integers have no key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix = chroma_matrix(rate)
-        least = (SPAN - 1) * HOP + FRAME
+        matrices: dict[int, np.ndarray] = {}
+
+        def batch_of(ids: list, read: list[tuple[np.ndarray, int]], errors: list) -> pa.RecordBatch:
+            prints: list[np.ndarray] = [np.empty(0, np.int32)] * len(read)
+            for r in {r for _, r in read}:
+                own = [i for i, x in enumerate(read) if x[1] == r]
+                for i, p in zip(own, prints_of([read[i][0] for i in own], r, matrices.setdefault(r, chroma_matrix(r)))):
+                    prints[i] = p
+            keys = [hashlib.blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in prints]
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int32())), pa.array(errors, pa.string())], _PRINTS)
+
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                parts, starts, counts, at = [], [], [], 0
-                for media in part.column(1).to_pylist():
-                    x = samples(media, width) if media else np.empty(0, np.float32)
-                    size = max(least, -(-len(x) // HOP) * HOP + FRAME - HOP) if len(x) else 0
-                    parts.append(np.pad(x, (0, size - len(x))))
-                    starts.append(at // HOP)
-                    counts.append((size - FRAME) // HOP + 1 - SPAN + 1 if size else 0)
-                    at += size
-                whole = np.concatenate(parts) if at else np.empty(0, np.float32)
-                codes = packed_integers(chroma(whole, matrix)).view(np.int32) if at else np.empty(0, np.int32)
-                prints = [codes[s : s + n] for s, n in zip(starts, counts)]
-                keys = [hashlib.blake2b(p.tobytes(), digest_size=16).digest() if len(p) else None for p in prints]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(prints, pa.list_(pa.int32()))], ["doc_id", "class_key", "prints"])
+            ids, read, errors, held = [], [], [], 0
+            for i in range(batch.num_rows):
+                media, error = batch.column(1)[i].as_py(), None
+                try:
+                    x = samples(media, width, rate) if media else (np.empty(0, np.float32), rate)
+                except ValueError as e:
+                    x, error = (np.empty(0, np.float32), rate), str(e)
+                ids.append(batch.column(0)[i].as_py()), read.append(x), errors.append(error)
+                held += len(x[0])
+                if held >= AT_ONCE:
+                    yield batch_of(ids, read, errors)
+                    ids, read, errors, held = [], [], [], 0
+            if ids:
+                yield batch_of(ids, read, errors)
 
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{media_col}`").cast("binary").alias("media"))
-    return rows.mapInArrow(run, "doc_id long, class_key binary, prints array<int>")
+    return rows.mapInArrow(run, "doc_id long, class_key binary, prints array<int>, error string")
 
 
-def postings(classes: DataFrame) -> DataFrame:
-    """node, value, positions: a row per distinct integer of a class."""
+_PRINTS = ["doc_id", "class_key", "prints", "error"]
+
+
+def signs(codes: np.ndarray) -> np.ndarray:
+    """Of each integer the 16 bits that say whether a filter's answer is above 0."""
+    u, out = codes.view(np.uint32), np.zeros(len(codes), np.int64)
+    for k in range(15, -1, -1):
+        out = out << 1 | (u >> np.uint32(2 * k + 1) & np.uint32(1))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                codes = part.column(1).combine_chunks() if isinstance(part.column(1), pa.ChunkedArray) else part.column(1)
-                lengths = np.diff(codes.offsets.to_numpy())
-                values = codes.flatten().to_numpy().astype(np.int64)
-                row = np.repeat(np.arange(len(lengths)), lengths)
-                where = np.arange(len(values)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                key = row << 32 | (values & 0xFFFFFFFF)
-                order = np.argsort(key, kind="stable")
-                first = np.flatnonzero(np.diff(key[order], prepend=-1))
-                offsets = np.append(first, len(order)).astype(np.int32)
-                nodes = part.column(0).to_numpy()[row[order[first]]]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values[order[first]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(where[order].astype(np.int32)))], ["node", "value", "positions"])
-
-    return classes.select("node", "prints").mapInArrow(run, "node long, value int, positions array<int>")
-
-
-def best_shift(q_at: list, m_at: list) -> tuple[int, int]:
-    """The position difference that most pairs of equal integers have (of ties the least one in size, then the greater), and how many have it."""
-    low, high = min(x[0] for x in m_at) - max(x[-1] for x in q_at), max(x[-1] for x in m_at) - min(x[0] for x in q_at)
-    counts = np.zeros(high - low + 1, np.int64)
-    for a, b in zip(q_at, m_at):
-        if len(a) == len(b) == 1:
-            counts[b[0] - a[0] - low] += 1
-        else:
-            b = np.asarray(b) - low
-            for x in a:  # the positions of an integer differ, so no slot is met twice
-                counts[b - x] += 1
-    tied = np.flatnonzero(counts == counts.max()) + low
-    shift = max(tied.tolist(), key=lambda x: (-abs(x), x))
-    return shift, int(counts[shift - low])
 
+def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of keys, and keys, of the integers of recordings one after another; row: the recording of each."""
+    s, n = signs(codes), max(0, len(codes) - STEP)
+    key = s[:n] << 16 | s[STEP : STEP + n]
+    still = int(signs(packed_integers(np.zeros((SPAN, 12), np.float32)))[0])
+    use = (row[:n] == row[STEP : STEP + n]) & (key != (still << 16 | still))
+    use[1:] &= (key[1:] != key[:-1]) | (row[1:n] != row[: n - 1]) if n else True
+    at = np.flatnonzero(use)
+    return at, key[at]
 
-def best_shifts(met: DataFrame) -> DataFrame:
-    """q, m, shift int, hits long of rows that list, per common integer, its positions (ascending) in q and in m."""
+
+def postings(classes: DataFrame) -> DataFrame:
+    """node long, asks boolean, key long, at int: a row per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                best = [best_shift(a, b) for a, b in zip(part.column("q_at").to_pylist(), part.column("m_at").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("q"), part.column("m"), pa.array([x[0] for x in best], pa.int32()), pa.array([x[1] for x in best], pa.int64())], ["q", "m", "shift", "hits"])
+                lengths = part.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(len(lengths)), lengths)
+                within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                at, key = index_keys(part.column(2).flatten().to_numpy(), row)
+                of = pa.array(row[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(key, pa.int64()), pa.array(within[at], pa.int32())], ["node", "asks", "key", "at"])
 
-    return met.mapInArrow(run, "q long, m long, shift int, hits long")
+    return classes.where(F.size("prints") >= LEAST_POSITIONS).select("node", "asks", "prints").mapInArrow(run, "node long, asks boolean, key long, at int")
 
 
 def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str = "media", width: int = 1, rate: int = RATE) -> DataFrame:
-    """Membership and matches. Each row of df: doc_id, class_id (least id with the same fingerprint), n_prints. Each match of a class with a
+    """Membership and matches. Each row of df: doc_id, class_id (least id with the same fingerprint), n_prints, error. Each match of a class with a
     query (`query` over doc_id) and another class, both by class_id: doc_id null, class_id, match_id, shift (position in match_id less
     position in class_id), hits, overlap long, errors double (share of bits)."""
-    found = cut(fingerprints(df, id_col, media_col, width, rate))
-    classes = cut(
-        found.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.max(F.coalesce(query, F.lit(False))).alias("asks"), F.first("prints").alias("prints"))
-        .withColumn("node", F.monotonically_increasing_id())
-    )
-    asked = postings(classes.where("asks")).select(F.col("node").alias("q"), "value", F.col("positions").alias("q_at"))
-    all_of = postings(classes).select(F.col("node").alias("m"), "value", F.col("positions").alias("m_at"))
-    both_ask = classes.where("asks").select(F.col("node").alias("m"), F.lit(True).alias("m_asks"))
-    shared = asked.join(all_of, "value").where("q <> m")
-    best = best_shifts(shared.groupBy("q", "m").agg(F.collect_list("q_at").alias("q_at"), F.collect_list("m_at").alias("m_at")))  # no more positions than the two recordings have
-    best = best.join(both_ask, "m", "left").where("m_asks is null or q < m")  # a pair of asking classes once
+    scratch = Scratch(df.sparkSession, "media")
+    found = scratch.table("prints", fingerprints(df, id_col, media_col, width, rate))
+    classes = found.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.max(F.coalesce(query, F.lit(False))).alias("asks"), F.first("prints").alias("prints"))
+    classes = scratch.table("classes", classes.withColumn("node", F.monotonically_increasing_id()))
+    scratch.drop()
+    post = postings(classes)
+    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"))
+    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at")), "key")
+    met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
+    shifts = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
+    best = shifts.groupBy("q", "m").agg(F.max(F.struct("hits", (-F.abs("shift")).alias("near"), "shift")).alias("best"))
+    best = scratch.table("best", best.where(F.col("best.hits") >= LEAST_HITS).select("q", "m", "best.shift", "best.hits"))
+    scratch.drop()
     of = lambda node: classes.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
     pairs = best.join(of("q"), "q").join(of("m"), "m")
     from_q, from_m = F.greatest(F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.col("shift"))
     overlap = F.least(F.size("prints_q") - from_q, F.size("prints_m") - from_m)
     differing = F.aggregate(F.zip_with(F.slice("prints_q", from_q + 1, overlap), F.slice("prints_m", from_m + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    measured = pairs.select(F.lit(None).cast("long").alias("doc_id"), F.col("id_q").alias("class_id"), F.lit(None).cast("long").alias("n_prints"), F.col("id_m").alias("match_id"), F.col("shift").cast("long").alias("shift"), "hits", overlap.cast("long").alias("overlap"), (differing / (32.0 * overlap)).alias("errors"), F.least(F.size("prints_q"), F.size("prints_m")).alias("shorter"))
-    matched = measured.where((F.col("errors") <= MOST_ERRORS) & (100 * F.col("overlap") >= LEAST_OVERLAP * F.col("shorter"))).drop("shorter")
-    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("match_id", "long"), ("shift", "long"), ("hits", "long"), ("overlap", "long"), ("errors", "double"))]
-    members = found.select("doc_id", "class_key", F.size("prints").cast("long").alias("n_prints")).join(classes.select("class_key", "class_id"), "class_key", "left").select("doc_id", "class_id", "n_prints", *nothing)
+    null = lambda kind: F.lit(None).cast(kind)
+    measured = pairs.select(null("long").alias("doc_id"), F.col("id_q").alias("class_id"), null("long").alias("n_prints"), null("string").alias("error"), F.col("id_m").alias("match_id"), F.col("shift").cast("long").alias("shift"), "hits", overlap.cast("long").alias("overlap"), (differing / (32.0 * overlap)).alias("errors"), F.least(F.size("prints_q"), F.size("prints_m")).alias("shorter"))
+    matched = measured.where((F.col("errors") <= MOST_ERRORS) & (100 * F.col("overlap") >= LEAST_OVERLAP * F.col("shorter")) & (F.col("overlap") >= LEAST_POSITIONS)).drop("shorter")
+    nothing = [null(t).alias(c) for c, t in (("match_id", "long"), ("shift", "long"), ("hits", "long"), ("overlap", "long"), ("errors", "double"))]
+    members = found.select("doc_id", "class_key", F.size("prints").cast("long").alias("n_prints"), "error").join(classes.select("class_key", "class_id"), "class_key", "left").select("doc_id", "class_id", "n_prints", "error", *nothing)
     return members.union(matched)
 
 
+#: Samples a second that the query takes a text's bytes to be: frames are 256 bytes then, and texts of all lengths have some.
+TEXT_RATE = 689
+
+
 def op9_chroma_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The test tables hold no audio; the bytes of each document's text are taken as 8-bit PCM samples, which gives recordings of all lengths with copies, near copies and shared passages."""
+    """The test tables hold no audio; the bytes of each document's text are taken as 8-bit PCM samples of a low rate, which gives recordings of all lengths with copies, near copies and shared passages."""
     docs = documents(spark, sf_dir).select("doc_id", F.col("text").cast("binary").alias("media"))
-    return align(docs, F.col("doc_id") % 50 == 0)
+    return align(docs, F.col("doc_id") % 50 == 0, rate=TEXT_RATE)

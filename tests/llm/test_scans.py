@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.op1_secret_scan import op1_secret_scan, redact, scan
 from rasterloom.llm.op5_stupid_backoff import VOCABULARY, op5_stupid_backoff, score
 from rasterloom.llm.op8_quality_outliers import judge, op8_quality_outliers
-from rasterloom.llm.op9_chroma_fingerprint import align, op9_chroma_fingerprint, samples
+from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, LEAST_POSITIONS, MOST_ERRORS, SPAN, TEXT_RATE, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
 from rasterloom.llm.op10_language_id import fit, in_fold, op10_language_id, predict, predict_rows, sample
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -145,32 +145,67 @@ def test_outliers(spark):
     assert all(got[i] for i in range(400)) and not any(got[i] for i in got if i >= 1000)
 
 
-def tone(seed, n=12000):
-    rng = np.random.default_rng(seed)
-    t = np.arange(n) / 11025
-    x = sum(np.sin(2 * np.pi * f * t + p) * (np.sin(2 * np.pi * t * rng.uniform(0.5, 4)) > 0) for f, p in zip(rng.uniform(100, 3000, 12), rng.uniform(0, 6, 12)))
-    return np.clip(x / 12 * 100 + 128, 0, 255).astype(np.uint8).tobytes()
+def tone(seed, seconds=12.0, rate=11025):
+    """Notes of a twelfth of a second to a second, on the scale."""
+    rng, t = np.random.default_rng(seed), np.arange(int(seconds * rate)) / rate
+    x = np.zeros(len(t))
+    for _ in range(3):
+        ends = np.cumsum(rng.uniform(1 / 12, 1, int(12 * seconds) + 12))
+        pitch = 220 * 2 ** (rng.integers(0, 30, len(ends)) / 12)
+        x += np.sin(2 * np.pi * pitch[np.searchsorted(ends, t)] * t)
+    return x / 3
+
+
+def pcm(x):
+    return np.clip(np.round(x * 100 + 128), 0, 255).astype(np.uint8).tobytes()
+
+
+def wav(x, width=2, rate=11025, channels=1):
+    x = np.clip(x, -1, 1)
+    buffer = io.BytesIO()
+    with wave.open(buffer, "wb") as w:
+        w.setnchannels(channels), w.setsampwidth(width), w.setframerate(rate)
+        if width == 1:
+            w.writeframes(np.round(np.asarray(x) * 127 + 128).astype(np.uint8).tobytes())
+        else:
+            w.writeframes(b"".join(int(v * (2 ** (8 * width - 1) - 1)).to_bytes(width, "little", signed=True) for v in np.repeat(x, channels)))
+    return buffer.getvalue()
 
 
 def test_alignment(spark, odd, none_of):
-    base = tone(1)
-    rows = [(0, base), (1, base[64 * 20 :]), (2, base), (3, tone(2)), (4, b"\x80" * 64 * 7 + base), (5, None), (6, b""), (7, b"short"), (8, tone(3))]
+    base, hop = tone(1), frame_of(11025)[1]
+    noisy = base + np.random.default_rng(5).normal(0, 0.03, len(base))
+    damaged = bytearray(wav(base[:400]))
+    damaged[20] = 77  # the format tag
+    rows = [(0, pcm(base)), (1, pcm(base[hop * 20 :])), (2, pcm(base)), (3, pcm(tone(2))), (4, b"\x80" * hop * 7 + pcm(base)), (5, None), (6, b""), (7, b"short"), (8, pcm(tone(3)))]
+    rows += [(9, wav(noisy, 3)), (10, wav(tone(1, rate=44100), 2, 44100, 2)), (11, bytes(damaged)), (12, b"RIFF\0\0\0\0WAVE"), (13, b"\x80" * 200_000), (14, b"\x80" * 210_000)]
     found = align(spark.createDataFrame(rows, "doc_id long, media binary"), F.col("doc_id") == 0).collect()
     members = {r["doc_id"]: r for r in found if r["match_id"] is None and r["doc_id"] is not None}
-    assert members[2]["class_id"] == 0 and members[5]["class_id"] is None and members[7]["n_prints"] == 1
+    assert members.keys() == {r[0] for r in rows} and members[2]["class_id"] == 0 and members[5]["class_id"] is None and members[7]["n_prints"] == 1
+    assert {d for d, r in members.items() if r["error"]} == {11, 12} and members[11]["class_id"] is None
     shifts = {r["match_id"]: r["shift"] for r in found if r["match_id"] is not None}
-    assert shifts == {1: -20, 4: 7}
+    assert shifts == {1: -20, 4: 7, 9: 0, 10: 0}
     media = odd.withColumn("media", F.col("text").cast("binary"))
     assert align(media, F.col("doc_id") % 2 == 0).where("match_id is null").count() == odd.count()
     assert align(none_of.withColumn("media", F.col("text").cast("binary")), F.col("doc_id") % 2 == 0).count() == 0
 
 
-def test_wav_and_query(spark, data, texts):
-    buffer = io.BytesIO()
-    with wave.open(buffer, "wb") as w:
-        w.setnchannels(2), w.setsampwidth(2), w.setframerate(11025)
-        w.writeframes(np.array([[1000, 3000], [-2000, 0]], "<i2").tobytes())
-    assert np.allclose(samples(buffer.getvalue()), [2000 / 32768, -1000 / 32768])
+def test_semitones_part():
+    """Two notes a semitone apart, low ones too, fall into two pitch classes."""
+    for pitch in (110.0, 220.0, 1760.0):
+        for rate in (11025, 44100):
+            t = np.arange(2 * rate) / rate
+            top = [int(chroma(np.sin(2 * np.pi * f * t).astype(np.float32), rate, chroma_matrix(rate))[4].argmax()) for f in (pitch, pitch * 2 ** (1 / 12))]
+            assert top == [0, 1]
+
+
+def test_samples():
+    for width in (1, 2, 3, 4):
+        x, rate = samples(wav([0.5, -0.25, 0.0], width, 8000, 1 if width == 1 else 2))
+        assert rate == 8000 and np.allclose(x, [0.5, -0.25, 0.0], atol=0.01)
+
+
+def test_media_query(spark, data, texts):
     rows = op9_chroma_fingerprint(spark, data).collect()
     members = {r["doc_id"]: r["class_id"] for r in rows if r["doc_id"] is not None}
     assert members.keys() == texts.keys()
@@ -180,6 +215,92 @@ def test_wav_and_query(spark, data, texts):
     assert all(len(c) == 1 for c in same.values())
 
 
+def bits(a, b):
+    return sum(int(x).bit_count() for x in (a ^ b).view(np.uint32))
+
+
+def all_matches(prints, asking):
+    """Pairs of ids that match at some shift; prints: id to integers."""
+    table, out = np.array([i.bit_count() for i in range(1 << 16)], np.uint8), set()
+    for q in asking:
+        a = prints[q]
+        for m, b in prints.items():
+            least = max(LEAST_POSITIONS, math.ceil(min(len(a), len(b)) * LEAST_OVERLAP / 100))
+            for shift in range(least - len(a), len(b) - least + 1) if q != m else ():
+                x, y = a[max(0, -shift) :], b[max(0, shift) :]
+                n = min(len(x), len(y))
+                if table[(x[:n] ^ y[:n]).view(np.uint16)].sum() <= MOST_ERRORS * 32 * n:
+                    out.add(frozenset((q, m)))
+    return out
+
+
+def test_recall_of_matches(spark):
+    """Recordings with noise, cut, at another rate, and unrelated ones; all pairs at all shifts."""
+    rng, media = np.random.default_rng(9), {}
+    for k in range(40):
+        x = tone(100 + k, 8 + k % 5)
+        media[10 * k] = pcm(x)
+        media[10 * k + 1] = pcm(x + rng.normal(0, rng.uniform(0.01, 0.15), len(x)))
+        media[10 * k + 2] = pcm(x[int(rng.integers(len(x) // 3)) :])
+        media[10 * k + 3] = wav(tone(100 + k, 8 + k % 5, 16000) * 0.5, 2, 16000)
+    df = spark.createDataFrame(list(media.items()), "doc_id long, media binary")
+    prints = {r["doc_id"]: np.array(r["prints"], np.int32) for r in fingerprints(df, "doc_id", "media").collect()}
+    want = all_matches(prints, [d for d in prints if d % 10 == 0])
+    found = align(df, F.col("doc_id") % 10 == 0).where("match_id is not null").collect()
+    got = {frozenset((r["class_id"], r["match_id"])) for r in found}
+    assert got <= want and len(want) >= 100 and len(got) >= 0.9 * len(want), (len(got), len(want))
+    for r in found:
+        a, b = prints[r["class_id"]][max(0, -r["shift"]) :], prints[r["match_id"]][max(0, r["shift"]) :]
+        n = min(len(a), len(b))
+        assert r["overlap"] == n and math.isclose(r["errors"], bits(a[:n], b[:n]) / (32 * n))
+
+
+def test_recall_of_the_query(spark, data):
+    docs = spark.read.parquet(f"{data.replace('0.001', '0.01')}/documents.parquet").select("doc_id", F.col("text").cast("binary").alias("media"))
+    rows, classes = fingerprints(docs, "doc_id", "media", rate=TEXT_RATE).orderBy("doc_id").collect(), {}
+    for r in rows:
+        classes.setdefault(r["class_key"], (r["doc_id"], np.array(r["prints"], np.int32)))
+    prints = {d: p for d, p in classes.values() if len(p) >= LEAST_POSITIONS}
+    asking = [d for d in prints if d % 10 == 0]
+    want = all_matches(prints, asking)
+    got = {frozenset((r["class_id"], r["match_id"])) for r in align(docs, F.col("doc_id").isin(asking), rate=TEXT_RATE).where("match_id is not null").collect()}
+    assert got <= want and len(got) >= 0.9 * len(want), (len(got), len(want))
+
+
+def test_integral_image_filters():
+    """The packed integers against sums over rectangles."""
+    rng = np.random.default_rng(3)
+    image = rng.random((12, 12)).astype(np.float32)
+    got = packed_integers(image)
+    for at in range(len(got)):
+        levels = []
+        for kind, y, h, w in filters():
+            box = image[at : at + w, y : y + h].astype(float)
+            third_h, third_w = h // 3, w // 3
+            if kind == 0:
+                a = box.sum()
+                b = image[at : at + w].sum() * h / 12 if h < 12 else image[at + SPAN - w : at + SPAN, y : y + h].sum() if w < SPAN else 2.3 * w
+            elif kind == 1:
+                a, b = box[:, h // 2 :].sum(), box[:, : h // 2].sum()
+            elif kind == 2:
+                a, b = box[w // 2 :].sum(), box[: w // 2].sum()
+            elif kind == 3:
+                a = box[: w // 2, h // 2 :].sum() + box[w // 2 :, : h // 2].sum()
+                b = box.sum() - a
+            elif kind == 4:
+                a = 2 * box[:, third_h : h - third_h].sum()
+                b = box[:, :third_h].sum() + box[:, h - third_h :].sum()
+            else:
+                a = 2 * box[third_w : w - third_w].sum()
+                b = box[:third_w].sum() + box[w - third_w :].sum()
+            answer = math.log((1 + a) / (1 + b))
+            levels.append((answer > -0.1) + (answer > 0) + (answer > 0.1))
+        want = 0
+        for level in levels:
+            want = want << 2 | (level ^ level >> 1)
+        assert int(got[at]) == want
+
+
 def test_language_query(spark, data, texts):
     lang = {r["doc_id"]: r["lang"] for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
     rows = op10_language_id(spark, data).collect()
