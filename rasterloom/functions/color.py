@@ -6,6 +6,8 @@ Pixels are linear-light and premultiplied: columns r, g, b, a of type double, no
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
+from functools import cache
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -90,14 +92,24 @@ def encode(c: Column) -> Column:
     return F.when(c <= 0.0031308, c * 12.92).otherwise(1.055 * F.pow(c, F.lit(1 / 2.4)) - 0.055)
 
 
+def _table(values: Iterable, kind: str) -> Column:
+    """A literal array, handed over as one string."""
+    return F.split(F.lit(",".join(map(repr, values))), ",").cast(f"array<{kind}>")
+
+
+@cache
+def _encoded16() -> tuple[int, ...]:
+    return tuple(math.floor(encode_value(i / 65535) * 255 + 0.5) for i in range(65536))
+
+
 def decode8(v: Column) -> Column:
-    return decode(v / 255.0)
+    """0..255 to linear light, by a table of all 256 values."""
+    return F.get(_table((decode_value(i / 255) for i in range(256)), "double"), v.cast("int"))
 
 
 def encode8(c: Column) -> Column:
-    """Linear light to 0..255, by way of 16 bits as all writers of this format do."""
-    q = F.floor(clamp(c) * 65535.0 + 0.5) / 65535.0
-    return F.floor(encode(q) * 255.0 + 0.5).cast("int")
+    """Linear light to 0..255, by way of 16 bits as all writers of this format do; so a table of 65,536 values holds all there is to compute."""
+    return F.get(_table(_encoded16(), "smallint"), F.floor(clamp(c) * 65535.0 + 0.5).cast("int")).cast("int")
 
 
 def luma601(r: Column, g: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,19 +33,18 @@ def rounded_box(cx, cy, half_w, half_h, radius) -> Column:
 
 
 def ellipse(cx: float, cy: float, rx: float, ry: float) -> Column:
-    """First-order estimate: the implicit function over the length of its gradient."""
+    """First-order estimate: with the axes scaled to 1, u^2 + v^2 - 1 over the length of its gradient 2 (u / rx, v / ry)."""
     px, py = _centre()
-    dx, dy = px - cx, py - cy
-    value = dx * dx / (rx * rx) + dy * dy / (ry * ry) - 1.0
-    gx, gy = 2.0 * dx / (rx * rx), 2.0 * dy / (ry * ry)
-    slope = F.sqrt(gx * gx + gy * gy)
-    return F.when(slope > 1e-9, value / slope).otherwise(value)
+    u, v = (px - cx) / rx, (py - cy) / ry
+    steepness = 2.0 * F.hypot(u / rx, v / ry)
+    level = u * u + v * v - 1.0
+    return F.when(steepness <= 1e-9, level).otherwise(level / steepness)
 
 
 def segment(ax: float, ay: float, bx: float, by: float) -> Column:
+    """In the segment's own frame: how far beside its line, and how far before its start or beyond its end."""
     px, py = _centre()
-    vx, vy = bx - ax, by - ay
-    square = vx * vx + vy * vy
-    along = clamp(((px - ax) * vx + (py - ay) * vy) / square) if square > 1e-9 else F.lit(0.0)
-    dx, dy = px - ax - along * vx, py - ay - along * vy
-    return F.sqrt(dx * dx + dy * dy)
+    length = math.hypot(bx - ax, by - ay)
+    ux, uy = ((bx - ax) / length, (by - ay) / length) if length else (1.0, 0.0)
+    ahead, beside = (px - ax) * ux + (py - ay) * uy, (py - ay) * ux - (px - ax) * uy
+    return F.hypot(beside, F.greatest(-ahead, ahead - length, F.lit(0.0)))

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import PipelineError, SessionError
 from ..functions.color import Rgba, decode_value, encode8
+from ..packaging import ship
 from .geometry import KEYS, grid, images
-from .stencil import resize
+from .stencil import resize_to
 
 C = F.col
 VIEWS = ("difference", "heatmap", "side_by_side")
@@ -95,46 +97,58 @@ def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def collage_layout(sizes: list[tuple[int, int]], target_width: int = 1600, row_height: int = 320, gap: int = 12) -> tuple[list[tuple[int, int, int, int]], tuple[int, int]]:
-    """Cells (x, y, width, height) of images in justified rows, and the canvas size. Rows fill up greedily and are scaled to the width; a last row that isn't full keeps its height. 32-bit arithmetic throughout."""
+    """Cells (x, y, width, height) of images in justified rows, and the canvas size. A row ends with the image that fills it, and is scaled to the width; a last row that isn't full keeps its height. 32-bit arithmetic throughout."""
     if not sizes:
-        raise SessionError("collage: needs at least one image")
-    f, near = np.float32, lambda v: int(np.floor(v + np.float32(0.5)))
-    room, cells, y, at = f(max(1, target_width - 2 * gap)), [], f(gap), 0
-    while at < len(sizes):
-        row, total = [], f(0)
-        while at < len(sizes):
-            w, h = sizes[at]
-            row.append(f(row_height) * f(w) / f(h))
-            total, at = total + row[-1], at + 1
-            if total + f((len(row) - 1) * gap) >= room:
-                break
-        gaps = f((len(row) - 1) * gap)
-        scale = (room - gaps) / total if total + gaps >= room else f(1)
-        x, height = f(gap), f(row_height) * scale
-        for w in row:
-            cells.append((near(x), near(y), max(1, near(w * scale)), max(1, near(height))))
-            x += w * scale + f(gap)
-        y += height + f(gap)
-    return cells, (target_width, max(1, near(y)))
-
-
-def collage(df: DataFrame, order: list, target_width: int = 1600, row_height: int = 320, gap: int = 12, background: Rgba = Rgba(255, 255, 255)) -> DataFrame:
-    """One image (img_id of the first) of the images named in `order`, each resized to its cell. The list is metadata; cells of equal size are resized together."""
-    sizes = {r["img_id"]: (r["width"], r["height"]) for r in images(df.where(C("img_id").isin(list(order)))).collect()}
-    missing = [i for i in order if i not in sizes]
-    if missing:
-        raise SessionError(f"collage: no such image: {missing[0]}")
-    cells, (width, height) = collage_layout([sizes[i] for i in order], target_width, row_height, gap)
-    canvas = grid(df.sparkSession.createDataFrame([(order[0], width, height)], "img_id long, width int, height int"))
-    parts = None
-    for size in sorted({c[2:] for c in cells}):
-        own = [(i, n, c[0], c[1]) for n, (i, c) in enumerate(zip(order, cells)) if c[2:] == size]
-        slots = df.sparkSession.createDataFrame(own, "img_id long, slot int, left int, top int")
-        small = resize(df.where(C("img_id").isin([o[0] for o in own])), *size, "lanczos3")
-        part = small.join(F.broadcast(slots), "img_id").select("slot", (C("x") + C("left")).cast("int").alias("x"), (C("y") + C("top")).cast("int").alias("y"), *(C(c).alias(f"t_{c}") for c in "rgba"))
-        parts = part if parts is None else parts.unionByName(part)
+        raise SessionError("a collage of no images")
+    f = np.float32
+    half_up = lambda v: np.floor(v + f(0.5)).astype(int)
+    wide = np.array([f(row_height) * f(w) / f(h) for w, h in sizes], f)
+    room, cells, top, rest = f(max(1, target_width - 2 * gap)), [], f(gap), wide
+    while len(rest):
+        filled = np.cumsum(rest, dtype=f) + np.arange(len(rest), dtype=f) * f(gap) >= room
+        n = int(filled.argmax()) + 1 if filled.any() else len(rest)
+        row, rest = rest[:n], rest[n:]
+        scale = (room - f((n - 1) * gap)) / np.cumsum(row, dtype=f)[-1] if filled.any() else f(1)
+        row, height = row * scale, f(row_height) * scale
+        left = np.cumsum(np.concatenate([[f(gap)], row[:-1] + f(gap)]), dtype=f)
+        cells += [(int(x), int(half_up(top)), max(1, int(w)), max(1, int(half_up(height)))) for x, w in zip(half_up(left), half_up(row))]
+        top += height + f(gap)
+    return cells, (target_width, max(1, int(half_up(top))))
+
+
+def collages(df: DataFrame, groups: DataFrame, target_width: int = 1600, row_height: int = 320, gap: int = 12, background: Rgba = Rgba(255, 255, 255)) -> DataFrame:
+    """One image per collage of `groups` (img_id, collage long, position: a row per image). A layout takes the sizes of one collage; pixels of all collages are resized and placed together."""
+    ship(df.sparkSession)
+
+    def layout(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["position", "img_id"])
+        cells, canvas = collage_layout(list(zip(rows["width"].tolist(), rows["height"].tolist())), target_width, row_height, gap)
+        out = pd.DataFrame(cells, columns=["left", "top", "to_width", "to_height"])
+        return out.assign(img_id=rows["img_id"].to_numpy(), collage=rows["collage"].to_numpy(), position=rows["position"].to_numpy(), canvas_width=canvas[0], canvas_height=canvas[1])
+
+    id_type = df.schema["img_id"].dataType.simpleString()
+    sizes = images(df).join(groups.select("img_id", C("collage").cast("long").alias("collage"), "position"), "img_id")
+    cells = sizes.groupBy("collage").applyInPandas(layout, f"left int, top int, to_width int, to_height int, img_id {id_type}, collage long, position int, canvas_width int, canvas_height int")
+    canvas = grid(cells.groupBy("collage").agg(F.max("canvas_width").alias("width"), F.max("canvas_height").alias("height")).withColumnRenamed("collage", "img_id"))
+    small = resize_to(df.join(cells.select("img_id", "to_width", "to_height").distinct(), "img_id"), "lanczos3")
+    at = cells.select(C("img_id").alias("i"), "collage", "position", "left", "top", C("to_width").alias("cell_width"), C("to_height").alias("cell_height"))
+    parts = small.join(at, (C("img_id") == C("i")) & (C("width") == C("cell_width")) & (C("height") == C("cell_height")))
+    parts = parts.select(C("collage").alias("img_id"), "position", (C("x") + C("left")).cast("int").alias("x"), (C("y") + C("top")).cast("int").alias("y"), *(C(c).alias(f"t_{c}") for c in "rgba"))
     # Rounded cells may touch: where two meet, the later one is on top.
-    top = parts.groupBy("x", "y").agg(F.max_by(F.struct(*(f"t_{c}" for c in "rgba")), "slot").alias("t")).select("x", "y", "t.*")
+    upper = parts.groupBy("img_id", "x", "y").agg(F.max_by(F.struct(*(f"t_{c}" for c in "rgba")), "position").alias("t")).select("img_id", "x", "y", "t.*")
     seen = F.coalesce("t_a", F.lit(0.0))
-    both = canvas.join(top, ["x", "y"], "left")
+    both = canvas.join(upper, ["img_id", "x", "y"], "left")
     return both.select(*KEYS, *((F.coalesce(f"t_{c}", F.lit(0.0)) + F.lit(v) * (1.0 - seen)).alias(c) for c, v in zip("rgba", background.premultiplied())))
+
+
+def collage(df: DataFrame, order: list, target_width: int = 1600, row_height: int = 320, gap: int = 12, background: Rgba = Rgba(255, 255, 255)) -> DataFrame:
+    """One image (img_id of the first) of the images named in `order`, each resized to its cell."""
+    if not order:
+        raise SessionError("a collage of no images")
+    chosen = df.where(C("img_id").isin(list(order)))
+    known = {r["img_id"] for r in images(chosen).collect()}
+    if missing := [i for i in order if i not in known]:
+        raise SessionError(f"no image {missing[0]} to put into a collage")
+    id_type = df.schema["img_id"].dataType.simpleString()
+    groups = df.sparkSession.createDataFrame([(i, 0, k) for k, i in enumerate(order)], f"img_id {id_type}, collage long, position int")
+    return collages(chosen, groups, target_width, row_height, gap, background).withColumn("img_id", F.lit(order[0]).cast(id_type))

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.color import Rgba
-from ..plans.spec import quarter_turns, rotated_size
+from ..packaging import ship
+from ..plans.spec import quarter_turns, rotation
 
 C = F.col
 KEYS = ("img_id", "x", "y", "width", "height")
@@ -50,24 +53,56 @@ def rotate(df: DataFrame, op) -> DataFrame:
     if k is not None:
         to = {0: (x, y, w, h), 1: (h - 1 - y, x, h, w), 2: (w - 1 - x, h - 1 - y, w, h), 3: (y, w - 1 - x, h, w)}[k]
         return df.withColumns(dict(zip(("x", "y", "width", "height"), map(_int, to))))
-    s, c = math.sin(math.radians(op["degrees"])), math.cos(math.radians(op["degrees"]))
+    return _turned(df, op["degrees"], op["expand"])
+
+
+#: Sides of the blocks that source pixels and turned-back positions are brought together by, and pixels of a group of blocks, about.
+BLOCK, GROUP = 64, 1 << 18
+
+
+def _turned(df: DataFrame, degrees: float, expand: bool) -> DataFrame:
+    """Every source pixel moves once, and those at the left or upper border of a block twice; neighbours are then looked up in numpy, many blocks at a time."""
+    ship(df.sparkSession)
+    s, c = math.sin(math.radians(degrees)), math.cos(math.radians(degrees))
     sizes = images(df)
-    pairs = [(r["width"], r["height"]) for r in sizes.select("width", "height").distinct().collect()]  # distinct sizes only
-    out_w, out_h = C("width"), C("height")
-    for pair in pairs:
-        to = rotated_size(pair, op["degrees"], op["expand"])
-        match = (C("width") == pair[0]) & (C("height") == pair[1])
-        out_w, out_h = F.when(match, to[0]).otherwise(out_w), F.when(match, to[1]).otherwise(out_h)
-    turned = sizes.select("img_id", C("width").alias("in_w"), C("height").alias("in_h"), out_w.alias("width"), out_h.alias("height"))
+    groups = (sizes.agg(F.sum(C("width").cast("long") * C("height"))).first()[0] or 0) // GROUP + 1
+    box = np.abs(rotation(degrees)).tolist()
+    side = lambda row: F.greatest(F.ceil(C("width").cast("float") * F.lit(row[0]).cast("float") + C("height").cast("float") * F.lit(row[1]).cast("float")), F.lit(1)).cast("int")
+    to_w, to_h = (side(box[0]), side(box[1])) if expand else (C("width"), C("height"))
+    turned = sizes.select("img_id", C("width").alias("in_w"), C("height").alias("in_h"), to_w.alias("width"), to_h.alias("height"))
     cells = grid(turned).join(turned.select("img_id", "in_w", "in_h"), "img_id")
-    dx, dy = x + 0.5 - w / 2.0, y + 0.5 - h / 2.0
-    cells = cells.withColumns({"sx": C("in_w") / 2.0 + c * dx + s * dy - 0.5, "sy": C("in_h") / 2.0 - s * dx + c * dy - 0.5})
-    cells = cells.withColumns({"fx": F.floor("sx"), "fy": F.floor("sy")}).withColumns({"tx": C("sx") - C("fx"), "ty": C("sy") - C("fy")})
-    tap = lambda i, j: F.struct((C("fx") + i).cast("int").alias("px"), (C("fy") + j).cast("int").alias("py"), ((C("tx") if i else 1 - C("tx")) * (C("ty") if j else 1 - C("ty"))).alias("weight"))
-    taps = cells.withColumn("tap", F.explode(F.array(*(tap(i, j) for j in (0, 1) for i in (0, 1))))).select(*KEYS, "tap.*")
-    source = df.select(C("img_id").alias("i"), C("x").alias("px0"), C("y").alias("py0"), "r", "g", "b", "a")
-    joined = taps.join(source, (C("img_id") == C("i")) & (C("px") == C("px0")) & (C("py") == C("py0")), "left")
-    return joined.groupBy(*KEYS).agg(*(F.sum(F.coalesce(C(ch) * C("weight"), F.lit(0.0))).alias(ch) for ch in "rgba"))
+    dx, dy = C("x") + 0.5 - C("width") / 2.0, C("y") + 0.5 - C("height") / 2.0
+    cells = cells.select(*KEYS, (C("in_w") / 2.0 + c * dx + s * dy - 0.5).alias("sx"), (C("in_h") / 2.0 - s * dx + c * dy - 0.5).alias("sy"))
+    block = lambda v: F.floor(v / BLOCK)
+    group = lambda i, j: F.pmod(F.xxhash64("img_id", i, j), F.lit(groups)).alias("batch")
+    cells = cells.withColumns({"i": block(F.floor("sx")), "j": block(F.floor("sy"))}).select(group("i", "j"), C("img_id").alias("img_id"), *KEYS[1:], "sx", "sy")
+    # A pixel serves the block it is in, and as the right or lower neighbour the blocks of the positions before it.
+    reach = lambda v: F.array_distinct(F.array(block(C(v)), block(C(v) - 1)))
+    source = df.withColumn("i", F.explode(reach("x"))).withColumn("j", F.explode(reach("y"))).select(group("i", "j"), C("img_id").alias("of"), C("x").alias("at_x"), C("y").alias("at_y"), *(C(ch).alias(f"of_{ch}") for ch in "rgba"))
+
+    def interpolated(own: pa.Table, asked: pa.Table) -> pa.Table:
+        names = [*KEYS, *"rgba"]
+        _, code = np.unique(np.concatenate([own.column("of").to_numpy(), asked.column("img_id").to_numpy()]), return_inverse=True)
+        place = lambda code, x, y: (code << 48) + ((y.astype(np.int64) + 2) << 24) + x.astype(np.int64) + 2
+        key = place(code[: own.num_rows], own.column("at_x").to_numpy(), own.column("at_y").to_numpy())
+        order = np.argsort(key)
+        key, pixels = key[order], np.stack([own.column(f"of_{ch}").to_numpy()[order] for ch in "rgba"]) if own.num_rows else np.zeros((4, 0))
+        sx, sy = asked.column("sx").to_numpy(), asked.column("sy").to_numpy()
+        fx, fy, of = np.floor(sx), np.floor(sy), code[own.num_rows :]
+        out = np.zeros((4, asked.num_rows))
+        near = (fx >= -2) & (fy >= -2) & (fx < 1 << 23) & (fy < 1 << 23)
+        for j in (0, 1):
+            for i in (0, 1):
+                wanted = place(of, np.where(near, fx + i, -2), np.where(near, fy + j, -2))
+                at = np.minimum(np.searchsorted(key, wanted), max(0, len(key) - 1))
+                found = (key[at] == wanted) & near if len(key) else np.zeros(len(wanted), bool)
+                weight = (sx - fx if i else 1 - (sx - fx)) * (sy - fy if j else 1 - (sy - fy))
+                out[:, found] += pixels[:, at[found]] * weight[found]
+        return pa.table([*(asked.column(k) for k in KEYS), *(pa.array(v) for v in out)], names=names)
+
+    id_type = df.schema["img_id"].dataType.simpleString()
+    schema = f"img_id {id_type}, x int, y int, width int, height int, r double, g double, b double, a double"
+    return source.groupBy("batch").cogroup(cells.groupBy("batch")).applyInArrow(interpolated, schema)
 
 
 def pad(df: DataFrame, left: int, right: int, top: int, bottom: int, color: Rgba) -> DataFrame:

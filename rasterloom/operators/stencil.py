@@ -20,44 +20,46 @@ from ..packaging import ship
 C = F.col
 
 
-def _lines(df: DataFrame, along: str, channels: str) -> DataFrame:
-    """A row per line: img_id, line, width, height, the first position, and an array per channel in order of `along`."""
+def _lines(df: DataFrame, along: str, channels: str, size: str | None, carry: tuple) -> DataFrame:
+    """A row per line: img_id, line, width, height, the first position, samples after the pass (0: as before), columns to carry, and an array per channel in order of `along`."""
     across = "y" if along == "x" else "x"
     packed = F.array_sort(F.collect_list(F.struct(C(along).alias("at"), *(C(c).alias(c) for c in channels))))
-    lines = df.groupBy("img_id", C(across).alias("line"), "width", "height").agg(packed.alias("p"))
-    return lines.select("img_id", "line", "width", "height", C("p")[0]["at"].alias("first"), *(C("p")[c].alias(c) for c in channels))
+    lines = df.groupBy("img_id", C(across).alias("line"), "width", "height", *carry, *([size] if size else [])).agg(packed.alias("p"))
+    return lines.select("img_id", "line", "width", "height", C("p")[0]["at"].alias("first"), (C(size) if size else F.lit(0)).cast("int").alias("n_out"), *carry, *(C("p")[c].alias(c) for c in channels))
 
 
-def filter_pass(df: DataFrame, along: str, how: str, channels: str = "rgba", sigma: float = 0.0, size: int | None = None) -> DataFrame:
-    """Filters every line along x or y. `size`: samples of a line after it (for resize); None: as before."""
+def filter_pass(df: DataFrame, along: str, how: str, channels: str = "rgba", sigma: float = 0.0, size: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Filters every line along x or y. `size`: column with the samples of a line after it (for resize); None: as before. `carry`: other columns that each image has one value of, and that stay."""
     ship(df.sparkSession)
-    lines = _lines(df, along, channels)
+    lines = _lines(df, along, channels, size, carry)
+    n_keys = 6 + len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.diff(batch.column(channels[0]).offsets.to_numpy())
+            lengths, wanted = np.diff(batch.column(channels[0]).offsets.to_numpy()), batch.column("n_out").to_numpy()
             values = {c: batch.column(c).flatten().to_numpy() for c in channels}
             starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
             out: dict[int, np.ndarray] = {}
-            for n in np.unique(lengths):
-                rows = np.flatnonzero(lengths == n)
+            for n, to in np.unique(np.stack([lengths, wanted]), axis=1).T.tolist():
+                rows = np.flatnonzero((lengths == n) & (wanted == to))
                 at = starts[rows][:, None] + np.arange(n)
                 stacked = np.stack([values[c][at] for c in channels])
-                filtered = apply_line(stacked.reshape(-1, n), size or int(n), how, sigma)
+                filtered = apply_line(stacked.reshape(-1, n), to or n, how, sigma)
                 filtered = filtered.reshape(len(channels), len(rows), -1)
                 out |= {int(r): filtered[:, k] for k, r in enumerate(rows)}
             results = [out[i] for i in range(batch.num_rows)]
             offsets = pa.array(np.concatenate([[0], np.cumsum([r.shape[1] for r in results])]).astype(np.int32)) if results else pa.array([0], pa.int32())
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in results]) if results else np.empty(0))) for k in range(len(channels))]
-            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(5)] + arrays, ["img_id", "line", "width", "height", "first", *channels])
+            yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(n_keys)] + arrays, [*batch.schema.names[:n_keys], *channels])
 
+    kept = "".join(f", `{c}` {lines.schema[c].dataType.simpleString()}" for c in carry)
     id_type = df.schema["img_id"].dataType.simpleString()
-    done = lines.mapInArrow(run, f"img_id {id_type}, line int, width int, height int, first int, " + ", ".join(f"{c} array<double>" for c in channels))
-    across = "y" if along == "x" else "x"
-    spread = done.select("img_id", C("line").alias(across), "width", "height", "first", F.posexplode(F.arrays_zip(*channels)).alias("at", "v"))
+    done = lines.mapInArrow(run, f"img_id {id_type}, line int, width int, height int, first int, n_out int{kept}, " + ", ".join(f"{c} array<double>" for c in channels))
+    across, side = ("y", "width") if along == "x" else ("x", "height")
+    spread = done.select("img_id", C("line").alias(across), "width", "height", "first", "n_out", *carry, F.posexplode(F.arrays_zip(*channels)).alias("at", "v"))
     spread = spread.withColumn(along, (C("first") + C("at")).cast("int"))
-    spread = spread.select("img_id", "x", "y", "width", "height", *(C("v")[c].alias(c) for c in channels))
-    return spread.withColumn("width" if along == "x" else "height", F.lit(size).cast("int")) if size else spread
+    spread = spread.withColumn(side, C("n_out")) if size else spread
+    return spread.select("img_id", "x", "y", "width", "height", *carry, *(C("v")[c].alias(c) for c in channels))
 
 
 def blur(df: DataFrame, sigma: float, channels: str = "rgba") -> DataFrame:
@@ -76,18 +78,17 @@ def sharpen(df: DataFrame, amount: float, radius: float) -> DataFrame:
     return both.withColumns({c: C(c) + amount * (C(c) - C(f"soft_{c}")) for c in "rgb"}).select(*df.columns)
 
 
+def resize_to(df: DataFrame, how: str) -> DataFrame:
+    """Resamples along x to the column to_width, then along y to to_height, whatever the sizes: lines of equal lengths are filtered together."""
+    across = filter_pass(df, "x", how, size="to_width", carry=("to_height",))
+    return filter_pass(across, "y", how, size="to_height")
+
+
 def resize(df: DataFrame, width: int | None, height: int | None, how: str) -> DataFrame:
-    """Resamples along x, then along y. With one size given, images of each aspect are resized apart (distinct sizes are metadata)."""
-    if width is not None and height is not None:
-        return filter_pass(filter_pass(df, "x", how, size=width), "y", how, size=height)
-    from ..plans.spec import Op
-
-    op = Op.of("resize", width=width, height=height, filter=how)
-    parts = []
-    for r in df.select("width", "height").distinct().collect():
-        w, h = op.output_size((r["width"], r["height"]))
-        parts.append(resize(df.where((C("width") == r["width"]) & (C("height") == r["height"])), w, h, how))
-    out = parts[0] if parts else df
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """With one size given each image keeps its aspect (rounded, halves up, 1 at least)."""
+    share = lambda side, of, to: F.greatest(F.expr(f"(2L * {side} * {to} + {of}) div (2L * {of})"), F.lit(1))
+    to = {
+        "to_width": F.lit(width) if width is not None else share(height, "height", "width"),
+        "to_height": F.lit(height) if height is not None else share(width, "width", "height"),
+    }
+    return resize_to(df.withColumns({k: v.cast("int") for k, v in to.items()}), how)

@@ -10,7 +10,6 @@ import math
 import numpy as np
 
 from .functions.color import Rgba
-from .functions.stencil import gauss, resize_taps
 from .functions.text import mask
 
 KEY = "img_id, x, y"
@@ -112,14 +111,48 @@ def values(name: str, columns: str, rows: list[tuple]) -> str:
     return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(n(v) if isinstance(v, float) else str(v) for v in r) + ')' for r in rows)})"
 
 
+def _kernel(how: str, t: float) -> float:
+    t = abs(t)
+    if how == "nearest":
+        return float(t < 0.5)
+    if how == "bilinear":
+        return max(0.0, 1 - t)
+    if how == "catmull_rom":
+        return 1.5 * t**3 - 2.5 * t**2 + 1 if t < 1 else -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2 if t < 2 else 0.0
+    sinc = lambda v: math.sin(math.pi * v) / (math.pi * v) if v else 1.0
+    return sinc(t) * sinc(t / 3) if t < 3 else 0.0
+
+
 def taps(name: str, n_in: int, n_out: int, how: str) -> str:
-    return values(name, "o, i, w", [(o, first + k, float(w)) for o, (first, ws) in enumerate(resize_taps(n_in, n_out, how)) for k, w in enumerate(ws)])
+    """Of every output sample the weight of every input sample, by the kernel's definition."""
+    rows, wide = [], max(n_in / n_out, 1)
+    for o in range(n_out):
+        weights = [_kernel(how, (i + 0.5 - (o + 0.5) * n_in / n_out) / wide) for i in range(n_in)]
+        if not any(weights):  # between two samples: the later one
+            weights[min(math.floor((o + 0.5) * n_in / n_out), n_in - 1)] = 1.0
+        rows += [(o, i, w / sum(weights)) for i, w in enumerate(weights) if w]
+    return values(name, "o, i, w", rows)
 
 
 def blur_taps(name: str, size: int, sigma: float) -> str:
-    w = gauss(sigma)
-    half = len(w) // 2
-    return values(name, "o, i, w", [(o, min(max(o + k - half, 0), size - 1), float(v)) for o in range(size) for k, v in enumerate(w)])
+    half = max(1, math.ceil(3 * sigma))
+    bell = {k: math.exp(-(k**2) / 2 / sigma**2) for k in range(-half, half + 1)}
+    return values(name, "o, i, w", [(o, sorted((0, o + k, size - 1))[1], v / sum(bell.values())) for o in range(size) for k, v in bell.items()])
+
+
+def arrow_segments(x1: float, y1: float, x2: float, y2: float, head: float, cosine: float = 0.88, sine: float = 0.475) -> list[tuple[float, float, float, float]]:
+    """The shaft, and the two strokes of the head: the way back along the shaft, turned to either side."""
+    back = complex(x1 - x2, y1 - y2) / abs(complex(x1 - x2, y1 - y2)) * head
+    ends = [complex(x2, y2) + back * complex(cosine, k * sine) for k in (1, -1)]
+    return [(x1, y1, x2, y2), *((x2, y2, e.real, e.imag) for e in ends)]
+
+
+def blurred(source: str, name: str, sigma: float) -> list[str]:
+    """Two passes over images of any size, by offsets from each pixel."""
+    half = max(1, math.ceil(3 * sigma))
+    bell = {k: math.exp(-(k**2) / 2 / sigma**2) for k in range(-half, half + 1)}
+    one = lambda of, side, size, other: f"(SELECT c.img_id, c.x, c.y, c.width, c.height, {', '.join(f'sum(p.{ch} * w) AS {ch}' for ch in 'rgba')} FROM {of} c, bell JOIN {of} p ON p.img_id = c.img_id AND p.{other} = c.{other} AND p.{side} = least(greatest(c.{side} + k, 0), c.{size} - 1) GROUP BY ALL)"
+    return [values("bell", "k, w", [(k, v / sum(bell.values())) for k, v in bell.items()]), f"{name}_h AS {one(source, 'x', 'width', 'y')}", f"{name} AS {one(f'{name}_h', 'y', 'height', 'x')}"]
 
 
 def separable(source: str, name: str, along_x: str, along_y: str, width: int, height: int, columns: str = "rgba") -> list[str]:

@@ -11,7 +11,6 @@ from . import oracle as o
 from .functions.color import Rgba, decode8, encode8, hue_matrix
 from .operators import compose, geometry
 from .operators.compose import to_pixels8
-from .operators.draw import arrow_lines
 from .plans.compiler import run
 from .plans.spec import Op, Pipeline, rotated_size
 from .sources.tables import emb_px, events_px8, ingest, orders_px, orders_px8
@@ -94,7 +93,7 @@ _op("sharpen", "sharpen", [o.blur_taps("bx", 8, 1.0), *o.separable("px", "soft",
 for _how in ("nearest", "bilinear", "catmull_rom", "lanczos3"):
     _op(f"resize_{_how}", "resize", [o.taps("tx", 8, 5, _how), o.taps("ty", 8, 11, _how), *o.separable("px", "t", "tx", "ty", 5, 11)], "emb", exact8=False, width=5, height=11, filter=_how)
 _op("resize_keep_aspect", "resize", [o.taps("tx", 25, 15, "lanczos3"), o.taps("ty", 20, 12, "lanczos3"), *o.separable("px", "t", "tx", "ty", 15, 12)], exact8=False, width=15)
-add("blur_one_image", lambda s, d: out6(run(ingest(events_px8(s, d)), Pipeline((Op.of("blur", radius=2.0),)))), None)
+add("blur_one_image", lambda s, d: out6(run(ingest(events_px8(s, d)), Pipeline((Op.of("blur", radius=2.0),)))), o.query(o.EVENTS, ["p1 AS (SELECT * FROM px WHERE y < height)", *o.blurred("p1", "t", 2.0)], o.out6("t")))
 
 # Regions.
 _op("redact_fill", "redact", [o.step("t", o.over(Rgba(10, 200, 30, 200).premultiplied(), "CASE WHEN x >= 2 AND x < 12 AND y >= 4 AND y < 14 THEN 1 ELSE 0 END"))], x=2.5, y=4.2, width=9, height=9.5, mode={"type": "fill", "color": Rgba(10, 200, 30, 200)})
@@ -132,7 +131,7 @@ _op("draw_rect_rounded_stroke", "draw_rect", _layers(o.box_distance(o.n(10), o.n
 _op("draw_ellipse", "draw_ellipse", _layers(o.ellipse_distance(11, 9, 8, 5), (3, 4, 16, 10), 1.5), x=3, y=4, width=16, height=10, fill=_BLUE, stroke=_RED, stroke_width=1.5)
 _op("draw_line", "draw_line", [o.step("t", o.over(_RED.premultiplied(), o.aa(f"({o.segment_distance(2, 3, 20, 16)} - {o.n(1)})")))], x1=2, y1=3, x2=20, y2=16, color=_RED, thickness=2)
 _ARROW = {"x1": 3.0, "y1": 15.0, "x2": 20.0, "y2": 4.0, "color": _RED, "thickness": 1.5, "head_length": 6.0}
-_op("draw_arrow", "draw_arrow", [o.step("t", o.over(_RED.premultiplied(), o.aa(f"(least({', '.join(o.segment_distance(*l) for l in arrow_lines(_ARROW))}) - {o.n(.75)})")))], **_ARROW)
+_op("draw_arrow", "draw_arrow", [o.step("t", o.over(_RED.premultiplied(), o.aa(f"(least({', '.join(o.segment_distance(*l) for l in o.arrow_segments(3.0, 15.0, 20.0, 4.0, 6.0))}) - {o.n(.75)})")))], **_ARROW)
 _TEXT = {"text": "Hi!\nOk", "x": 12.0, "y": 2.0, "font_size": 8.0, "align_x": "center", "align_y": "top"}
 _op("draw_text", "draw_text", [o.text_mask("m", **_TEXT), "j AS (SELECT px.*, coalesce(cover, 0) AS cover FROM px LEFT JOIN m ON x = mx AND y = my)", o.step("t", o.over(_RED.premultiplied(), "cover"), "j")], color=_RED, **_TEXT)
 
@@ -173,17 +172,39 @@ add(
     lambda s, d: to_pixels8(compose.diff(*_matched(s, d), view="side_by_side")),
     o.query(o.ORDERS, [_PAIRS, _BOTH, o.grid("g0", 58, 20), "g AS (SELECT g0.* FROM g0 JOIN ids USING (img_id))", "both_sides AS (SELECT img_id, x, y, r, g, b, a FROM px UNION ALL SELECT img_id, x + 33, y, r, g, b, a FROM nx)", o.placed("t", "g", "both_sides", 0, 0, 1.0, (*(((20 / 255 + 0.055) / 1.055) ** 2.4,) * 3, 1.0))], o.out8("t")),
 )
-add("collage", lambda s, d: to_pixels8(compose.collage(orders_px(s, d), [0, 1, 2], target_width=60, row_height=16, gap=2)), None)
 
 
-def _layout(spark: SparkSession, d: str) -> DataFrame:
-    sizes = [(r["width"], r["height"]) for r in geometry.images(orders_px8(spark, d).where("img_id < 3")).orderBy("img_id").collect()]
-    cells, _ = compose.collage_layout(sizes, 60, 16, 2)
-    return spark.createDataFrame([(i, *c) for i, c in enumerate(cells)], "cell int, x int, y int, width int, height int")
+def _threes(df: DataFrame) -> DataFrame:
+    """Each image of a source in a collage with its neighbours: three ids a collage."""
+    return geometry.images(df).select("img_id", F.floor(C("img_id") / 3).cast("long").alias("collage"), (C("img_id") % 3).cast("int").alias("position"))
+
 
+def _collages(spark: SparkSession, d: str) -> DataFrame:
+    px = orders_px(spark, d)
+    return to_pixels8(compose.collages(px, _threes(px), target_width=60, row_height=16, gap=2))
 
-# 20 px wide images at height 16: two fill the row of 56 (54 of 56 wanted, so a third joins: 64 scaled by 52 / 60).
-add("collage_layout", _layout, "SELECT * FROM (VALUES (0, 2, 2, 17, 14), (1, 21, 2, 17, 14), (2, 41, 2, 17, 14)) t(cell, x, y, width, height)")
+
+def _layout(spark: SparkSession, d: str) -> DataFrame:
+    px = orders_px8(spark, d)
+    rows = geometry.images(px).join(_threes(px), "img_id").groupBy("collage").agg(F.array_sort(F.collect_list(F.struct("position", "width", "height"))).alias("s")).orderBy("collage").collect()
+    cells = [(r["collage"], i, *c) for r in rows for i, c in enumerate(compose.collage_layout([(x["width"], x["height"]) for x in r["s"]], 60, 16, 2)[0])]
+    return spark.createDataFrame(cells, "collage long, cell int, x int, y int, width int, height int")
+
+
+# 25 x 20 px images are 20 wide at height 16; two leave 14 of a row of 56 (with a gap of 2), so the third fills it: 60 wide, scaled by 52 / 60.
+# A last collage of one or two images isn't full and keeps its height.
+_CELLS = [o.values("whole_rows", "cell, x, y, width, height", [(0, 2, 2, 17, 14), (1, 21, 2, 17, 14), (2, 41, 2, 17, 14)]), o.values("part_rows", "cell, x, y, width, height", [(0, 2, 2, 20, 16), (1, 24, 2, 20, 16)])]
+_NAMED = "named AS (SELECT img_id, img_id // 3 AS collage, CAST(img_id % 3 AS INTEGER) AS cell, count(*) OVER (PARTITION BY img_id // 3) AS n FROM (SELECT DISTINCT img_id FROM px))"
+_PLACES = "places AS (SELECT img_id, collage, n, f.* FROM named JOIN whole_rows f USING (cell) WHERE n = 3 UNION ALL SELECT img_id, collage, n, s.* FROM named JOIN part_rows s USING (cell) WHERE n < 3)"
+add("collage_layout", _layout, o.query(o.ORDERS, [*_CELLS, _NAMED, _PLACES], "SELECT collage, cell, x, y, width, height FROM places"))
+_SMALL = [o.taps("fx", 25, 17, "lanczos3"), o.taps("fy", 20, 14, "lanczos3"), o.taps("sx", 25, 20, "lanczos3"), o.taps("sy", 20, 16, "lanczos3"), *o.separable("px", "small", "fx", "fy", 17, 14), *o.separable("px", "large", "sx", "sy", 20, 16)]
+_SHEETS = [
+    "sheet AS (SELECT DISTINCT collage AS img_id, CASE n WHEN 3 THEN 18 ELSE 20 END AS height FROM places)",
+    "canvas AS (SELECT img_id, CAST(gx AS INTEGER) AS x, CAST(gy AS INTEGER) AS y FROM sheet, (SELECT unnest(range(60)) AS gx), (SELECT unnest(range(20)) AS gy) WHERE gy < height)",
+    "tops AS (SELECT p.collage AS img_id, s.x + p.x AS x, s.y + p.y AS y, s.r, s.g, s.b, s.a FROM places p JOIN small s ON s.img_id = p.img_id AND n = 3 UNION ALL SELECT p.collage, s.x + p.x, s.y + p.y, s.r, s.g, s.b, s.a FROM places p JOIN large s ON s.img_id = p.img_id AND n < 3)",
+    o.placed("t", "canvas", "tops", 0, 0, 1.0, (1.0, 1.0, 1.0, 1.0)),
+]
+add("collage", _collages, o.query(o.ORDERS, [*_CELLS, _NAMED, _PLACES, *_SMALL, *_SHEETS], o.out8("t")))
 
 # Whole pipelines.
 FLAGSHIP = Pipeline.parse([{"op": "resize", "width": 15}, {"op": "exposure", "stops": 0.5}, {"op": "crop", "x": 2, "y": 1, "width": 10, "height": 8}, {"op": "grayscale"}])
@@ -202,7 +223,17 @@ add(
     lambda s, d: to_pixels8(run(orders_px(s, d), CHAIN, [(25, 20)])),
     o.query(o.ORDERS.replace("px AS MATERIALIZED", "p0 AS MATERIALIZED"), [o.step("p1", {c: f"{c} * {o.n(2 ** .25)}" for c in "rgb"}, "p0"), o.step("p2", o.linear(hue_matrix(30)), "p1"), o.step("p3", {"x": "19 - y", "y": "24 - x"}, "p2"), o.step("px", {"x": "x - 1", "y": "y - 2"}, "p3", "x >= 1 AND x < 16 AND y >= 2 AND y < 20"), *o.srgb_step(lambda *s: [f"(1 - {x})" for x in s])], o.out8("t")),
 )
-add("source_identity", lambda s, d: orders_px8(s, d).where("x = 0 AND y = 0").select("img_id", F.sha2(F.concat_ws(":", "img_id", "r8", "g8", "b8", "a8"), 256).alias("identity")), f"WITH {o.ORDERS8} SELECT img_id, sha256(concat_ws(':', img_id, r8, g8, b8, a8)) AS identity FROM o8 WHERE x = 0 AND y = 0")
+
+
+def _identity(spark: SparkSession, d: str) -> DataFrame:
+    """A digest of all pixels of an image: of its lines' digests, in order."""
+    pixel = F.concat_ws(":", "r8", "g8", "b8", "a8")
+    ordered = lambda key, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, value.alias("v")))), lambda s: s["v"]), ",")
+    lines = orders_px8(spark, d).groupBy("img_id", "y").agg(F.sha2(ordered("x", pixel), 256).alias("line"))
+    return lines.groupBy("img_id").agg(F.sha2(ordered("y", C("line")), 256).alias("identity"))
+
+
+add("source_identity", _identity, f"WITH {o.ORDERS8} SELECT img_id, sha256(string_agg(line, ',' ORDER BY y)) AS identity FROM (SELECT img_id, y, sha256(string_agg(concat_ws(':', r8, g8, b8, a8), ',' ORDER BY x)) AS line FROM o8 GROUP BY img_id, y) GROUP BY img_id")
 add(
     "size_flow",
     lambda s, d: s.createDataFrame([(i, *size) for i, size in enumerate(FLAGSHIP.validate((25, 20)))], "step int, width int, height int"),

@@ -1,6 +1,7 @@
 import json
 import math
 
+import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -88,18 +89,20 @@ def test_colors():
 
 @given(st.integers(1, 60), st.integers(1, 60), st.sampled_from(["nearest", "bilinear", "catmull_rom", "lanczos3"]))
 def test_taps_sum_to_one(n_in, n_out, how):
-    for first, w in resize_taps(n_in, n_out, how):
-        assert abs(w.sum() - 1) < 1e-9 and 0 <= first and first + len(w) <= n_in
+    places, weights = resize_taps(n_in, n_out, how)
+    assert np.allclose(weights.sum(1), 1, atol=1e-9) and places.min() >= 0 and places.max() < n_in and len(places) == n_out
 
 
 def test_taps():
-    assert [f for f, _ in resize_taps(2, 4, "nearest")] == [0, 0, 0, 0] or all(abs(w.sum() - 1) < 1e-12 for _, w in resize_taps(2, 4, "nearest"))
-    assert [[round(float(v), 3) for v in w if v] for _, w in resize_taps(6, 2, "nearest")] == [[0.333] * 3] * 2
+    taken = lambda *args: [[(int(p), round(float(v), 3)) for p, v in zip(*row) if v] for row in zip(*resize_taps(*args))]
+    assert taken(2, 4, "nearest") == [[(0, 1.0)], [(0, 1.0)], [(1, 1.0)], [(1, 1.0)]]
+    assert taken(6, 2, "nearest") == [[(k, 0.333) for k in range(3 * i, 3 * i + 3)] for i in range(2)]
+    assert taken(1, 3, "lanczos3") == [[(0, 1.0)]] * 3
     assert abs(gauss(2.0).sum() - 1) < 1e-12 and len(gauss(2.0)) == 13
 
 
 def test_layout():
-    cells, (w, h) = collage_layout([(300, 200)] * 5, 600, 100, 10)
+    cells, (w, h) = collage_layout([(330, 220)] * 5, 600, 100, 10)
     assert w == 600 and all(c[0] >= 10 and c[0] + c[2] <= 591 for c in cells) and cells[0][0] == 10
     assert h >= max(c[1] + c[3] for c in cells)
 
@@ -119,3 +122,11 @@ def test_rewrites():
     out = rewrite(steps)
     assert isinstance(out[1], Linear) or isinstance(out[0], Halo)
     assert [type(s).__name__ for s in out] == ["Halo", "Linear", "Op", "Op", "Op"] and out[0].reach == 3
+
+
+def test_fonts_are_not_dropped_in_silence():
+    step = {"op": "draw_text", "x": 1, "y": 2, "text": "a", "color": "red"}
+    assert Pipeline.parse([step]).validate((5, 5)) == [(5, 5)]
+    with pytest.raises(PipelineError) as e:
+        Pipeline.parse([step | {"font": "Some Sans"}]).validate((5, 5))
+    assert e.value.kind == "UnknownFont"
