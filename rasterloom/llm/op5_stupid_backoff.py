@@ -1,18 +1,19 @@
-"""Operator 5: language-model scores by stupid backoff over word bigrams.
-
-The model is the corpus itself, each document scored by the counts of all others: for a word w after v,
-S(w | v) = c(v w) / c(v) if c(v w) > 0, else 0.4 c(w) / N, counts being those of the whole corpus less the document's
-own. Every word counts as itself, by its 64-bit hash; the vocabulary is open and grows with the corpus.
-
-Documents are written in blocks of about `BLOCK_WORDS` words, so all that moves is a row per block and bucket. Each block
-sends its distinct words with their counts to buckets by hash; a bucket adds them up, numbers its words and answers each
-block. Pairs of numbers, which are exact keys of bigrams, go the same way. A word or bigram is in a block's message at most
-once, so one that a large part of the corpus holds doesn't make its bucket grow with its occurrences. Then each block knows
-all counts its documents ask for.
-
-Defined results: null or empty texts have no words and score null; rows that share an id, null included, are summed as
-one document; words no other document has score 0.4 (1 / N) each; extra columns are left out; an empty table gives an
-empty result; more than `VOCABULARY` distinct words raise an error.
+"""Operator 5: language-model scores by stupid backoff, computed relationally.
+
+The model is the corpus itself, each document scored by the counts of all others: for a word w after the `order` - 1 words
+before it, S is c(context w) / c(context) if c(context w) > 0, else 0.4 S(w | context less its first word), and c(w) / N
+without a context; counts are those of the corpus less the document's own. Words at a text's start have as much context as
+there is, and no penalty for that. Every word counts as itself, by its 64-bit hash; an n-gram is keyed by the hashes of its words, so
+nothing is capped or merged.
+
+Level by level, from the longest n-grams down: a document's distinct n-grams are joined to the table of counts, which is
+partitioned by the hash of the n-gram and combined before its shuffle. Each n-gram that is asked for hands on one row: if
+others have it, its context is asked for as a divisor; if not, its last words are asked for at the next level. Sums of logarithms
+travel with these rows and are added up per document at the end. Frequent n-grams make large join partitions, which
+adaptive execution splits; no group is gathered.
+
+Defined results: each row is a document, whether or not its id is null or repeated; null or empty texts have no words and score
+null; words that no other document has score 0.4^k (1 / N) after k steps back; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,208 +23,107 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, fresh_dir, own
+from .shared import Scratch, documents, own
 
-#: Numbers that words can have, two to a 64-bit key; START is that of the start of a document.
-VOCABULARY = (1 << 32) - 1
-START = VOCABULARY
-BACKOFF = 0.4
-#: Words and documents of a block, about; distinct words or bigrams of blocks in a bucket, about.
-BLOCK_WORDS, BLOCK_DOCS, BUCKET_ROWS = 1 << 20, 60_000, 1 << 21
+BACKOFF, ORDER = 0.4, 3
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(text: str | None) -> np.ndarray:
+    """Of words between ASCII white space, A-Z lower-cased."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of whole numbers, compressed by planes of bytes."""
-    out = []
-    for x in columns:
-        planes = x.view("u1").reshape(-1, x.itemsize).T.tobytes()
-        body = pa.compress(planes, "zstd", asbytes=True)
-        out.append(np.array([len(x), x.itemsize, len(body)], "<u8").tobytes() + body)
-    return b"".join(out)
-
-
-def _unpack(blob: bytes) -> list[np.ndarray]:
-    at, out = 0, []
-    while at < len(blob):
-        n, size, length = np.frombuffer(blob, "<u8", 3, at).tolist()
-        planes = pa.decompress(blob[at + 24 : at + 24 + length], n * size, "zstd", asbytes=True) if n else b""
-        out.append(np.ascontiguousarray(np.frombuffer(planes, "u1").reshape(size, n).T).view(f"<u{size}").reshape(n))
-        at += 24 + length
-    return out
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype("<u4" if not len(x) or int(x.max()) < 1 << 32 else "<u8")
-
-
-def _deltas(keys: np.ndarray) -> np.ndarray:
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8")
-
-
-def _row(kind: int, block: int, bucket: int, data: bytes, docs: list | None = None, lengths: list | None = None) -> pa.RecordBatch:
-    columns = [pa.array([kind], pa.int32()), pa.array([block], pa.int64()), pa.array([bucket], pa.int64()), pa.array([docs], pa.list_(pa.int64())), pa.array([lengths], pa.list_(pa.int64())), pa.array([data], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, _NAMES)
-
+def distinct_grams(words: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct n-gram of k words begins first, in order, and how often it occurs."""
+    n = max(0, len(words) - k + 1)
+    key = np.zeros(n, np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            key = (key ^ words[i : i + n]) * _MULTIPLIER
+            key ^= key >> np.uint64(29)
+    _, at, counts = np.unique(key, return_index=True, return_counts=True)
+    return at, counts
 
-#: Rows that move: a block of documents, or answers to one, and those of which bucket.
-_NAMES = ["kind", "block", "bucket", "ids", "lengths", "data"]
-_ROWS = "kind int, block long, bucket long, ids array<long>, lengths array<long>, data binary"
-BLOCK, WORDS, BIGRAMS = 0, 1, 2
 
-
-def blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of documents: ids, numbers of words, and data (distinct hashes of words, their counts, and each word by its place among them); `bucket` holds the number of distinct words."""
+def grams(rows: DataFrame, k: int, longest: bool) -> DataFrame:
+    """Of rows (row long, text): row, g1 to gk (hashes of words), n (occurrences), asked (of these, those to be scored at this level: all, or that at the text's start)."""
+    names = [f"g{i}" for i in range(1, k + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        block, ids, held, words = TaskContext.get().partitionId() << 32, [], [], 0
-
-        def full() -> pa.RecordBatch:
-            keys, local, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-            return _row(BLOCK, block, len(keys), _pack(_deltas(keys), n.astype("<u4"), local.astype("<u4")), ids, [len(x) for x in held])
-
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    ids.append(doc_id)
-                    held.append(word_hashes(text))
-                    words += len(held[-1])
-                    if words >= BLOCK_WORDS or len(held) >= BLOCK_DOCS:
-                        yield full()
-                        block, ids, held, words = block + 1, [], [], 0
-        if held:
-            yield full()
-
-    return docs.mapInArrow(run, _ROWS)
-
-
-def _places(keys: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys in the order of their buckets, and the bucket of each in this order."""
-    bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(n_buckets)
-    order = np.argsort(bucket, kind="stable")
-    return order, bucket[order].astype(np.int64)
-
-
-def _messages(kind: int, block: int, keys: np.ndarray, n: np.ndarray, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """A block's distinct keys and their counts, a row per bucket."""
-    order, bucket = _places(keys, n_buckets)
-    for part in np.split(order, np.flatnonzero(np.diff(bucket)) + 1) if len(order) else ():
-        yield _row(kind, block, int(_places(keys[part[:1]], n_buckets)[1][0]), _pack(_deltas(keys[part]), _narrow(n[part])))
-
-
-def _answers(messages: DataFrame, kind: int, n_buckets: int) -> DataFrame:
-    """To each message the counts of its keys over all blocks, in its order, and for words their numbers."""
-
-    def run(group: pa.Table) -> pa.Table:
-        senders, bucket = group.column("block").to_pylist(), group.column("bucket")[0].as_py()
-        keys, n = [], []
-        for blob in group.column("data"):
-            a, b = _unpack(blob.as_py())
-            keys.append(np.cumsum(a, dtype=np.uint64))
-            n.append(b)
-        ends = np.cumsum([len(x) for x in keys])[:-1]
-        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-        # Sums of whole numbers below 2^53, which doubles hold exactly.
-        total = np.bincount(place, np.concatenate(n)).astype(np.int64)
-        if kind == WORDS and (len(distinct) - 1) * n_buckets + bucket >= VOCABULARY:
-            raise ValueError(f"more than {VOCABULARY} distinct words")
-        out = []
-        for block, at in zip(senders, np.split(place, ends)):
-            numbers = [(at * n_buckets + bucket).astype("<u4")] if kind == WORDS else []
-            out.append(_row(kind, block, bucket, _pack(_narrow(total[at]), *numbers)))
-        return pa.Table.from_batches(out)
-
-    return messages.groupBy("bucket").applyInArrow(run, _ROWS)
-
-
-class _Block:
-    """A block's documents with the numbers and counts of their words, from its row and the answers to its words."""
-
-    def __init__(self, group: pa.Table, n_word_buckets: int, n_rows: int):
-        rows = sorted(group.to_pylist(), key=lambda r: (r["kind"], r["bucket"]))
-        own, answers = rows[0], [_unpack(r["data"]) for r in rows if r["kind"] == WORDS]
-        self.bigram_answers = [_unpack(r["data"])[0] for r in rows if r["kind"] == BIGRAMS]
-        self.block, self.ids, self.lengths = own["block"], own["ids"], np.array(own["lengths"], np.int64)
-        deltas, _, self.word = _unpack(own["data"])
-        keys = np.cumsum(deltas, dtype=np.uint64)
-        order, _ = _places(keys, n_word_buckets)
-        number, self.total = np.full(len(keys) + 1, START, np.uint64), np.full(len(keys) + 1, n_rows, np.int64)
-        if len(keys):
-            self.total[order], number[order] = (np.concatenate(x) for x in zip(*answers))
-        self.word, start = self.word.astype(np.int64), len(keys)
-        self.before = np.concatenate([[start], self.word[:-1]])[: len(self.word)]
-        self.before[(np.cumsum(self.lengths) - self.lengths)[self.lengths > 0]] = start
-        pairs = number[self.before] << np.uint64(32) | number[self.word]
-        self.keys, self.pair, self.n = np.unique(pairs, return_inverse=True, return_counts=True)
-
-    def scores(self, n_buckets: int, words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Per document the words whose bigram other documents have, and the sum of log S."""
-        count = np.empty(len(self.keys), np.int64)
-        if len(self.keys):
-            count[_places(self.keys, n_buckets)[0]] = np.concatenate(self.bigram_answers)
-        doc = np.repeat(np.arange(len(self.lengths)), self.lengths)
-        _, place, of = np.unique(doc * len(self.total) + self.word, return_inverse=True, return_counts=True)
-        of = of[place]  # how often its document has the word at each position
-        entry, at, n = np.unique(doc * max(1, len(self.keys)) + self.pair, return_index=True, return_counts=True)
-        before, word, doc = self.before[at], self.word[at], doc[at]
-        of_before = np.where(before == len(self.total) - 1, 1, of[at - 1])
-        logs, seen = log_scores(n, count[self.pair[at]], self.total[before] - of_before, self.total[word] - of[at], words - self.lengths[doc])
-        return np.bincount(doc, seen, len(self.lengths)).astype(float), np.bincount(doc, logs, len(self.lengths)).astype(float)
-
-
-def log_scores(n: np.ndarray, count: np.ndarray, before: np.ndarray, word: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of bigrams that a document has n times, the sum of log S over these, and those whose bigram others have; counts of the word before, the word and all words are those of others."""
-    others = count - n
-    seen = np.log(np.maximum(others, 1) / np.maximum(before, 1))
-    unseen = np.log(BACKOFF * np.maximum(word, 1) / np.maximum(words, 1))
-    return np.where(others > 0, seen, unseen) * n, np.where(others > 0, n, 0)
-
-
-def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_seen (words whose bigram another document has) long, log_score, score (log_score a word) double."""
-    spark = df.sparkSession
-    folder = fresh_dir(spark, "bigrams")
-    blocks(own(df, id_col, text_col)).write.option("compression", "none").parquet(f"{folder}/blocks")
-    rows = spark.read.parquet(f"{folder}/blocks")
-    found = rows.selectExpr("size(ids) d", "aggregate(lengths, 0L, (a, x) -> a + x) w", "bucket").agg(F.sum("d"), F.sum("w"), F.sum("bucket")).first()
-    n_rows, words, distinct = (x or 0 for x in found)
-    n_word_buckets, n_buckets = distinct // BUCKET_ROWS + 1, words // BUCKET_ROWS + 1
-
-    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                deltas, n, _ = _unpack(r["data"])
-                yield from _messages(WORDS, r["block"], np.cumsum(deltas, dtype=np.uint64), n, n_word_buckets)
-
-    def own_bigrams(group: pa.Table) -> pa.Table:
-        b = _Block(group, n_word_buckets, n_rows)
-        return pa.Table.from_batches(_messages(BIGRAMS, b.block, b.keys, b.n, n_buckets), _SCHEMA)
-
-    def scored(group: pa.Table) -> pa.Table:
-        b = _Block(group, n_word_buckets, n_rows)
-        seen, logs = b.scores(n_buckets, words)
-        return pa.table({"doc_id": pa.array(b.ids, pa.int64()), "words": b.lengths, "seen": seen, "logs": logs})
-
-    _answers(rows.select("block", "data").mapInArrow(own_words, _ROWS), WORDS, n_word_buckets).write.option("compression", "none").parquet(f"{folder}/words")
-    known = rows.unionByName(spark.read.parquet(f"{folder}/words"))
-    answers = _answers(known.groupBy("block").applyInArrow(own_bigrams, _ROWS), BIGRAMS, n_buckets)
-    by_block = known.unionByName(answers).groupBy("block").applyInArrow(scored, "doc_id long, words long, seen double, logs double")
-    by_id = by_block.groupBy("doc_id").agg(F.sum("words").alias("n_words"), F.sum("seen").cast("long").alias("n_seen"), F.sum("logs").alias("logs"))
-    return by_id.select("doc_id", "n_words", "n_seen", F.when(F.col("n_words") > 0, F.col("logs")).alias("log_score"), F.when(F.col("n_words") > 0, F.col("logs") / F.col("n_words")).alias("score"))
-
-
-_SCHEMA = _row(BLOCK, 0, 0, b"").schema
+                part, out = batch.slice(start, 500), []
+                for text in part.column(1).to_pylist():
+                    words = word_hashes(text).view(np.int64)
+                    at, n = distinct_grams(words.view(np.uint64), k)
+                    out.append((at, n, n if longest else (at == 0).astype(np.int64), [words[at + i] for i in range(k)]))
+                row = np.repeat(part.column(0).to_numpy(), [len(x[0]) for x in out])
+                columns = [row, *(np.concatenate([x[3][i] for x in out]) for i in range(k)), *(np.concatenate([x[j] for x in out]) for j in (1, 2))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["row", *names, "n", "asked"])
+
+    return rows.mapInArrow(run, "row long, " + "".join(f"{g} long, " for g in names) + "n long, asked long")
+
+
+def _log(x: Column) -> Column:
+    return F.log(F.greatest(x, F.lit(1)).cast("double"))
+
+
+def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+    """doc_id, n_words, n_backoffs (steps to a shorter context) long, log_score, score (log_score a word) double: a row per row of df."""
+    # Numbers of rows: a scan of the same files deals and numbers its rows alike whenever it is repeated.
+    rows = own(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
+    texts, scratch = rows.select("row", "text"), Scratch(df.sparkSession, "backoff")
+    handed = None
+    for k in range(order, 0, -1):
+        g = [f"g{i}" for i in range(1, k + 1)]
+        mine = grams(texts, k, k == order)
+        asked = mine.select("row", *g, "n", "asked", F.lit(0).cast("long").alias("divisors"), F.lit(0.0).alias("logs"), F.lit(0).cast("long").alias("steps"))
+        if handed is not None:
+            asked = asked.unionByName(handed).groupBy("row", *g).agg(*(F.sum(c).alias(c) for c in ("n", "asked", "divisors", "logs", "steps")))
+        asked = asked.where("asked > 0 or divisors > 0 or logs <> 0")
+        counts = mine.groupBy(*g).agg(F.sum("n").alias("c"))
+        met = asked.join(counts, g).withColumn("others", F.col("c") - F.col("n"))
+        logs = F.col("logs") - F.col("divisors") * _log(F.col("others"))
+        if k == 1:
+            found = met.groupBy("row").agg(F.sum(logs + F.col("asked") * _log(F.col("others"))).alias("logs"), F.sum("asked").alias("alone"), F.sum("steps").alias("steps"))
+            break
+        seen = F.col("others") > 0
+        shorter = [F.when(seen, F.col(a)).otherwise(F.col(b)).alias(a) for a, b in zip(g, g[1:])]
+        handed = met.select(
+            "row", *shorter, F.lit(0).cast("long").alias("n"), F.when(seen, F.lit(0)).otherwise(F.col("asked")).cast("long").alias("asked"),
+            F.when(seen, F.col("asked")).otherwise(F.lit(0)).cast("long").alias("divisors"),
+            (logs + F.col("asked") * F.when(seen, _log(F.col("others"))).otherwise(float(np.log(BACKOFF)))).alias("logs"),
+            (F.col("steps") + F.when(seen, F.lit(0)).otherwise(F.col("asked"))).cast("long").alias("steps"),
+        )
+    found = scratch.table("scores", found)
+    scratch.drop()
+    n_words = F.size(F.array_remove(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    lengths = scratch.table("lengths", rows.select("row", "doc_id", n_words.alias("n_words")))
+    total = lengths.agg(F.sum("n_words")).first()[0] or 0
+    log_score = F.when(F.col("n_words") > 0, F.col("logs") - F.col("alone") * _log(F.lit(total) - F.col("n_words")))
+    return lengths.join(found, "row", "left").select("doc_id", "n_words", F.coalesce("steps", F.lit(0)).alias("n_backoffs"), log_score.alias("log_score"), (log_score / F.col("n_words")).alias("score"))
 
 
 def op5_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(documents(spark, sf_dir))
+    """As `score`, rounded, as sums of floating-point numbers differ in their last digits with the order."""
+    return score(documents(spark, sf_dir)).select("doc_id", "n_words", "n_backoffs", F.round("log_score", 6).alias("log_score"), F.round("score", 6).alias("score"))
+
+
+#: The query's rows in DuckDB's SQL: counts of others by windows over all positions.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, unnest(range(len(words))) AS i, unnest(words) AS w FROM d),
+t AS MATERIALIZED (SELECT doc_id, i, w, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS v, lag(w, 2) OVER (PARTITION BY doc_id ORDER BY i) AS u FROM p),
+c AS MATERIALIZED (SELECT doc_id, i, count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS c1,
+  CASE WHEN i > 0 THEN count(*) OVER (PARTITION BY v, w) - count(*) OVER (PARTITION BY doc_id, v, w) END AS c2,
+  CASE WHEN i > 1 THEN count(*) OVER (PARTITION BY u, v, w) - count(*) OVER (PARTITION BY doc_id, u, v, w) END AS c3 FROM t),
+x AS MATERIALIZED (SELECT *, lag(c1) OVER (PARTITION BY doc_id ORDER BY i) AS b1, lag(c2) OVER (PARTITION BY doc_id ORDER BY i) AS b2, count(*) OVER (PARTITION BY doc_id) AS own, count(*) OVER () AS total FROM c),
+s AS (SELECT doc_id, CASE WHEN c3 > 0 THEN 0 WHEN c2 > 0 THEN CAST(i > 1 AS INTEGER) ELSE least(i, 2) END AS steps,
+  CASE WHEN c3 > 0 THEN ln(c3) - ln(b2) WHEN c2 > 0 THEN CAST(i > 1 AS INTEGER) * ln(0.4) + ln(c2) - ln(b1) ELSE least(i, 2) * ln(0.4) + ln(greatest(c1, 1)) - ln(greatest(total - own, 1)) END AS l FROM x)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(sum(steps), 0) AS BIGINT) AS n_backoffs, round(sum(l), 6) AS log_score, round(sum(l) / len(words), 6) AS score FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, words
+"""

@@ -8,33 +8,14 @@ from rasterloom.llm.op5_stupid_backoff import score
 from rasterloom.llm.op7_minmax_dedup import keep_one
 from rasterloom.llm.op8_quality_outliers import judge
 
-
-def backoff_oracle(texts):
-    """doc_id to (n_seen, log_score), every word counted as itself."""
-    words = {d: t.encode().lower().split() for d, t in texts.items()}
-    single, pairs = collections.Counter(w for x in words.values() for w in x), collections.Counter()
-    total, out = sum(single.values()), {}
-    for x in words.values():
-        pairs.update(zip([None, *x[:-1]], x))
-    single[None] = len(texts)
-    for d, x in words.items():
-        own, own_pairs, want, seen = collections.Counter(x), collections.Counter(zip([None, *x[:-1]], x)), 0.0, 0
-        own[None] = 1
-        for (v, w), n in own_pairs.items():
-            if pairs[v, w] > n:
-                want, seen = want + n * math.log((pairs[v, w] - n) / max(single[v] - own[v], 1)), seen + n
-            else:
-                want += n * math.log(0.4 * max(single[w] - own[w], 1) / (total - len(x)))
-        out[d] = seen, want
-    return out
+from test_scans import backoff_oracle
 
 
 def test_backoff_counts_more_words_than_16_bits(spark):
-    texts = {d: " ".join(f"w{(d * 700 + i) % 84_000} the" for i in range(720)) for d in range(120)}
-    rows = score(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)).collect()
-    want = backoff_oracle(texts)
-    assert {r["doc_id"]: r["n_seen"] for r in rows} == {d: s for d, (s, _) in want.items()}
-    assert all(math.isclose(r["log_score"], want[r["doc_id"]][1], rel_tol=1e-9) for r in rows)
+    texts = [" ".join(f"w{(d * 700 + i) % 84_000} the" for i in range(720)) for d in range(120)]
+    rows = sorted(score(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect())
+    for r, (n, steps, logs) in zip(rows, backoff_oracle(texts), strict=True):
+        assert (r["n_words"], r["n_backoffs"]) == (n, steps) and math.isclose(r["log_score"], logs, rel_tol=1e-9)
 
 
 def test_outliers_of_small_groups(spark):

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from rasterloom.llm.op1_secret_scan import op1_secret_scan, redact, scan
-from rasterloom.llm.op5_stupid_backoff import VOCABULARY, op5_stupid_backoff, score
+from rasterloom.llm.op5_stupid_backoff import op5_stupid_backoff, score
 from rasterloom.llm.op8_quality_outliers import judge, op8_quality_outliers
 from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, LEAST_POSITIONS, MOST_ERRORS, SPAN, TEXT_RATE, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
 from rasterloom.llm.op10_language_id import fit, in_fold, op10_language_id, predict, predict_rows, sample
@@ -77,32 +77,42 @@ def test_random_strings_and_words(spark):
     assert not any(got[i] for i, _, s in rows if not s)
 
 
+def backoff_oracle(texts, order=3):
+    """Of each of the texts the steps back and the log score, by counts of all others."""
+    words = [(t or "").encode().lower().split() for t in texts]
+    of = lambda x, k: collections.Counter(tuple(x[i : i + k]) for i in range(len(x) - k + 1))
+    counts = {k: sum((of(x, k) for x in words), collections.Counter()) for k in range(1, order + 1)}
+    out = []
+    for x in words:
+        mine = {k: of(x, k) for k in counts}
+        others = lambda g: counts[len(g)][g] - mine[len(g)][g]
+        steps, logs = 0, 0.0
+        for i in range(len(x)):
+            gram = tuple(x[max(0, i - order + 1) : i + 1])
+            while len(gram) > 1 and not others(gram):
+                gram, steps, logs = gram[1:], steps + 1, logs + math.log(0.4)
+            base = others(gram[:-1]) if len(gram) > 1 else sum(counts[1].values()) - len(x)
+            logs += math.log(max(others(gram), 1) / max(base, 1))
+        out.append((len(x), steps, logs if x else None))
+    return out
+
+
 def test_backoff_query(spark, data, texts):
-    words = {d: t.encode().lower().split() for d, t in texts.items()}
-    single, pairs = collections.Counter(w for x in words.values() for w in x), collections.Counter()
-    assert len(single) <= VOCABULARY
-    total = sum(single.values())
-    for x in words.values():
-        pairs.update(zip([None, *x[:-1]], x))
-    single[None] = len(texts)
+    want = dict(zip(texts, backoff_oracle(texts.values())))
     rows = op5_stupid_backoff(spark, data).collect()
     assert len(rows) == len(texts)
     for r in rows:
-        x = words[r["doc_id"]]
-        own, own_pairs, want, seen = collections.Counter(x), collections.Counter(zip([None, *x[:-1]], x)), 0.0, 0
-        own[None] = 1
-        for (v, w), n in own_pairs.items():
-            if pairs[v, w] > n:
-                want += n * math.log((pairs[v, w] - n) / max(single[v] - own[v], 1))
-                seen += n
-            else:
-                want += n * math.log(0.4 * max(single[w] - own[w], 1) / (total - len(x)))
-        assert r["n_words"] == len(x) and r["n_seen"] == seen and math.isclose(r["log_score"], want, rel_tol=1e-9)
+        n, steps, logs = want[r["doc_id"]]
+        assert (r["n_words"], r["n_backoffs"]) == (n, steps) and math.isclose(r["log_score"], logs, abs_tol=2e-6) and math.isclose(r["score"], logs / n, abs_tol=2e-6)
 
 
 def test_backoff_odd_rows(odd, none_of):
-    rows = {r["doc_id"]: r for r in score(odd).collect()}
-    assert rows.keys() == {r["doc_id"] for r in odd.collect()} and rows[0]["score"] is None and rows[0]["n_words"] == 0 and rows[10]["n_words"] == 27000
+    """Rows of one id, null ids and repeated rows are documents of their own."""
+    for order in (1, 2, 4):
+        rows = sorted((r["doc_id"] is None, r["doc_id"], r["n_words"], r["n_backoffs"], round(r["log_score"] or 0, 6)) for r in score(odd, order=order).collect())
+        own_rows = odd.select("doc_id", "text").collect()
+        want = sorted((r["doc_id"] is None, r["doc_id"], n, steps, round(logs or 0, 6)) for r, (n, steps, logs) in zip(own_rows, backoff_oracle([r["text"] for r in own_rows], order)))
+        assert all(a[:4] == b[:4] and math.isclose(a[4], b[4], abs_tol=1e-5) for a, b in zip(rows, want, strict=True))
     assert score(none_of).count() == 0
 
 
