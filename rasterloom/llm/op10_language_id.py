@@ -3,7 +3,7 @@
 Features are hashed counts of byte pairs and triples of the lower-cased text, scaled to unit length. A one-versus-rest
 machine per family picks the family; within it, a machine per pair of languages votes. Families of well-known languages
 are given; a language without one joins the family whose languages' mean features are nearest to its own. The training sample is at most
-`per_language` rows a language, drawn by a hash of the text, and comes to the driver as fixed-size vectors.
+`per_language` distinct texts a language, one at least, drawn by a hash of the text, and comes to the driver as fixed-size vectors.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; where nothing is labelled every text is
 `und`; where one language is labelled, texts with a letter get it with score 1; ties go to the language first in
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -118,31 +118,32 @@ class Model:
 
 
 def sample(labelled: DataFrame, lang_col: str, text_col: str, per_language: int, most_rows: int) -> DataFrame:
-    """lang, text: per language about `per_language` rows at most, and `most_rows` in all, those whose text has the least hashes. No language's rows are gathered or sorted."""
+    """lang, text: of each language's distinct texts those with the least hashes, one at least, `per_language` at most, and about `most_rows` in all. What is drawn from is thinned before anything is sorted."""
     rows = labelled.select(F.col(f"`{lang_col}`").cast("string").alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text")).where("lang is not null and text is not null")
-    each = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_rows).collect()  # a row a language
-    share = min(per_language, most_rows // max(1, len(each)))
-    fraction = F.lit(0.0)
-    for r in each:
-        fraction = F.when(F.col("lang") == r["lang"], F.lit(share / r["count"])).otherwise(fraction)
-    drawn = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)) < F.ceil(fraction * (1 << 30))
-    return rows.where(drawn)
+    rows = rows.withColumn("h", F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30)))
+    each = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("texts"), F.min("h").alias("least")).collect()  # a row a language
+    share = min(per_language, max(1, most_rows // max(1, len(each))))
+    # Twice as many as are taken, as a draw by hashes varies; the row of the least hash in any case.
+    bounds = [(r["lang"], max(r["least"], min(1 << 30, (1 << 30) * (2 * share + 20) // max(1, r["texts"])))) for r in each]
+    bounds = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    drawn = rows.join(F.broadcast(bounds), "lang").where("h <= bound").select("lang", "text", "h").dropDuplicates(["lang", "text"])
+    return drawn.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("nth") <= share).select("lang", "text")
 
 
 def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE, most_rows: int = MOST_ROWS) -> Model:
-    """Trains on a bounded sample of labelled rows."""
+    """Trains on a bounded sample of labelled rows that hold a letter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                rows = [(l, vector(t).astype(np.float16).tobytes()) for l, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()) if any(map(str.isalpha, t))]
+                rows = [(l, vector(t).astype(np.float16).tobytes()) for l, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["lang", "x"])
 
     ship(labelled.sparkSession)
-    # Copies of a text share their hash and come together; one of them is enough, which also bounds the sample.
-    got = sample(labelled, lang_col, text_col, per_language, most_rows).dropDuplicates(["lang", "text"]).mapInArrow(run, "lang string, x binary")
-    rows = sorted((r["lang"], bytes(r["x"])) for r in got.limit(2 * most_rows).collect())
+    lettered = labelled.where(F.rlike(F.col(f"`{text_col}`").cast("string"), F.lit(r"\p{L}")))
+    got = sample(lettered, lang_col, text_col, per_language, most_rows).mapInArrow(run, "lang string, x binary")
+    rows = sorted((r["lang"], bytes(r["x"])) for r in got.collect())  # no more than the sample's bound, or one a language
     x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), SLOTS)
     return Model(x, [r[0] for r in rows])
 

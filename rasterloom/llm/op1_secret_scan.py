@@ -1,12 +1,14 @@
 """Operator 1: secret scan, base patterns and a randomness test battery.
 
 Base patterns find assignments, access keys and hex runs. The method looks at other unbroken runs of encoding
-characters: it infers the encoding (hex, base32, base36, base64), tests the symbols for uniformity (chi-squared), for
-runs above and below the alphabet's middle, and for serial correlation, and joins the three p-values by Fisher's rule.
-Strings that are words or identifiers fail the tests; a Benjamini-Hochberg bound decides which failures count, within
-strata of encoding and length, as short strings give the tests less power. What isn't rejected, and is long enough to
-hold `LEAST_BITS` bits, is reported as a random span. All of it is SQL expressions; p-values go into a histogram of
-bounded size, so the rejection bound covers the whole corpus without sorting it.
+characters: it infers the encoding (hex, base32, base36, base62, base64), tests the symbols for uniformity (chi-squared), for
+runs of one kind of symbol, and for serial correlation, and joins the three p-values by Fisher's rule. Of random
+strings the p-values are uniform; of words and identifiers they are small. So in each stratum of encoding and length the strings with
+p-values above one half tell how many random ones there are, and that tells how many of those above any bound are not. The
+bound of a stratum is the least one whose reported strings are false to a share of `RATE` at most, as estimated; copies of a string count once; strata of few
+strings lean on their encoding, and that on the law of random strings, with the weight of `PRIOR` strings. What
+passes, and is long enough to hold `LEAST_BITS` bits, is reported as a random span. All of it is SQL expressions; p-values go into a
+histogram of bounded size, so the bound covers the whole corpus without sorting it.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get a row; extra columns are left out
 (or kept, in `redact`); an empty table gives an empty result.
@@ -29,18 +31,22 @@ BASE = {
 }
 KINDS = [*BASE, "random"]
 ASSIGNED = 6
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])"
-#: Alphabets in order of preference: the first that holds all symbols (and passes its own condition) is the inferred encoding.
+CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])"
+_DIGITS, _UPPER, _LOWER = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Alphabets in order of preference, whether padding may follow, and kinds of symbols a string must hold: the first that fits is the inferred encoding.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", r"^[0-9a-f]*[0-9][0-9a-f]*$"),
-    "hex_upper": ("0123456789ABCDEF", r"^[0-9A-F]*[0-9][0-9A-F]*$"),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", r"^[A-Z2-7]*[2-7][A-Z2-7]*=*$"),
-    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", r"^(?=[a-z0-9]*[a-z])[a-z0-9]*[0-9][a-z0-9]*$"),
-    "base36_upper": ("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ", r"^(?=[A-Z0-9]*[A-Z])[A-Z0-9]*[0-9][A-Z0-9]*$"),
-    "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", r"^(?=[A-Za-z0-9+/]*[0-9])(?=[A-Za-z0-9+/]*[A-Z])[A-Za-z0-9+/]*[a-z][A-Za-z0-9+/]*=*$"),
-    "base64url": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_", r"^(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Z])[A-Za-z0-9_-]*[a-z][A-Za-z0-9_-]*=*$"),
+    "hex": (_DIGITS + "abcdef", False, ["[0-9]"]),
+    "hex_upper": (_DIGITS + "ABCDEF", False, ["[0-9]"]),
+    "base32": (_UPPER + "234567", True, ["[2-7]"]),
+    "base36": (_DIGITS + _LOWER, False, ["[0-9]", "[a-z]"]),
+    "base36_upper": (_DIGITS + _UPPER, False, ["[0-9]", "[A-Z]"]),
+    "base62": (_UPPER + _LOWER + _DIGITS, False, ["[0-9]", "[A-Z]", "[a-z]"]),
+    "base64": (_UPPER + _LOWER + _DIGITS + "+/", True, ["[0-9]", "[A-Z]", "[a-z]"]),
+    "base64url": (_UPPER + _LOWER + _DIGITS + "-_", True, ["[0-9]", "[A-Z]", "[a-z]"]),
 }
-LEAST_BITS, RATE, BINS = 90, 0.05, 120
+LEAST_BITS, RATE, BINS, PRIOR = 90, 0.05, 120, 20.0
+#: Bins of p-values above about one half, and of those that can be reported at all (down to 0.001).
+UPPER_BINS, LAST_BIN = 3, 30
 
 
 def spans(text: Column, pattern: str, kind: int, keep=None) -> Column:
@@ -79,35 +85,48 @@ def _normal_tail(z: Column) -> Column:
 
 def encoding_of(token: Column) -> Column:
     out = F.lit(None).cast("string")
-    for name, (_, pattern) in reversed(ENCODINGS.items()):
-        out = F.when(F.rlike(token, F.lit(pattern)), F.lit(name)).otherwise(out)
+    for name, (symbols, padded, needs) in reversed(ENCODINGS.items()):
+        fits = F.length(F.translate(token, symbols + "=" * padded, "")) == 0
+        for need in needs:
+            fits = fits & F.rlike(token, F.lit(need))
+        out = F.when(fits, F.lit(name)).otherwise(out)
     return out
 
 
 def randomness(token: Column, encoding: Column) -> Column:
     """The joint p-value of the battery under the hypothesis that all symbols are drawn alike and independently; padding doesn't count."""
     alphabet = F.lit("")
-    for name, (symbols, _) in ENCODINGS.items():
+    for name, (symbols, *_) in ENCODINGS.items():
         alphabet = F.when(encoding == name, F.lit(symbols)).otherwise(alphabet)
+    q, cubes = F.lit(0.0), F.lit(0.0)
+    for name, (symbols, *_) in ENCODINGS.items():
+        shares = [sum(map(symbols.count, kind)) / len(symbols) for kind in (_DIGITS, _UPPER, _LOWER, "+/-_")]
+        q, cubes = (F.when(encoding == name, sum(x**e for x in shares)).otherwise(of) for e, of in ((2, q), (3, cubes)))
     total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
 
     def coded(x: Column) -> Column:
         codes = F.transform(F.split(x["body"], ""), lambda c: (F.instr(x["alphabet"], c) - 1).cast("double"))
-        return F.struct(F.length(x["body"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), codes.alias("codes"))
+        return F.struct(F.length(x["body"]).cast("double").alias("n"), F.length(x["alphabet"]).cast("double").alias("k"), codes.alias("codes"), x["body"].alias("body"), F.split(x["alphabet"], "").alias("symbols"), x["q"].alias("q"), x["cubes"].alias("cubes"))
 
     def joint(x: Column) -> Column:
         n, k, codes = x["n"], x["k"], x["codes"]
         before, after = (lambda xs: F.slice(xs, 1, F.size(xs) - 1)), (lambda xs: F.slice(xs, 2, F.size(xs) - 1))
-        # Uniformity: chi-squared of the symbol counts, its tail by the cube-root law.
-        squares = total(F.transform(F.array_distinct(codes), lambda c: F.pow(F.size(F.filter(codes, lambda y: y == c)).cast("double"), 2.0)))
-        df = k - 1
-        chi = F.greatest(squares * k / n - n, F.lit(0.0))
+        # Uniformity: chi-squared, its tail by the cube-root law. Neighbouring symbols share a bin where the string is too short to have five of each.
+        met = F.transform(F.filter(x["symbols"], lambda c: c != ""), lambda c: n - F.length(F.replace(x["body"], c)))
+        m = F.greatest(F.lit(2.0), F.least(k, F.floor(n / 5).cast("double")))
+        first = lambda j: F.ceil(j * k / m).cast("int")
+        excess = lambda seen, due: (seen - due) * (seen - due) / due
+        of_bin = lambda met: lambda j: excess(total(F.slice(met, first(j) + 1, first(j + 1) - first(j))), n * (first(j + 1) - first(j)) / k)
+        chi = _let(met, lambda met: total(F.transform(F.sequence(F.lit(0), m.cast("int") - 1), of_bin(met))))
+        df = m - 1
         z_chi = (F.pow(chi / df, 1.0 / 3.0) - (1.0 - 2.0 / (9.0 * df))) / F.sqrt(2.0 / (9.0 * df))
         p_chi = _let(z_chi, lambda z: F.when(z >= 0, _normal_tail(z)).otherwise(1.0 - _normal_tail(-z)))
-        # Runs above and below the alphabet's middle.
-        high = F.transform(codes, lambda c: c >= k / 2)
-        changes = _let(high, lambda h: total(F.zip_with(before(h), after(h), lambda a, b: F.when(a != b, F.lit(1.0)).otherwise(F.lit(0.0)))))
-        z_runs = F.abs(changes - (n - 1) / 2) / F.sqrt((n - 1) / 4)
+        # Runs of symbols of one kind (digits, capitals, small letters, others): changes between neighbours are a share 1 - q of them by chance.
+        kinds = F.translate(x["body"], _DIGITS + _UPPER + _LOWER, "0" * 10 + "A" * 26 + "a" * 26)
+        changes = F.length(F.regexp_replace(F.translate(kinds, "+/-_", "...."), r"(.)\1++", "$1")) - 1.0
+        q, cubes = x["q"], x["cubes"]
+        spread = (n - 1) * (1 - q) * q + 2 * (n - 2) * (cubes - q * q)
+        z_runs = F.abs(changes - (n - 1) * (1 - q)) / F.sqrt(spread)
         # Serial correlation of neighbours around the alphabet's mean.
         mean, variance = (k - 1) / 2, (k * k - 1) / 12
         z_serial = F.abs(total(F.zip_with(before(codes), after(codes), lambda a, b: (a - mean) * (b - mean)))) / (F.sqrt(n - 1) * variance)
@@ -115,22 +134,35 @@ def randomness(token: Column, encoding: Column) -> Column:
         half = -sum((F.log(p) for p in tails[1:]), F.log(tails[0]))
         return _let(half, lambda h: F.exp(-h) * (1 + h + h * h / 2))
 
-    return _let(_let(F.struct(F.rtrim(token, F.lit("=")).alias("body"), alphabet.alias("alphabet")), coded), joint)
+    return _let(_let(F.struct(F.rtrim(token, F.lit("=")).alias("body"), alphabet.alias("alphabet"), q.alias("q"), cubes.alias("cubes")), coded), joint)
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Runs that no base span touches, with stratum and p-value: array of (start, end, kind, stratum, bits, p)."""
-    found = spans(text, CANDIDATE, len(BASE))
-    free = F.filter(found, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Runs that no base span touches, with stratum and p-value: array of (start, end, kind, stratum, bits, h, p)."""
+    def free_of(x: Column) -> Column:
+        """The runs of x.found that meet no span of x.base: in order of starts, those before the furthest end of a base span so far, and from behind, those beyond the nearest start."""
+        none = F.lit(-1).cast("int")
+        bases = F.transform(x["base"], lambda b: F.struct(b["start"].alias("start"), b["end"].alias("end"), none.alias("i")))
+        runs = F.transform(x["found"], lambda s, i: F.struct(s["start"].alias("start"), s["end"].alias("end"), i.cast("int").alias("i")))
+        hit = lambda acc, v, meets: F.when((v["i"] >= 0) & meets, F.concat(acc["hits"], F.array(v["i"]))).otherwise(acc["hits"]).alias("hits")
+        begin = lambda at: F.struct(F.lit(at).cast("bigint").alias("at"), F.array().cast("array<int>").alias("hits"))
+        ahead = lambda acc, v: F.struct(F.when(v["i"] < 0, F.greatest(acc["at"], v["end"])).otherwise(acc["at"]).alias("at"), hit(acc, v, v["start"] < acc["at"]))
+        behind = lambda acc, v: F.struct(F.when(v["i"] < 0, F.least(acc["at"], v["start"])).otherwise(acc["at"]).alias("at"), hit(acc, v, v["end"] > acc["at"]))
+        hits = lambda ordered: F.concat(F.aggregate(ordered, begin(-1), ahead)["hits"], F.aggregate(F.reverse(ordered), begin((1 << 62)), behind)["hits"])
+        every = F.when(F.size(x["found"]) > 0, F.sequence(F.lit(0), F.size(x["found"]) - 1)).otherwise(F.array().cast("array<int>"))
+        left = F.array_except(every, _let(F.array_sort(F.concat(bases, runs)), hits))
+        return F.when(F.size(x["base"]) == 0, x["found"]).otherwise(F.transform(left, lambda i: F.get(x["found"], i)))
+
+    free = _let(F.struct(spans(text, CANDIDATE, len(BASE)).alias("found"), base.alias("base")), free_of)
     coded = F.filter(F.transform(free, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["match"].alias("match"), encoding_of(s["match"]).alias("encoding"))), lambda s: s["encoding"].isNotNull())
 
     def tested(s: Column) -> Column:
         size = F.lit(0.0)
-        for name, (symbols, _) in ENCODINGS.items():
+        for name, (symbols, *_) in ENCODINGS.items():
             size = F.when(s["encoding"] == name, F.lit(math.log2(len(symbols)))).otherwise(size)
         n = s["end"] - s["start"]
         band = F.least(F.floor(F.log2(n.cast("double")) * 2), F.lit(30))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.concat_ws(":", s["encoding"], band.cast("string")).alias("stratum"), (n * size).alias("bits"), randomness(s["match"], s["encoding"]).alias("p"))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.concat_ws(":", s["encoding"], band.cast("string")).alias("stratum"), (n * size).alias("bits"), F.xxhash64(s["match"]).alias("h"), randomness(s["match"], s["encoding"]).alias("p"))
 
     return F.transform(coded, tested)
 
@@ -139,18 +171,33 @@ def _bin(p: Column) -> Column:
     return F.least(F.floor(-F.log10(F.greatest(p, F.lit(1e-300))) * 10), F.lit(BINS)).cast("int")
 
 
-def rejection_bounds(tested: DataFrame, rate: float = RATE) -> dict[str, int]:
-    """Per stratum the least bin of -10 log10 p whose strings are rejected as not random (Benjamini-Hochberg over a histogram). At most encodings x length bands entries."""
-    bins = tested.select(F.explode("tested").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), _bin(F.col("t.p")).alias("bin")).count()
-    up_to = Window.partitionBy("stratum").orderBy(F.desc("bin"))
-    ranked = bins.withColumn("rank", F.sum("count").over(up_to)).withColumn("m", F.sum("count").over(Window.partitionBy("stratum")))
-    rejected = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / 10.0) <= rate * F.col("rank") / F.col("m"))  # a bin's largest p
-    return {r.stratum: r.bin for r in rejected.groupBy("stratum").agg(F.min("bin").alias("bin")).collect()}
+def report_bounds(tested: DataFrame, rate: float = RATE) -> dict[str, int]:
+    """Per stratum the bin of -10 log10 p from which strings are not reported. The histogram has at most encodings x length bands x bins rows."""
+    rows = tested.select(F.explode("tested").alias("t")).groupBy(F.col("t.stratum").alias("stratum"), _bin(F.col("t.p")).alias("bin")).agg(F.countDistinct("t.h").alias("n")).collect()
+    own: dict[str, list[float]] = {}
+    of_encoding: dict[str, list[float]] = {}
+    uniform = [10 ** (-b / 10) - 10 ** (-(b + 1) / 10) for b in range(BINS)] + [10 ** (-BINS / 10)]
+    for stratum, at, n in rows:
+        encoding = of_encoding.setdefault(stratum.split(":")[0], [PRIOR * u for u in uniform])
+        encoding[at] += n
+        own.setdefault(stratum, [0.0] * (BINS + 1))[at] += n
+    out = {}
+    for stratum, counts in own.items():
+        wider = of_encoding[stratum.split(":")[0]]
+        counts = [n + PRIOR * w / sum(wider) for n, w in zip(counts, wider)]
+        random = sum(counts[:UPPER_BINS]) / sum(uniform[:UPPER_BINS])
+        bound, reported, law = 0, 0.0, 0.0
+        for b in range(LAST_BIN):
+            reported, law = reported + counts[b], law + uniform[b]
+            if reported - random * law <= rate * reported:
+                bound = b + 1
+        out[stratum] = bound
+    return out
 
 
 def random_spans(tested: Column, bounds: dict[str, int], least_bits: float = LEAST_BITS) -> Column:
     def kept(s: Column) -> Column:
-        bound = F.lit(BINS + 1)
+        bound = F.lit(0)
         for stratum, least in sorted(bounds.items()):
             bound = F.when(s["stratum"] == stratum, F.lit(least)).otherwise(bound)
         return (s["bits"] >= least_bits) & (_bin(s["p"]) < bound)
@@ -179,7 +226,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     bare = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     found = cut(examined(docs, F.col("text")).select("doc_id", *(bare(k).alias(k) for k in BASE), "tested"))  # a few spans a document
-    found = found.withColumn("random", random_spans(F.col("tested"), rejection_bounds(found)))
+    found = found.withColumn("random", random_spans(F.col("tested"), report_bounds(found)))
     base = F.concat(*BASE)
     return found.select(
         "doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS), F.sha2(_joined(_sorted(base)), 256).alias("base_sha256"), _joined(_sorted(F.concat(base, "random"))).alias("spans")
@@ -193,15 +240,15 @@ def redact(df: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> Dat
     # Written once: the bounds need all spans before any text changes.
     found = cut(examined(packed, F.col("text")).select("row", F.concat(*map(bare, BASE)).alias("base"), "tested"))
     found = found.withColumn("text", F.col(f"row.`{text_col}`"))
-    ordered = _sorted(F.concat("base", random_spans(F.col("tested"), rejection_bounds(found.select("tested")))))
-    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    ordered = _sorted(F.concat("base", random_spans(F.col("tested"), report_bounds(found.select("tested")))))
+    begin = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
     piece = lambda text, a, b: F.substr(text, (a + 1).cast("int"), (b - a).cast("int"))
 
     def step(acc: Column, s: Column) -> Column:
-        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], piece(F.col("text"), acc["at"], s["start"]), F.lit(mark))).otherwise(acc["out"])
+        out = F.when(s["start"] >= acc["at"], F.concat(acc["out"], F.array(piece(F.col("text"), acc["at"], s["start"]), F.lit(mark)))).otherwise(acc["out"])
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
-    clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(acc["out"], piece(F.col("text"), acc["at"], F.length("text").cast("bigint"))))
+    clean = F.aggregate(ordered, begin, step, lambda acc: F.concat(F.array_join(acc["out"], ""), piece(F.col("text"), acc["at"], F.length("text").cast("bigint"))))
     cleaned = found.withColumn("clean", F.when(F.size(ordered) > 0, clean).otherwise(F.col("text")))
     return cleaned.select(*(F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in df.columns))
 

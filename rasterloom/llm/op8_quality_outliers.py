@@ -1,7 +1,7 @@
 """Operator 8: quality rules, base rules on word statistics and a robust multivariate outlier test.
 
 For each language and source a minimum-covariance-determinant estimate (concentration steps from four starts until the
-determinant stops falling, the least of them) gives centre and scatter of transformed statistics; a document far from its
+determinant stops falling, the least of them, reweighted) gives centre and scatter of transformed statistics; a document far from its
 group by Mahalanobis distance fails. All of it is DataFrame expressions and aggregates: sums and quantile sketches are combined before each shuffle,
 so a group that holds a third of all rows costs what others cost.
 
@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import WORD_SPACE, cut, documents
+from .shared import WORD_SPACE, by_size, cut, documents
 
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
 #: Standard deviations a statistic is granted at least; the natural spread of clean prose, so that a group without any spread in one doesn't reject all that differs.
@@ -26,6 +26,8 @@ SUPPORT, CUTOFF, MIN_GROUP = 0.75, 42.7, 50
 SETTLED = 1e-3
 #: Makes the scatter of the innermost three quarters of a 4-dimensional normal law that of the whole: support / P(chi2 of 6 <= 3/4 quantile of chi2 of 4).
 CONSISTENCY = 0.75 / 0.5055
+#: Of the reweighting step: the squared distance within which 97.5 % of a 4-dimensional normal law lie, and what makes their scatter that of the whole.
+INNER, INNER_CONSISTENCY = 11.143, 0.975 / 0.9159
 
 
 def word_statistics(df: DataFrame, text: Column) -> DataFrame:
@@ -95,7 +97,8 @@ def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], suppor
     for i in range(1, len(by)):
         groups = groups.join(groups.groupBy(*by[:i]).agg(F.sum(f"n_{len(by)}").alias(f"n_{i}")), by[:i])
     groups = cut(groups.withColumn("e_key", F.coalesce(*(F.when(F.col(f"n_{i}") >= min_group, keys[i]) for i in range(len(by), 0, -1)), keys[0])).select(*by, "e_key"))
-    parts = cut(groups.select(*by, F.explode(F.array(*keys)).alias("e_key")).join(groups.select("e_key").distinct(), "e_key"))  # of the estimates in use those a group's rows belong to
+    groups = by_size(groups)  # rows go to no task by their group where estimates are few
+    parts = by_size(cut(groups.select(*by, F.explode(F.array(*keys)).alias("e_key")).join(groups.select("e_key").distinct(), "e_key")))  # of the estimates in use those a group's rows belong to
     members = df.join(parts, by).select("e_key", *names)
 
     pairs = [(i, j, a, b) for i, a in enumerate(names) for j, b in enumerate(names[: i + 1])]
@@ -103,7 +106,7 @@ def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], suppor
     scatter = lambda factor: [(F.covar_pop(a, b) * factor + (F.lit(dims[a] ** 2) if i == j else F.lit(0.0))).alias(f"c_{i}_{j}") for i, j, a, b in pairs]
     columns = ["e_key", "start", *(f"m_{d}" for d in names), *(f"l_{i}_{j}" for i, j, *_ in pairs)]
     quartiles = cut(members.groupBy("e_key").agg(*(F.percentile_approx(d, [0.25, 0.5, 0.75], 1000).alias(f"q_{d}") for d in names)))
-    spread = members.join(quartiles, "e_key").groupBy("e_key").agg(*(F.percentile_approx(F.abs(F.col(d) - F.get(f"q_{d}", F.lit(1))), 0.5, 1000).alias(f"s_{d}") for d in names))
+    spread = members.join(by_size(quartiles), "e_key").groupBy("e_key").agg(*(F.percentile_approx(F.abs(F.col(d) - F.get(f"q_{d}", F.lit(1))), 0.5, 1000).alias(f"s_{d}") for d in names))
     # Starts: each quartile with the median deviation of each statistic, and the plain mean and scatter.
     starts = quartiles.join(spread, "e_key").crossJoin(df.sparkSession.range(3).select(F.col("id").cast("int").alias("start")))
     starts = starts.select("e_key", "start", *(F.get(f"q_{d}", F.col("start")).alias(f"m_{d}") for d in names), *((F.greatest(1.4826 * F.col(f"s_{a}"), F.lit(dims[a])) if i == j else F.lit(0.0)).alias(f"l_{i}_{j}") for i, j, a, _ in pairs))
@@ -111,9 +114,9 @@ def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], suppor
     moving = cut(starts.unionByName(plain.select(*columns)).withColumn("log_det", F.lit(float("inf"))))
     settled = moving.where("false")
     while not moving.isEmpty():
-        near = members.join(moving.select(*columns), "e_key").withColumn("distance", _distance(names)).select("e_key", "start", *names, "distance")
+        near = members.join(by_size(moving.select(*columns)), "e_key").withColumn("distance", _distance(names)).select("e_key", "start", *names, "distance")
         bound = near.groupBy("e_key", "start").agg(F.percentile_approx("distance", support, 1000).alias("bound"))
-        inner = near.join(bound, ["e_key", "start"]).where("distance <= bound")
+        inner = near.join(by_size(cut(bound)), ["e_key", "start"]).where("distance <= bound")
         after = _cholesky(inner.groupBy("e_key", "start").agg(*means, *scatter(CONSISTENCY)), names)
         after = after.select(*columns, sum((2 * F.log(f"l_{i}_{i}") for i in range(len(names))), F.lit(0.0)).alias("log_det"))
         after = cut(after.join(moving.select("e_key", "start", F.col("log_det").alias("old")), ["e_key", "start"]))
@@ -121,6 +124,9 @@ def robust_distance(df: DataFrame, by: list[str], dims: dict[str, float], suppor
         settled = settled.unionByName(moving.join(fell.select("e_key", "start"), ["e_key", "start"], "left_anti"))
         moving = fell.drop("old")
     least = cut(settled.groupBy("e_key").agg(F.min_by(F.struct(*columns[2:]), F.struct("log_det", "start")).alias("e")).select("e_key", "e.*"))
+    inside = members.join(by_size(least), "e_key").where(_distance(names) <= INNER)
+    weighted = _cholesky(inside.groupBy("e_key").agg(*means, *scatter(INNER_CONSISTENCY)), names)
+    least = by_size(cut(weighted.select("e_key", *columns[2:])))
     return df.join(groups, by).join(least, "e_key").withColumn("distance", _distance(names)).select(*df.columns, "distance")
 
 

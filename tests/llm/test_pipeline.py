@@ -61,3 +61,19 @@ def test_packing(stages):
             assert offset == at
             at += length
         assert at <= 1024
+
+
+def test_odd_rows(spark, odd, none_of):
+    """Nulls, repeated rows and ids, long texts and clashing names pass all stages; no table is too small."""
+    docs = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, "").cache()
+        assert docs.columns == odd.columns, name
+        assert docs.where("text is null").count() == 0
+    texts = [r["text"] for r in docs.collect()]
+    assert len(texts) == len(set(texts)) and any(t.startswith("no id here") for t in texts) and "another text under the id of three" in texts
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").select("doc_id", "piece").count() >= len(texts)
+    docs = none_of
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0

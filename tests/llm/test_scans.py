@@ -7,6 +7,7 @@ import math
 import random
 import re
 import string
+import time
 import wave
 import zlib
 
@@ -77,6 +78,37 @@ def test_random_strings_and_words(spark):
     assert not any(got[i] for i, _, s in rows if not s)
 
 
+def test_secrets_after_equals_signs_and_in_base62(spark):
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n))
+    texts = [x for _ in range(5) for x in (f"AWS_SECRET_ACCESS_KEY={draw(40)}", f"https://x.example/a?sig={draw(43)}&b=1", f"private_key={draw(64)}")] + [draw(3000)]
+    got = scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert sum(r["n_random"] for r in got) >= 14 and all(r["n_random"] for r in got if r["doc_id"] == 15)
+
+
+def test_reported_strings_are_random(spark):
+    """Identifiers far outnumber random strings of their lengths; few of what is reported are identifiers."""
+    rng = random.Random(11)
+    words = ["Http", "Request", "Handler", "Factory", "Stream", "Buffer", "Parser", "Config", "Session", "Token2", "Json", "Utf8", "Base64", "Socket", "Proxy", "Index", "V1", "Cache"]
+    names = ["".join(rng.choice(words) for _ in range(rng.randrange(4, 7))) + str(rng.randrange(9)) for _ in range(1500)]
+    random_ones = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.randrange(24, 40))) for _ in range(300)]
+    rows = [(i, f"see {t} here", i >= 1500) for i, t in enumerate(names + random_ones)]
+    got = {r["doc_id"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string, secret boolean")).collect() if r["n_random"]}
+    false = sum(i < 1500 for i in got)
+    assert len(got) - false >= 150 and false <= 0.12 * len(got), (len(got), false)
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    rng = random.Random(7)
+    run = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(1_000_000))
+    many = " ".join(f"token = {k:08x} " + "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(30)) for k in range(2000))
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in scan(spark.createDataFrame([(1, run), (2, many)], "doc_id long, text string")).collect()}
+    assert got[1]["spans"] == "random:0:1000000" and got[2]["n_assign"] == 2000 and got[2]["n_random"] >= 1500
+    assert time.monotonic() - began < 60
+    check_spans([got[2]], {2: many})
+
+
 def backoff_oracle(texts, order=3):
     """Of each of the texts the steps back and the log score, by counts of all others."""
     words = [(t or "").encode().lower().split() for t in texts]
@@ -330,5 +362,9 @@ def test_language_odd_rows(spark, odd, none_of):
     kept = predict_rows(odd, one)
     assert kept.select("row.*").columns == odd.columns and kept.count() == odd.count()
     many = spark.createDataFrame([(f"text number {i}", "en") for i in range(3000)] + [("autre texte", "fr")], "text string, lang string")
-    assert sample(many, "lang", "text", 100, 1000).count() < 200
+    assert sample(many, "lang", "text", 100, 1000).count() == 101
+    copies = spark.createDataFrame([(f"text number {i}", "en") for i in range(3000)] + [("deux", "fr"), ("trois", "fr")] * 2000, "text string, lang string")
+    assert sorted(r["text"] for r in sample(copies, "lang", "text", 100, 1000).where("lang = 'fr'").collect()) == ["deux", "trois"]
+    several = spark.createDataFrame([(f"text {i}", f"l{i % 50}") for i in range(5000)], "text string, lang string")
+    assert sample(several, "lang", "text", 100, 10).count() == 50
     assert odd.where(in_fold(F.col("doc_id"))).count() >= 2
