@@ -3,6 +3,10 @@
 Each stage takes (spark, docs, sf_dir), works on all rows its predecessor kept and returns a DataFrame, which `run`
 writes as Parquet to the shared folder and rereads as the next stage's docs. All stages but the last return the columns
 of docs.
+
+Null ids, and ids that several rows share, are fine: stages go by row or by id and text. Null texts go with the first stage, as do
+empty ones; repeated rows count as copies of each other from near-dedup on; extra columns stay until packing, whatever their names;
+an empty table stays one.
 """
 
 from __future__ import annotations
@@ -10,16 +14,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rasterloom.llm.op1_secret_scan import redact
-from rasterloom.llm.op2_line_dedup import deduplicate
-from rasterloom.llm.op6_best_fit_packing import pack_documents
-from rasterloom.llm.op7_minmax_dedup import keep_one
-from rasterloom.llm.op10_language_id import fit, predict_rows
-from rasterloom.llm.shared import fresh_dir
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null text, or no letter); a document's predicted language becomes its lang."""
+    from rasterloom.llm.op10_language_id import fit, predict_rows
+
     predicted = predict_rows(docs, fit(docs))
     kept = predicted.where("lang_pred <> 'und'")
     return kept.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
@@ -32,6 +31,8 @@ def _with_text(docs: DataFrame, text: Column) -> list:
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that match an earlier one; a document of which nothing but white space is left goes."""
+    from rasterloom.llm.op2_line_dedup import deduplicate
+
     found = deduplicate(docs)
     left = found.where((F.col("n_removed") == 0) | F.rlike("clean", F.lit(r"[^\x20\x09-\x0D]")))
     return left.select(*_with_text(docs, F.col("clean")))
@@ -39,11 +40,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group of near duplicates."""
+    from rasterloom.llm.op7_minmax_dedup import keep_one
+
     return keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets by a mark; no document goes."""
+    from rasterloom.llm.op1_secret_scan import redact
+
     cleaned = redact(docs)
     return cleaned.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
 
@@ -52,6 +57,8 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Pieces of token sequences and their places in sequences of 1024 tokens."""
     import public_tokenizers
 
+    from rasterloom.llm.op6_best_fit_packing import pack_documents
+
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -61,6 +68,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from rasterloom.llm.shared import fresh_dir
+
     docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), fresh_dir(spark, "pipeline")
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
