@@ -16,13 +16,13 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..packaging import ship
-from .shared import documents
+from .shared import documents, map_arrow
 
 #: Families of languages by their two-letter codes.
 FAMILIES = {
@@ -160,22 +160,19 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     ship(df.sparkSession)
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), (held_out if held_out is not None else F.lit(False)).alias("held_out"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_arrow(rows, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def predict_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """row (a struct of df's columns), lang_pred string, score double."""
+    """row (a struct of df's columns), lang_pred string, score double. Only texts go to Python."""
     ship(df.sparkSession)
-    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                part = batch.slice(start, 1000)
-                got = [model.predict(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["row", "lang_pred", "score"])
+    @F.pandas_udf("lang_pred string, score double")
+    def judged(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return rows.mapInArrow(run, T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), judged(F.col(f"`{text_col}`").cast("string")).alias("p"))
+    return rows.select("row", "p.*")
 
 
 def in_fold(doc_id: Column) -> Column:

@@ -29,8 +29,8 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import Chunks
-from .shared import documents, fresh_dir, own
+from .bpe import REMEMBERED, Chunks
+from .shared import documents, fresh_dir, map_arrow, own
 
 #: Fixed values of the file format.
 _MASK, _HEAD, _PAYLOAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BBq")
@@ -64,7 +64,7 @@ ROLL = 128 << 20
 
 
 @cache
-def encoder(tokenizer_path: str) -> Chunks:
+def encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Chunks:
     """One per Python worker: the library's own encoding, special tokens' strings included, of pieces that it is asked for once."""
     import os
 
@@ -95,7 +95,7 @@ def encoder(tokenizer_path: str) -> Chunks:
             out[i] = ids.tobytes()
         return out
 
-    return Chunks(encode)
+    return Chunks(encode, remembered)
 
 
 def slices(batch: pa.RecordBatch, rows: int = 1000, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -156,7 +156,7 @@ def write_records(df: DataFrame, path: str, tokenizer_path: str, end_id: int | N
 
     order = F.asc_nulls_first("doc_id"), F.xxhash64("text")  # the second key spreads rows of one id
     ordered = own(df, id_col, text_col).repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered.mapInArrow(run, "file long, name string, n_records long, n_tokens long").write.parquet(f"{path}/manifest")
+    map_arrow(ordered, run, "file long, name string, n_records long, n_tokens long").write.parquet(f"{path}/manifest")
 
 
 def frames(stream) -> Iterator[bytes]:

@@ -20,8 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .bpe import REMEMBERED
 from .op4_token_records import encoder, slices
-from .shared import array_literal, cut, documents, own
+from .shared import array_literal, cut, documents, map_arrow, own
 
 #: Pieces in a bucket of the ranking, about; a length has as many buckets as it needs.
 BUCKET_ROWS = 1000
@@ -91,11 +92,11 @@ def best_fit_decreasing(counts: list[int], capacity: int) -> tuple[np.ndarray, i
     return np.array(plan, np.int64).reshape(-1, 5), bins
 
 
-def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, keep_ids: bool = False, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """Tokens of each text in pieces of at most `capacity`, of which the first may be shorter: doc_id, piece, start, length, ids_crc32, and ids (binary, 4 bytes each) if wanted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer_path).encode, np.array([end_id] if end_id is not None else [], "<u4").tobytes()
+        encode, end = encoder(tokenizer_path, remembered).encode, np.array([end_id] if end_id is not None else [], "<u4").tobytes()
         for batch in batches:
             for part in slices(batch):
                 rows = []
@@ -110,7 +111,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, cap
                 columns = list(zip(*rows)) or [[]] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)])
 
-    return own(df, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
+    return map_arrow(own(df, id_col, text_col), run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
 def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
@@ -144,9 +145,9 @@ def pack(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     return ranked.mapInArrow(place, schema)
 
 
-def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, keep_ids: bool = False) -> DataFrame:
-    """Tokenizes, cuts and packs: doc_id long, piece int, start, length, ids_crc32, sequence_id, offset long."""
-    return pack(cut(token_pieces(df, tokenizer_path, end_id, capacity, keep_ids)), capacity)
+def pack_documents(df: DataFrame, tokenizer_path: str, end_id: int | None = 2, capacity: int = 1024, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
+    """Tokenizes, cuts and packs (remembered: bytes of a worker's memory of pieces): doc_id long, piece int, start, length, ids_crc32, sequence_id, offset long."""
+    return pack(cut(token_pieces(df, tokenizer_path, end_id, capacity, keep_ids, remembered=remembered)), capacity)
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

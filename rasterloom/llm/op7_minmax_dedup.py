@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Scratch, bit_set, documents, in_bit_set, own
+from .shared import Scratch, bit_set, documents, in_bit_set, map_arrow, own
 
 WORDS, THRESHOLD = 5, 75
 BANDS, ROWS = 80, 6
@@ -105,7 +105,7 @@ def features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
                     band.append(minmax.keys(minmax.signature(hashes)) if len(hashes) else None)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(band, pa.list_(pa.int64())), part.column(2)], ["doc_id", "n_shingles", "set_key", "bands", "text_key"])
 
-    return own(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, text_key long")
+    return map_arrow(own(df, id_col, text_col).withColumn("text_key", F.xxhash64("text")), run, "doc_id long, n_shingles long, set_key binary, bands array<long>, text_key long")
 
 
 def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
@@ -118,7 +118,7 @@ def shingle_sets(df: DataFrame, words: int = WORDS) -> DataFrame:
                 keys = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([x.view(np.int64) for x in sets], pa.list_(pa.int64())), pa.array([odd_sketch(x) for x in sets], pa.list_(pa.int64()))], ["set_key", "hashes", "sketch"])
 
-    return df.mapInArrow(run, "set_key binary, hashes array<long>, sketch array<long>")
+    return map_arrow(df, run, "set_key binary, hashes array<long>, sketch array<long>")
 
 
 def components(edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:

@@ -4,8 +4,8 @@ A recording's samples are cut into overlapping frames of the same duration at ev
 semitones; a frame's spectrum is folded into twelve pitch classes. Sixteen rectangle filters over a few frames and classes,
 answered in constant time from an integral image, give two bits each: one packed 32-bit integer per position. Recordings that share an index key are aligned by the histogram of
 position differences, and the bit errors along the overlap at the best difference tell how alike they are. A key is the signs
-of all filters at two positions, `STEP` apart, less easily changed by noise than an integer; as keys are shared by chance too, two at the
-same difference make a candidate. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
+of all filters at three positions, `STEP` apart: less easily changed by noise than an integer, and far less often shared by
+recordings that have nothing else in common. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
 
 Recordings with equal fingerprints are one class from the start, so copies are compared once.
 
@@ -36,8 +36,8 @@ RATE, SECONDS, SPAN, AT_ONCE = 11025, 4096 / 11025, 8, 1 << 22
 LOW, HIGH = 60.0, 3520.0
 #: Greatest share of differing bits of a match (unrelated recordings differ in three tenths), the least share of the shorter recording that the overlap covers, in percent, and the least positions of it (some four seconds; in fewer, unrelated ones meet by chance).
 MOST_ERRORS, LEAST_OVERLAP, LEAST_POSITIONS = 0.15, 50, 40
-#: Positions between the two of a key, and keys of a candidate at its best difference.
-STEP, LEAST_HITS = 2, 2
+#: Positions between the three of a key.
+STEP = 2
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -197,10 +197,10 @@ def signs(codes: np.ndarray) -> np.ndarray:
 
 def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of keys, and keys, of the integers of recordings one after another; row: the recording of each."""
-    s, n = signs(codes), max(0, len(codes) - STEP)
-    key = s[:n] << 16 | s[STEP : STEP + n]
+    s, n = signs(codes), max(0, len(codes) - 2 * STEP)
+    key = s[:n] << 32 | s[STEP : STEP + n] << 16 | s[2 * STEP : 2 * STEP + n]
     still = int(signs(packed_integers(np.zeros((SPAN, 12), np.float32)))[0])
-    use = (row[:n] == row[STEP : STEP + n]) & (key != (still << 16 | still))
+    use = (row[:n] == row[2 * STEP : 2 * STEP + n]) & (key != (still << 32 | still << 16 | still))
     use[1:] &= (key[1:] != key[:-1]) | (row[1:n] != row[: n - 1]) if n else True
     at = np.flatnonzero(use)
     return at, key[at]
@@ -238,7 +238,7 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
     shifts = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
     best = shifts.groupBy("q", "m").agg(F.max(F.struct("hits", (-F.abs("shift")).alias("near"), "shift")).alias("best"))
-    best = scratch.table("best", best.where(F.col("best.hits") >= LEAST_HITS).select("q", "m", "best.shift", "best.hits"))
+    best = scratch.table("best", best.select("q", "m", "best.shift", "best.hits"))
     scratch.drop()
     of = lambda node: classes.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
     pairs = best.join(of("q"), "q").join(of("m"), "m")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +66,25 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow, after whose tasks the Python worker, which lives on, gives memory that it no longer uses back to the machine."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return df.mapInArrow(tidy, schema)
+
+
 def by_size(df: DataFrame, most_rows: int = 100_000) -> DataFrame:
     """A written table to join with: broadcast if it has few rows, else left to the optimizer."""
     return F.broadcast(df) if df.count() <= most_rows else df
