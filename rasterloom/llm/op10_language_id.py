@@ -16,13 +16,12 @@ import itertools
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..packaging import ship
-from .shared import documents, map_arrow
+from .shared import documents, map_arrow, release
 
 #: Families of languages by their two-letter codes.
 FAMILIES = {
@@ -167,9 +166,14 @@ def predict_rows(df: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """row (a struct of df's columns), lang_pred string, score double. Only texts go to Python."""
     ship(df.sparkSession)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def judged(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.predict(t) for t in texts], columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred string, score double>")
+    def judged(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        try:
+            for texts in batches:
+                got = [model.predict(t) for t in texts.to_pylist()]
+                yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], ["lang_pred", "score"])
+        finally:
+            release()
 
     rows = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), judged(F.col(f"`{text_col}`").cast("string")).alias("p"))
     return rows.select("row", "p.*")

@@ -66,21 +66,26 @@ def free(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
-    """mapInArrow, after whose tasks the Python worker, which lives on, gives memory that it no longer uses back to the machine."""
+def release() -> None:
+    """Gives memory that a Python worker, which outlives its tasks, no longer uses back to the machine."""
+    import ctypes
 
-    def tidy(batches: Iterator) -> Iterator:
-        import ctypes
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
 
-        import pyarrow as pa
 
+def map_arrow(df: DataFrame, run: Callable[[Iterator], Iterator], schema) -> DataFrame:
+    """mapInArrow, whose tasks release what they held."""
+
+    def tidy(batches: Iterator) -> Iterator:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            release()
 
     return df.mapInArrow(tidy, schema)
 
