@@ -15,10 +15,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _batches(spark: SparkSession) -> None:
+    """Texts are long and executors serve all stages in turn: fewer rows go to Python at a time than Spark's default of 10,000."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language (null text, or no letter); a document's predicted language becomes its lang."""
     from rasterloom.llm.op10_language_id import fit, predict_rows
 
+    _batches(spark)
     predicted = predict_rows(docs, fit(docs))
     kept = predicted.where("lang_pred <> 'und'")
     return kept.select(*(F.col("lang_pred").alias(c) if c == "lang" else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
@@ -42,6 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group of near duplicates."""
     from rasterloom.llm.op7_minmax_dedup import keep_one
 
+    _batches(spark)
     return keep_one(docs)
 
 
@@ -59,6 +66,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     from rasterloom.llm.op6_best_fit_packing import pack_documents
 
+    _batches(spark)
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), remembered=32 << 20)  # workers also serve the other stages
 
 
