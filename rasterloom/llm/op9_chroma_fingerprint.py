@@ -6,6 +6,8 @@ answered in constant time from an integral image, give two bits each: one packed
 position differences, and the bit errors along the overlap at the best difference tell how alike they are. A key is the signs
 of all filters at three positions, `STEP` apart: less easily changed by noise than an integer, and far less often shared by
 recordings that have nothing else in common. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
+Two recordings that share a stretch share all of its keys at one difference: the join gives a row where such a stretch starts and one where it ends, not one per key,
+and the histogram counts its keys from the two.
 
 Recordings with equal fingerprints are one class from the start, so copies are compared once.
 
@@ -206,8 +208,19 @@ def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, key[at]
 
 
+def neighbours(at: np.ndarray, key: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Per key a hash of the recording's key before it and of how far that is, and of the key after it; null where there is none."""
+    if not len(key):
+        return pa.array([], pa.int64()), pa.array([], pa.int64())
+    gap = np.diff(at).astype(np.uint64)
+    mixed = [(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ gap) * np.uint64(0xC2B2AE3D27D4EB4F) for k in (key[:-1], key[1:])]
+    before, after = (x.view(np.int64) for x in mixed)
+    apart, end, none = row[1:] != row[:-1], np.ones(1, bool), np.zeros(1, np.int64)
+    return pa.array(np.concatenate([none, before]), mask=np.concatenate([end, apart])), pa.array(np.concatenate([after, none]), mask=np.concatenate([apart, end]))
+
+
 def postings(classes: DataFrame) -> DataFrame:
-    """node long, asks boolean, key long, at int: a row per key."""
+    """node long, asks boolean, key long, at int, nth int (counts the recording's keys, from any number), before long, after long (hashes of its neighbours): a row per key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,10 +230,11 @@ def postings(classes: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 at, key = index_keys(part.column(2).flatten().to_numpy(), row)
-                of = pa.array(row[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(key, pa.int64()), pa.array(within[at], pa.int32())], ["node", "asks", "key", "at"])
+                of, nth = pa.array(row[at]), pa.array(np.arange(len(at)), pa.int32())
+                before, after = neighbours(at, key, row[at])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(key, pa.int64()), pa.array(within[at], pa.int32()), nth, before, after], ["node", "asks", "key", "at", "nth", "before", "after"])
 
-    return classes.where(F.size("prints") >= LEAST_POSITIONS).select("node", "asks", "prints").mapInArrow(run, "node long, asks boolean, key long, at int")
+    return classes.where(F.size("prints") >= LEAST_POSITIONS).select("node", "asks", "prints").mapInArrow(run, "node long, asks boolean, key long, at int, nth int, before long, after long")
 
 
 def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str = "media", width: int = 1, rate: int = RATE) -> DataFrame:
@@ -233,10 +247,13 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     classes = scratch.table("classes", classes.withColumn("node", F.monotonically_increasing_id()))
     scratch.drop()
     post = postings(classes)
-    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"))
-    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at")), "key")
+    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"), "nth", F.col("before").alias("q_before"), F.col("after").alias("q_after"))
+    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before", "after"), "key")
     met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
-    shifts = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.count(F.lit(1)).alias("hits"))
+    starts, ends = (~F.coalesce(F.col(f"q_{side}") == F.col(side), F.lit(False)) for side in ("before", "after"))
+    met = met.where(starts | ends)
+    keys = F.when(ends, F.col("nth") + 1).otherwise(0) - F.when(starts, F.col("nth")).otherwise(0)  # the sum over a shared stretch is its number of keys
+    shifts = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.sum(keys).alias("hits"))
     best = shifts.groupBy("q", "m").agg(F.max(F.struct("hits", (-F.abs("shift")).alias("near"), "shift")).alias("best"))
     best = scratch.table("best", best.select("q", "m", "best.shift", "best.hits"))
     scratch.drop()
