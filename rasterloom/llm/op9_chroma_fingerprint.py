@@ -6,8 +6,8 @@ answered in constant time from an integral image, give two bits each: one packed
 position differences, and the bit errors along the overlap at the best difference tell how alike they are. A key is the signs
 of all filters at three positions, `STEP` apart: less easily changed by noise than an integer, and far less often shared by
 recordings that have nothing else in common. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
-Two recordings that share a stretch share all of its keys at one difference: the join gives a row where such a stretch starts and one where it ends, not one per key,
-and the histogram counts its keys from the two.
+Two recordings that share a stretch share all of its keys at one difference: the join gives a row where such a stretch starts, not one per key. The histogram
+over all keys of a pair is counted per pair, at the differences found so.
 
 Recordings with equal fingerprints are one class from the start, so copies are compared once.
 
@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..packaging import ship
 from .shared import Scratch, documents
@@ -208,33 +209,32 @@ def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return at, key[at]
 
 
-def neighbours(at: np.ndarray, key: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """Per key a hash of the recording's key before it and of how far that is, and of the key after it; null where there is none."""
-    if not len(key):
-        return pa.array([], pa.int64()), pa.array([], pa.int64())
-    gap = np.diff(at).astype(np.uint64)
-    mixed = [(k.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ gap) * np.uint64(0xC2B2AE3D27D4EB4F) for k in (key[:-1], key[1:])]
-    before, after = (x.view(np.int64) for x in mixed)
-    apart, end, none = row[1:] != row[:-1], np.ones(1, bool), np.zeros(1, np.int64)
-    return pa.array(np.concatenate([none, before]), mask=np.concatenate([end, apart])), pa.array(np.concatenate([after, none]), mask=np.concatenate([apart, end]))
-
-
-def postings(classes: DataFrame) -> DataFrame:
-    """node long, asks boolean, key long, at int, nth int (counts the recording's keys, from any number), before long, after long (hashes of its neighbours): a row per key."""
+def keyed(classes: DataFrame) -> DataFrame:
+    """classes and keys array<long>, at array<int>: keys and their places; none of recordings that are too short."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 1000):
                 part = batch.slice(start, 1000)
-                lengths = part.column(2).value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                prints = part.column("prints")
+                lengths = prints.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                at, key = index_keys(part.column(2).flatten().to_numpy(), row)
-                of, nth = pa.array(row[at]), pa.array(np.arange(len(at)), pa.int32())
-                before, after = neighbours(at, key, row[at])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(key, pa.int64()), pa.array(within[at], pa.int32()), nth, before, after], ["node", "asks", "key", "at", "nth", "before", "after"])
+                at, key = index_keys(prints.flatten().to_numpy(), row)
+                enough = lengths[row[at]] >= LEAST_POSITIONS
+                at, key = at[enough], key[enough]
+                offsets = pa.array(np.searchsorted(row[at], np.arange(len(lengths) + 1)), pa.int32())
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((key, pa.int64()), (within[at], pa.int32()))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "keys", "at"])
 
-    return classes.where(F.size("prints") >= LEAST_POSITIONS).select("node", "asks", "prints").mapInArrow(run, "node long, asks boolean, key long, at int, nth int, before long, after long")
+    return classes.mapInArrow(run, StructType([*classes.schema.fields, StructField("keys", ArrayType(LongType())), StructField("at", ArrayType(IntegerType()))]))
+
+
+def postings(classes: DataFrame) -> DataFrame:
+    """node long, asks boolean, key long, at int, before long (hash of the recording's key before it and of how far that is; null where there is none): a row per key."""
+    before = lambda i: F.when(i > 0, F.xxhash64(F.get("keys", i - 1), F.get("at", i) - F.get("at", i - 1)))
+    entries = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("at", i).alias("at"), before(i).alias("before")))
+    return classes.where(F.size("keys") > 0).select("node", "asks", F.inline(entries))
 
 
 def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str = "media", width: int = 1, rate: int = RATE) -> DataFrame:
@@ -244,19 +244,22 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     scratch = Scratch(df.sparkSession, "media")
     found = scratch.table("prints", fingerprints(df, id_col, media_col, width, rate))
     classes = found.where("class_key is not null").groupBy("class_key").agg(F.min("doc_id").alias("class_id"), F.max(F.coalesce(query, F.lit(False))).alias("asks"), F.first("prints").alias("prints"))
-    classes = scratch.table("classes", classes.withColumn("node", F.monotonically_increasing_id()))
+    classes = scratch.table("classes", keyed(classes.withColumn("node", F.monotonically_increasing_id())))
     scratch.drop()
     post = postings(classes)
-    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"), "nth", F.col("before").alias("q_before"), F.col("after").alias("q_after"))
-    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before", "after"), "key")
+    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"), F.col("before").alias("q_before"))
+    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before"), "key")
     met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
-    starts, ends = (~F.coalesce(F.col(f"q_{side}") == F.col(side), F.lit(False)) for side in ("before", "after"))
-    met = met.where(starts | ends)
-    keys = F.when(ends, F.col("nth") + 1).otherwise(0) - F.when(starts, F.col("nth")).otherwise(0)  # the sum over a shared stretch is its number of keys
-    shifts = met.groupBy("q", "m", (F.col("m_at") - F.col("q_at")).alias("shift")).agg(F.sum(keys).alias("hits"))
-    best = shifts.groupBy("q", "m").agg(F.max(F.struct("hits", (-F.abs("shift")).alias("near"), "shift")).alias("best"))
-    best = scratch.table("best", best.select("q", "m", "best.shift", "best.hits"))
+    starts = met.where(~F.coalesce(F.col("q_before") == F.col("before"), F.lit(False)))
+    # No more differences than the two recordings have positions.
+    candidates = scratch.table("candidates", starts.groupBy("q", "m").agg(F.collect_set(F.col("m_at") - F.col("q_at")).alias("shifts")))
     scratch.drop()
+    placed = F.transform("keys", lambda k, i: F.xxhash64(k, F.get("at", i)))
+    keys = candidates.join(classes.select(F.col("node").alias("q"), "keys", "at"), "q").join(classes.select(F.col("node").alias("m"), placed.alias("placed")), "m")
+    hits = lambda shift: F.size(F.array_intersect(F.transform("keys", lambda k, i: F.xxhash64(k, F.get("at", i) + shift)), "placed"))
+    best = F.array_max(F.transform("shifts", lambda x: F.struct(hits(x).cast("long").alias("hits"), (-F.abs(x)).alias("near"), x.alias("shift"))))
+    best = scratch.table("best", keys.select("q", "m", best.alias("best")).select("q", "m", "best.shift", "best.hits"))
+    scratch.drop("candidates")
     of = lambda node: classes.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
     pairs = best.join(of("q"), "q").join(of("m"), "m")
     from_q, from_m = F.greatest(F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.col("shift"))
