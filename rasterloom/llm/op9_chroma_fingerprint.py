@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from ..packaging import ship
-from .shared import Scratch, documents
+from .shared import Scratch, bit_set, documents, in_bit_set
 
 #: Samples a second of raw media, seconds of a frame (4096 samples at that rate), frames of a fingerprint window, and samples that are worked on at once, about.
 RATE, SECONDS, SPAN, AT_ONCE = 11025, 4096 / 11025, 8, 1 << 22
@@ -255,13 +255,15 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     candidates = scratch.table("candidates", starts.groupBy("q", "m").agg(F.collect_set(F.col("m_at") - F.col("q_at")).alias("shifts")))
     scratch.drop()
     placed = F.transform("keys", lambda k, i: F.xxhash64(k, F.get("at", i)))
-    keys = candidates.join(classes.select(F.col("node").alias("q"), "keys", "at"), "q").join(classes.select(F.col("node").alias("m"), placed.alias("placed")), "m")
+    # Of classes that met no other nothing moves.
+    meeting = [classes.where(in_bit_set(bit_set(candidates.select(F.col(side).alias("node")), "node"), "node")) for side in ("q", "m")]
+    keys = candidates.join(meeting[0].select(F.col("node").alias("q"), "keys", "at"), "q").join(meeting[1].select(F.col("node").alias("m"), placed.alias("placed")), "m")
     hits = lambda shift: F.size(F.array_intersect(F.transform("keys", lambda k, i: F.xxhash64(k, F.get("at", i) + shift)), "placed"))
     best = F.array_max(F.transform("shifts", lambda x: F.struct(hits(x).cast("long").alias("hits"), (-F.abs(x)).alias("near"), x.alias("shift"))))
     best = scratch.table("best", keys.select("q", "m", best.alias("best")).select("q", "m", "best.shift", "best.hits"))
     scratch.drop("candidates")
-    of = lambda node: classes.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
-    pairs = best.join(of("q"), "q").join(of("m"), "m")
+    of = lambda node, some: some.select(F.col("node").alias(node), F.col("class_id").alias(f"id_{node}"), F.col("prints").alias(f"prints_{node}"))
+    pairs = best.join(of("q", meeting[0]), "q").join(of("m", meeting[1]), "m")
     from_q, from_m = F.greatest(F.lit(0), -F.col("shift")), F.greatest(F.lit(0), F.col("shift"))
     overlap = F.least(F.size("prints_q") - from_q, F.size("prints_m") - from_m)
     differing = F.aggregate(F.zip_with(F.slice("prints_q", from_q + 1, overlap), F.slice("prints_m", from_m + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
