@@ -4,10 +4,8 @@ import collections
 import random
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import op2_line_dedup as op2
 from rasterloom.llm.op2_line_dedup import deduplicate, op2_line_dedup
 from rasterloom.llm.op7_minmax_dedup import MinMax, components, keep_one, near_duplicates, odd_sketch, op7_minmax_dedup, shingle_set
 
@@ -100,10 +98,8 @@ def test_line_dedup_query(spark, data, texts):
     check_lines(deduplicate(spark.read.parquet(f"{data}/documents.parquet")).select("row.doc_id", "clean", "n_removed", F.col("matched").alias("removed")).collect(), texts)
 
 
-@pytest.mark.parametrize("frequent", [256, 1])
-def test_line_dedup_near_lines(spark, monkeypatch, frequent):
-    """Lines of few words, that resemble each other in groups; where each word is frequent, too."""
-    monkeypatch.setattr(op2, "FREQUENT", frequent)
+def test_line_dedup_near_lines(spark):
+    """Lines of few words, that resemble each other in groups."""
     rng = random.Random(6)
     base = [[f"w{rng.randrange(60)}" for _ in range(rng.randrange(1, 16))] for _ in range(40)]
     texts = {}
