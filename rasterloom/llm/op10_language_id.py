@@ -59,14 +59,16 @@ def vector(text: str) -> np.ndarray:
 
 def train_svm(x: np.ndarray, positive: np.ndarray, cost: float = 10.0, rounds: int = 20, seed: int = 3) -> np.ndarray:
     """Weights (the bias last) of a linear support vector machine by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)]).astype(np.float64)
-    y, w, a = np.where(positive, 1.0, -1.0), np.zeros(x.shape[1]), np.zeros(len(x))
-    square, random = (x * x).sum(1), np.random.default_rng(seed)
+    y, w, a = np.where(positive, 1.0, -1.0), np.zeros(x.shape[1] + 1), np.zeros(len(x))
+    square, random = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 1, np.random.default_rng(seed)
     for _ in range(rounds):
         for i in random.permutation(len(x)):
-            new = min(max(a[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), cost)
+            row = x[i].astype(np.float64)  # one at a time: a copy of all would be most of the driver's memory
+            new = min(max(a[i] - (y[i] * (row @ w[:-1] + w[-1]) - 1) / square[i], 0.0), cost)
             if new != a[i]:
-                w += (new - a[i]) * y[i] * x[i]
+                step = (new - a[i]) * y[i]
+                w[:-1] += step * row
+                w[-1] += step
                 a[i] = new
     return w
 
@@ -142,9 +144,15 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", per
     ship(labelled.sparkSession)
     lettered = labelled.where(F.rlike(F.col(f"`{text_col}`").cast("string"), F.lit(r"\p{L}")))
     got = sample(lettered, lang_col, text_col, per_language, most_rows).mapInArrow(run, "lang string, x binary")
-    rows = sorted((r["lang"], bytes(r["x"])) for r in got.collect())  # no more than the sample's bound, or one a language
-    x = np.array([np.frombuffer(r[1], np.float16) for r in rows], np.float32).reshape(len(rows), SLOTS)
-    return Model(x, [r[0] for r in rows])
+    rows = sorted(got.collect(), key=lambda r: (r["lang"], r["x"]))  # no more than the sample's bound, or one a language
+    x, langs = np.empty((len(rows), SLOTS), np.float32), [r["lang"] for r in rows]
+    for i, r in enumerate(rows):
+        x[i] = np.frombuffer(r["x"], np.float16)
+    del rows
+    model = Model(x, langs)
+    del x
+    release()
+    return model
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None) -> DataFrame:
