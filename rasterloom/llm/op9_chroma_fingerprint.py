@@ -247,8 +247,6 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     classes = scratch.table("classes", keyed(classes.withColumn("node", F.monotonically_increasing_id())))
     scratch.drop()
     post = postings(classes)
-    # A bit set of fixed size: of keys that nobody asks for few move, as long as fewer than about a million are asked for.
-    post = post.where(in_bit_set(bit_set(post.where("asks"), "key"), "key"))
     asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"), F.col("before").alias("q_before"))
     met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before"), "key")
     met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
