@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bitmaps import CHUNK, SPARSE, merged, power_of_two, sparse_counts
-from .shared import Scratch, documents, map_arrow, own
+from .shared import Scratch, by_size, documents, map_arrow, own
 
 BITS_A_ROW, PROBES = 16, 4
 #: Rows of a slice; its filter has two bytes a row, 32 MB at most.
@@ -114,13 +114,14 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     docs = own(df, id_col, text_col).select("doc_id", text_hash(F.col("text")).alias("digest"))
     hashes = _hashed(docs, slices).withColumn("row", F.monotonically_increasing_id())
     hashes = scratch.table("hashes", hashes.sortWithinPartitions("slice") if slices > 1 else hashes)  # from here on a row has its number
-    return _grouped(asked(hashes, *filters(hashes, scratch, slice_rows)))
+    return _grouped(asked(hashes, *filters(hashes, scratch, slice_rows)), scratch)
 
 
-def _grouped(flagged: DataFrame) -> DataFrame:
+def _grouped(flagged: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = flagged.where("perhaps").select("doc_id", "digest", "row")
     groups = repeated.groupBy("digest").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).alias("group_size"))  # combined before the shuffle
-    met = repeated.join(groups, "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
+    # Groups are written, so that rows meet them in a join of its own: broadcast where groups are few, else one whose large partitions are split.
+    met = repeated.join(by_size(scratch.table("groups", groups)), "digest").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keep.row")).alias("kept"), "digest")
     alone = flagged.where("not perhaps").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "digest")
     return alone.unionByName(met).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
