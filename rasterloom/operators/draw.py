@@ -75,7 +75,7 @@ def draw_arrow(df: DataFrame, op) -> DataFrame:
 
 
 def draw_text(df: DataFrame, op) -> DataFrame:
-    cells = mask(op["text"], op["x"], op["y"], op["font_size"], op["align_x"], op["align_y"], op["line_height"])
+    cells = mask(op["text"], op["x"], op["y"], op["font_size"], op["align_x"], op["align_y"], op["line_height"], op["font"])
     if not cells:
         return df
     table = df.sparkSession.createDataFrame(cells, "mask_x int, mask_y int, mask_cover double")

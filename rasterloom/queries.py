@@ -133,7 +133,7 @@ _op("draw_line", "draw_line", [o.step("t", o.over(_RED.premultiplied(), o.aa(f"(
 _ARROW = {"x1": 3.0, "y1": 15.0, "x2": 20.0, "y2": 4.0, "color": _RED, "thickness": 1.5, "head_length": 6.0}
 _op("draw_arrow", "draw_arrow", [o.step("t", o.over(_RED.premultiplied(), o.aa(f"(least({', '.join(o.segment_distance(*l) for l in o.arrow_segments(3.0, 15.0, 20.0, 4.0, 6.0))}) - {o.n(.75)})")))], **_ARROW)
 _TEXT = {"text": "Hi!\nOk", "x": 12.0, "y": 2.0, "font_size": 8.0, "align_x": "center", "align_y": "top"}
-_op("draw_text", "draw_text", [o.text_mask("m", **_TEXT), "j AS (SELECT px.*, coalesce(cover, 0) AS cover FROM px LEFT JOIN m ON x = mx AND y = my)", o.step("t", o.over(_RED.premultiplied(), "cover"), "j")], color=_RED, **_TEXT)
+_op("draw_text", "draw_text", [o.step("t", o.over(_RED.premultiplied(), o.text_cover(["Hi!", "Ok"], 12.0, 2.0, 8.0)))], color=_RED, **_TEXT)
 
 
 # Several images: each image of the orders raster with the next one.
