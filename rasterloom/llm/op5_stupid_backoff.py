@@ -75,9 +75,10 @@ def _log(x: Column) -> Column:
 
 def score(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """doc_id, n_words, n_backoffs (steps to a shorter context) long, log_score, score (log_score a word) double: a row per row of df."""
-    # Numbers of rows: a scan of the same files deals and numbers its rows alike whenever it is repeated.
-    rows = own(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
-    texts, scratch = rows.select("row", "text"), Scratch(df.sparkSession, "backoff")
+    # Rows are written with their numbers: an input that is computed may deal its rows otherwise each time it is read.
+    scratch = Scratch(df.sparkSession, "backoff")
+    rows = scratch.table("rows", own(df, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+    texts = rows.select("row", "text")
     handed = None
     for k in range(order, 0, -1):
         g = [f"g{i}" for i in range(1, k + 1)]

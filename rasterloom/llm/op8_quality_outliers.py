@@ -2,7 +2,8 @@
 
 For each language and source a minimum-covariance-determinant estimate (concentration steps from four starts until the
 determinant stops falling, the least of them, reweighted) gives centre and scatter of transformed statistics; a document far from its
-group by Mahalanobis distance fails. All of it is DataFrame expressions and aggregates: sums and quantile sketches are combined before each shuffle,
+group by Mahalanobis distance fails. The statistics are mean and mean squared length of words and the share of what is no letter: they vary in
+plain prose, so their scatter says what is usual; repetition is left to the base rules, as most documents have none. All of it is DataFrame expressions and aggregates: sums and quantile sketches are combined before each shuffle,
 so a group that holds a third of all rows costs what others cost.
 
 Defined results: null texts have no words, so they fail the base rule; null languages and sources are groups like
@@ -18,16 +19,18 @@ from pyspark.sql import functions as F
 from .shared import WORD_SPACE, by_size, cut, documents
 
 _SPACES, _SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
-#: Standard deviations a statistic is granted at least; the natural spread of clean prose, so that a group without any spread in one doesn't reject all that differs.
-FLOORS = {"z_length": 0.15, "z_symbols": 0.3, "z_lines": 0.15, "z_repeats": 0.15}
-#: Share of a group's documents the estimate rests on, and the squared distance beyond which a document is an outlier (4 dimensions, one in 10^8 of a normal law).
-SUPPORT, CUTOFF, MIN_GROUP = 0.75, 42.7, 50
+#: Tested statistics, and the least standard deviation of each: only a group without any spread meets it.
+FLOORS = {"z_length": 1e-3, "z_marks": 1e-3, "z_spread": 1e-3}
+#: Words at the median rates of its language that each document is taken to hold besides its own, so that a short one doesn't stand out by chance.
+PRIOR_WORDS = 200
+#: Share of a group's documents the estimate rests on, and the squared distance beyond which a document is an outlier: one in 10^5 of a 3-dimensional normal law lie beyond.
+SUPPORT, CUTOFF, MIN_GROUP = 0.75, 25.902, 50
 #: A determinant has stopped falling when its logarithm falls by less.
 SETTLED = 1e-3
-#: Makes the scatter of the innermost three quarters of a 4-dimensional normal law that of the whole: support / P(chi2 of 6 <= 3/4 quantile of chi2 of 4).
-CONSISTENCY = 0.75 / 0.5055
-#: Of the reweighting step: the squared distance within which 97.5 % of a 4-dimensional normal law lie, and what makes their scatter that of the whole.
-INNER, INNER_CONSISTENCY = 11.143, 0.975 / 0.9159
+#: Makes the scatter of the innermost three quarters of a 3-dimensional normal law that of the whole: support / P(chi2 of 5 <= 3/4 quantile of chi2 of 3).
+CONSISTENCY = 0.75 / 0.4661
+#: Of the reweighting step: the squared distance within which 97.5 % of a 3-dimensional normal law lie, and what makes their scatter that of the whole.
+INNER, INNER_CONSISTENCY = 9.348, 0.975 / 0.9041
 
 
 def word_statistics(df: DataFrame, text: Column) -> DataFrame:
@@ -56,15 +59,23 @@ def word_statistics(df: DataFrame, text: Column) -> DataFrame:
     ).drop("w_text", "w_hashes", "w_lines", "w_windows", "w_placed", "w_starts")
 
 
-def transformed() -> dict[str, Column]:
-    """Statistics as near to a normal law as simple functions bring them."""
-    words = F.greatest(F.col("n_words"), F.lit(1))
-    return {
-        "z_length": F.log(F.greatest(F.col("word_chars"), F.lit(1)) / words),
-        "z_symbols": F.log1p(20.0 * F.col("n_symbols") / words),
-        "z_lines": F.sqrt(F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))),
-        "z_repeats": F.sqrt(F.col("n_repeat_words") / words),
-    }
+#: Rates a word of the tested statistics: code points, code points that are no letters, squared code points.
+_RATES = {"z_length": "word_chars", "z_marks": "n_marks", "z_spread": "n_squares"}
+
+
+def text_rates(df: DataFrame, text: Column) -> DataFrame:
+    """Adds n_marks (code points in words that are no letters) and n_squares (sum of squared lengths of words), long."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_SPACE), "")
+    marks = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\p{L}\p{M}\x20\x09-\x0D]+", ""))
+    return df.withColumns({"n_marks": marks.cast("long"), "n_squares": F.aggregate(words, F.lit(0).cast("long"), lambda a, w: a + F.length(w) * F.length(w))})
+
+
+def transformed(rows: DataFrame, lang: str, prior: int = PRIOR_WORDS) -> DataFrame:
+    """Adds the tested statistics to rows of one word or more: logarithms of rates, drawn towards the median rates of the language by `prior` words."""
+    medians = rows.groupBy(lang).agg(*(F.percentile_approx(F.col(c) / F.col("n_words"), 0.5, 1000).alias(f"r_{c}") for c in _RATES.values()))
+    joined = rows.join(by_size(cut(medians)), lang)
+    smooth = {z: F.log((F.col(c) + prior * F.col(f"r_{c}") + 1) / (F.col("n_words") + prior)) for z, c in _RATES.items()}
+    return joined.withColumns(smooth).drop(*(f"r_{c}" for c in _RATES.values()))
 
 
 def _distance(dims: list[str]) -> Column:
@@ -134,10 +145,10 @@ def judge(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words long, base_failed, kept boolean, distance double (null: failed by the base rule)."""
     absent = lambda c: F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit(""))  # noqa: E731  nulls become a value that no other has
     rows = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), absent(lang_col).alias("g_lang"), absent(source_col).alias("g_source"), F.col(f"`{text_col}`").cast("string").alias("g_text"))
-    rows = word_statistics(rows.withColumn("n_lines", F.size(F.split(F.coalesce("g_text", F.lit("")), "\n"))), F.col("g_text")).drop("g_text")
+    rows = text_rates(word_statistics(rows, F.col("g_text")), F.col("g_text")).drop("g_text")
     rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    rows = cut(rows.withColumns(transformed()).drop("n_lines"))
-    tested = robust_distance(rows.where("not base_failed"), ["g_lang", "g_source"], FLOORS).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance")
+    rows = cut(rows)
+    tested = robust_distance(cut(transformed(rows.where("not base_failed"), "g_lang")), ["g_lang", "g_source"], FLOORS).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance")
     failed = rows.where("base_failed").select(*tested.columns[:-1], F.lit(None).cast("double").alias("distance"))
     return tested.union(failed).withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
 

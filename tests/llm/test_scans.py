@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from rasterloom.llm.op1_secret_scan import op1_secret_scan, redact, scan
 from rasterloom.llm.op5_stupid_backoff import op5_stupid_backoff, score
-from rasterloom.llm.op8_quality_outliers import judge, op8_quality_outliers
+from rasterloom.llm.op8_quality_outliers import CONSISTENCY, CUTOFF, INNER, INNER_CONSISTENCY, judge, op8_quality_outliers, robust_distance
 from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, LEAST_POSITIONS, MOST_ERRORS, SPAN, TEXT_RATE, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
 from rasterloom.llm.op10_language_id import fit, in_fold, op10_language_id, predict, predict_rows, sample
 
@@ -148,6 +148,18 @@ def test_backoff_odd_rows(odd, none_of):
     assert score(none_of).count() == 0
 
 
+def test_backoff_of_computed_inputs(spark):
+    """Rows out of an aggregate or a repartitioning score as those that were written do."""
+    plain = spark.range(6000).select((F.col("id") % 2500).alias("doc_id"), F.concat_ws(" ", *(F.concat(F.lit("w"), (F.xxhash64("id", F.lit(k)) % 40).cast("string")) for k in range(6))).alias("text"))
+    grouped = plain.groupBy("doc_id").agg(F.min("text").alias("text"))
+    rows = {r.doc_id: r.text for r in grouped.collect()}
+    want = dict(zip(rows, backoff_oracle(rows.values())))
+    for df in (grouped, grouped.repartition(13, "text"), grouped.orderBy("text")):
+        got = {r.doc_id: (r.n_words, r.n_backoffs, r.log_score) for r in score(df).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i][:2] == want[i][:2] and math.isclose(got[i][2], want[i][2], abs_tol=1e-6) for i in want)
+
+
 def statistics(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", text or "") if x]
     windows, covered = collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
@@ -187,6 +199,60 @@ def test_outliers(spark):
     assert all(got[i] for i in range(400)) and not any(got[i] for i in got if i >= 1000)
 
 
+def numpy_mcd(v, support=0.75, starts=300, seed=3):
+    """Centre and scatter of the innermost share by concentration steps from many random starts, reweighted; the constants are those of a 3-dimensional normal law."""
+    rng, best = np.random.default_rng(seed), None
+    far = lambda m, c: np.einsum("ij,jk,ik->i", v - m, np.linalg.inv(c), v - m)
+    ridge = 1e-6 * np.eye(v.shape[1])
+    for _ in range(starts):
+        some = v[rng.choice(len(v), v.shape[1] + 1, replace=False)]
+        m, c = some.mean(0), np.cov(some.T) + 1e-4 * np.eye(v.shape[1])
+        for _ in range(50):
+            d = far(m, c)
+            inner = v[d <= np.sort(d)[math.ceil(support * len(v)) - 1]]
+            m, c = inner.mean(0), np.cov(inner.T, bias=True) * CONSISTENCY + ridge
+        if best is None or np.linalg.slogdet(c)[1] < best[0]:
+            best = np.linalg.slogdet(c)[1], m, c
+    inner = v[far(*best[1:]) <= INNER]
+    return far(inner.mean(0), np.cov(inner.T, bias=True) * INNER_CONSISTENCY + ridge)
+
+
+def test_distances_are_those_of_the_least_determinant(spark):
+    """Two groups of different spread, each with a cluster of outliers that plain means would follow; and an outlier within the range of every single statistic."""
+    rng, rows = np.random.default_rng(11), []
+    for g, width in (("tight", 0.05), ("wide", 0.6)):
+        base = rng.normal(size=(160, 3)) * [1, 0.8, 1.2]
+        base[:, 1] += 2 * base[:, 0]  # correlated
+        odd = rng.normal(size=(18, 3)) * 0.1 + [7, -9, 4]
+        v = np.concatenate([base, odd, [[1.5, -1.5, 0.0]]]) * width
+        rows += [(g, i, *map(float, x)) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows, "g string, i int, a double, b double, c double")
+    got = {(r.g, r.i): r.distance for r in robust_distance(df, ["g"], dict.fromkeys("abc", 1e-3)).collect()}
+    verdicts = {}
+    for g in ("tight", "wide"):
+        v = np.array([x[2:] for x in rows if x[0] == g])
+        want, mine = numpy_mcd(v), np.array([got[g, i] for i in range(len(v))])
+        assert np.allclose(mine, want, rtol=0.1, atol=0.3)  # a few border documents may differ between the best of four starts and the best of 300
+        verdicts[g] = mine > CUTOFF
+        assert (verdicts[g] == (want > CUTOFF)).all()
+        assert verdicts[g][160:].all() and not verdicts[g][:160].any()
+        correlated, inside = v[-1], v[:160]
+        assert (inside.min(0) < correlated).all() and (correlated < inside.max(0)).all()
+    # By the scatter of the wide group, or by that of both, nothing of the tight one stands out.
+    assert robust_distance(df.withColumn("g", F.lit("one")), ["g"], dict.fromkeys("abc", 1e-3)).where("i < 160").join(df.where("g = 'tight'").select("a", "b", "c"), ["a", "b", "c"]).where(F.col("distance") > CUTOFF).count() == 0
+
+
+def test_verdict_depends_on_the_group(spark):
+    """A text of long words is usual in a source of long words only."""
+    rng = random.Random(21)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(max(1, round(rng.gauss(n, 1)))))
+    prose = lambda n: " ".join(word(n) for _ in range(rng.randrange(150, 400)))
+    rows = [(i, prose(5 if i % 2 else rng.uniform(4, 9)), "en", "narrow" if i % 2 else "broad") for i in range(300)]
+    rows += [(1001, prose(8), "en", "narrow"), (1000, prose(8), "en", "broad")]
+    got = {r["doc_id"]: r["kept"] for r in judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[1000] and not got[1001] and sum(got.values()) >= 300
+
+
 def tone(seed, seconds=12.0, rate=11025):
     """Notes of a twelfth of a second to a second, on the scale."""
     rng, t = np.random.default_rng(seed), np.arange(int(seconds * rate)) / rate
