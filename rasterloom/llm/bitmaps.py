@@ -64,8 +64,9 @@ def merged(sparse: DataFrame, threshold: int) -> DataFrame:
 def gathered(dense: DataFrame, bits: int) -> np.ndarray:
     """The whole bitmap as bytes, on the driver: bits / 8 of them, whatever the rows are."""
     out = np.zeros(bits // 64, "<i8")
-    for row in dense.toLocalIterator():
-        out[row.chunk * (CHUNK // 64) : (row.chunk + 1) * (CHUNK // 64)] = row.bits
+    found = dense.select("chunk", "bits").toArrow()
+    for chunk, values in zip(found.column(0).to_pylist(), found.column(1)):
+        out[chunk * (CHUNK // 64) : (chunk + 1) * (CHUNK // 64)] = values.values.to_numpy()
     return out.view(np.uint8)
 
 
