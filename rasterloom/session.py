@@ -12,7 +12,6 @@ import os
 import time
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +21,8 @@ from .operators import compose, geometry
 from .operators.compose import to_pixels8
 from .plans.compiler import apply, run
 from .plans.spec import Op, Pipeline, Size
-from .sources.images import decode_png, encode_png, explode_image, flatten_alpha, format_of, sniff
+from .sources.images import decoded_others, decoded_pngs, encode_jpegs, encode_pngs, format_of, sniff
+from .sources.jpeg import MOST
 from .sources.tables import ingest
 
 
@@ -107,24 +107,23 @@ class Session:
         del self.handles[handle]
 
     def open_image(self, path: str) -> Handle:
-        """Reads a png or jpeg file; the identity of the handle is its content's."""
+        """Reads a png or jpeg file, told from its content; it is decoded on an executor. The identity of the handle is its content's."""
+        files = self.spark.read.format("binaryFile").load(path)
         try:
-            row = self.spark.read.format("binaryFile").load(path).select("content").first()
+            row = files.select(F.substring("content", 1, 12).alias("head"), F.sha2("content", 256).alias("digest")).first()
         except Exception as e:
             raise SessionError(f"can't read {path}: {e}") from e
         if row is None:
             raise SessionError(f"can't read {path}")
-        data = bytes(row["content"])
-        kind = sniff(data)
+        kind = sniff(bytes(row["head"]))
         if kind == "webp":
             raise CodecError("webp: unsupported format")
-        if kind == "png":
-            rgba = decode_png(data)
-            px = self.spark.createDataFrame(explode_image(0, rgba).to_pandas(), "img_id long, x int, y int, width int, height int, r8 int, g8 int, b8 int, a8 int")
-            return self.add(ingest(px), (rgba.shape[1], rgba.shape[0]), digest("source", hashlib.sha256(data).hexdigest()))
-        from .sources.images import read_images
-
-        return self.add(read_images(self.spark, path, F.lit(0).cast("long")), None, digest("source", hashlib.sha256(data).hexdigest()))
+        own = F.lit(0).cast("long").alias("img_id")
+        found = decoded_pngs(files.select(own, "path", "content")) if kind == "png" else decoded_others(self.spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*", own))
+        size = found.agg(F.max("width"), F.max("height"), F.max("error")).first()
+        if size[2] is not None:
+            raise CodecError(f"{path}: {size[2]}")
+        return self.add(ingest(found.drop("path", "error")), (size[0], size[1]), digest("source", row["digest"]))
 
     def image_info(self, handle: str) -> dict:
         h = self[handle]
@@ -189,42 +188,18 @@ class Session:
         return handle, {"fraction": stats["fraction"], "max": stats["max_diff"]}
 
     def export(self, handle: str, path: str, quality: int = 90) -> dict:
-        """Writes one image to a local file: {path, bytes}. For batches write pixels8 or `encode_pngs` as Parquet instead."""
+        """Writes one image to a local file: {path, bytes}. It is encoded by bands on the executors; the encoded file comes here. For batches: `sources.sink.write_images`."""
         h, kind = self[handle], format_of(path)
         if kind == "webp":
             raise CodecError("webp: unsupported format")
-        px = to_pixels8(h.df)
-        if kind == "jpeg":
-            px = flatten_alpha(px).withColumn("a8", F.lit(255))
-        rows = px.select("x", "y", "r8", "g8", "b8", "a8").toPandas()
-        rgba = np.zeros((h.height, h.width, 4), np.uint8)
-        rgba[rows["y"], rows["x"]] = rows[["r8", "g8", "b8", "a8"]].to_numpy(np.uint8)
-        data = encode_png(rgba) if kind == "png" else self._jpeg(rgba, quality)
+        if kind == "jpeg" and max(h.size) > MOST:
+            raise CodecError(f"jpeg: width and height are at most {MOST}")
+        files = encode_pngs(to_pixels8(h.df)) if kind == "png" else encode_jpegs(to_pixels8(h.df), quality)
+        data = bytes(files.first()[kind])
         with open(path, "wb") as f:
             f.write(data)
         return {"path": os.path.abspath(path), "bytes": len(data)}
 
-    def _jpeg(self, rgba: np.ndarray, quality: int) -> bytes:
-        """By the JVM's own codec, on the driver."""
-        height, width = rgba.shape[:2]
-        if max(height, width) > 65535:
-            raise CodecError("jpeg: width and height are at most 65535")
-        jvm = self.spark._jvm
-        source = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(bytearray(encode_png(rgba))))
-        plain = jvm.java.awt.image.BufferedImage(width, height, 1)
-        plain.createGraphics().drawImage(source, 0, 0, None)
-        writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
-        params = writer.getDefaultWriteParam()
-        params.setCompressionMode(2)
-        params.setCompressionQuality(float(min(max(quality, 1), 100)) / 100)
-        out = jvm.java.io.ByteArrayOutputStream()
-        stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
-        writer.setOutput(stream)
-        writer.write(None, jvm.javax.imageio.IIOImage(plain, None, None), params)
-        stream.flush()
-        writer.dispose()
-        return bytes(out.toByteArray())
-
     def report(self) -> str:
         """A line per step since the session began."""
         return "\n".join(f"{s.name:24} {s.seconds * 1000:9.1f} ms  {'cached' if s.hit else 'planned'}" for s in self.stats)

@@ -1,14 +1,12 @@
-"""Image files: decoding by Spark's own readers, a PNG writer, samples.
+"""Image files in and out, samples.
 
-Formats are told from content. Spark's image source decodes png, jpeg, gif and bmp on the executors; PNG files are
-also decoded and encoded here with zlib, so that pixels can go out again. There is no WebP codec in this environment: asking for it raises CodecError.
+PNG files are decoded and encoded here, jpeg files are decoded by Spark's image source and encoded here; work is dealt out by files when decoding and by bands
+of lines when encoding. There is no WebP codec in this environment: asking for it raises CodecError.
 """
 
 from __future__ import annotations
 
-import struct
-import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,11 +15,15 @@ from pyspark.sql import functions as F
 
 from ..errors import CodecError
 from ..packaging import ship
+from . import jpeg
+from .png import SIGNATURE, compressed_band, decode_png, encode_png, file_of_bands
 from .tables import ingest, with_size
 
+__all__ = ["bad_files", "catalog", "decode_png", "decode_pngs", "encode_jpegs", "encode_png", "encode_pngs", "flatten_alpha", "format_of", "load_images", "read_images", "sample", "sniff"]
 C = F.col
-_PNG = b"\x89PNG\r\n\x1a\n"
 PIXELS8 = "img_id long, x int, y int, width int, height int, r8 int, g8 int, b8 int, a8 int"
+_NAMES = [c.split()[0] for c in PIXELS8.split(", ")]
+_LISTED = PIXELS8 + ", path string, error string"
 
 
 def format_of(path: str) -> str:
@@ -34,7 +36,7 @@ def format_of(path: str) -> str:
 
 def sniff(data: bytes) -> str:
     """The format of encoded bytes."""
-    if data[:8] == _PNG:
+    if data[:8] == SIGNATURE:
         return "png"
     if data[:3] == b"\xff\xd8\xff":
         return "jpeg"
@@ -43,108 +45,95 @@ def sniff(data: bytes) -> str:
     raise CodecError("not a png, jpeg or webp file")
 
 
-def encode_png(rgba: np.ndarray) -> bytes:
-    """(height, width, 4) bytes to a PNG file, lossless with alpha."""
+def explode_image(img_id: int, rgba: np.ndarray, most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """Pixels of one image as rows of PIXELS8, some lines at a time."""
     height, width = rgba.shape[:2]
-    if not width or not height:
-        raise CodecError("png: an image needs at least one pixel")
-    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
-    lines = np.zeros((height, 1 + 4 * width), np.uint8)  # filter 0 before each line
-    lines[:, 1:] = rgba.reshape(height, -1)
-    return _PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 6, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + chunk(b"IEND", b"")
-
-
-def decode_png(data: bytes) -> np.ndarray:
-    """An 8-bit, not interlaced PNG file (grey, grey with alpha, RGB, palette or RGBA) to (height, width, 4) bytes."""
-    if data[:8] != _PNG:
-        raise CodecError("not a png file")
-    at, body, palette, alpha = 8, b"", None, b""
-    width = height = kind = 0
-    while at + 8 <= len(data):
-        size, name = struct.unpack_from(">I4s", data, at)
-        part = data[at + 8 : at + 8 + size]
-        if name == b"IHDR":
-            width, height, depth, kind, _, _, laced = struct.unpack(">IIBBBBB", part)
-            if depth != 8 or laced or kind not in (0, 2, 3, 4, 6):
-                raise CodecError("png: only 8-bit files without interlacing are read here")
-        elif name == b"PLTE":
-            palette = np.frombuffer(part, np.uint8).reshape(-1, 3)
-        elif name == b"tRNS":
-            alpha = part
-        elif name == b"IDAT":
-            body += part
-        at += 12 + size
-    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    try:
-        lines = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, 1 + channels * width)
-    except (zlib.error, ValueError) as e:
-        raise CodecError(f"png: damaged data: {e}") from e
-    px = _unfilter(lines, channels).reshape(height, width, channels)
-    out = np.full((height, width, 4), 255, np.uint8)
-    if kind == 3:
-        out[..., :3] = palette[px[..., 0]]
-        table = np.full(256, 255, np.uint8)
-        table[: len(alpha)] = np.frombuffer(alpha, np.uint8)
-        out[..., 3] = table[px[..., 0]]
-    elif channels <= 2:
-        out[..., :3] = px[..., :1]
-    else:
-        out[..., :3] = px[..., :3]
-    if channels in (2, 4):
-        out[..., 3] = px[..., -1]
-    return out
-
-
-def _unfilter(lines: np.ndarray, channels: int) -> np.ndarray:
-    height, width = lines.shape[0], lines.shape[1] - 1
-    out = np.zeros((height + 1, width + channels), np.int32)  # a line above and a pixel before, of zeros
-    for y in range(height):
-        how, line = int(lines[y, 0]), lines[y, 1:].astype(np.int32)
-        now, up = out[y + 1], out[y]
-        if how in (0, 2):
-            now[channels:] = (line + (up[channels:] if how else 0)) & 255
-            continue
-        for i in range(width):
-            left, above, corner = int(now[i]), int(up[i + channels]), int(up[i])
-            if how == 1:
-                guess = left
-            elif how == 3:
-                guess = (left + above) // 2
-            else:
-                p = left + above - corner
-                guess = min((left, above, corner), key=lambda v: abs(p - v))
-            now[i + channels] = (line[i] + guess) & 255
-    return out[1:, channels:].astype(np.uint8)
-
-
-def explode_image(img_id: int, rgba: np.ndarray) -> pa.RecordBatch:
-    """Pixels of one image as rows of PIXELS8."""
-    height, width = rgba.shape[:2]
-    y, x = np.divmod(np.arange(width * height, dtype=np.int32), width)
-    fixed = lambda v, t: pa.array(np.full(width * height, v, t))
-    columns = [fixed(img_id, np.int64), pa.array(x.astype(np.int32)), pa.array(y.astype(np.int32)), fixed(width, np.int32), fixed(height, np.int32), *(pa.array(rgba[..., c].ravel().astype(np.int32)) for c in range(4))]
-    return pa.RecordBatch.from_arrays(columns, ["img_id", "x", "y", "width", "height", "r8", "g8", "b8", "a8"])
+    step = max(1, most // width)
+    for top in range(0, height, step):
+        part = rgba[top : top + step]
+        n = part.shape[0] * width
+        y, x = np.divmod(np.arange(n, dtype=np.int32), np.int32(width))
+        fixed = lambda v, t: pa.array(np.full(n, v, t))  # noqa: E731, B023
+        columns = [fixed(img_id, np.int64), pa.array(x), pa.array(y + np.int32(top)), fixed(width, np.int32), fixed(height, np.int32), *(pa.array(part[..., c].ravel().astype(np.int32)) for c in range(4))]
+        yield pa.RecordBatch.from_arrays(columns, _NAMES)
 
 
-def read_images(spark: SparkSession, path: str, img_id: Column | None = None) -> DataFrame:
-    """Linear pixels of all png and jpeg files at a path, decoded on the executors. Default id: a hash of the file's path."""
-    ship(spark)
-    files = spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*")
-    files = files.select((img_id if img_id is not None else F.xxhash64("origin")).alias("img_id"), "width", "height", "nChannels", "data", "origin")
+def _bad(img_id: int, path: str, error: str) -> pa.RecordBatch:
+    """The row of a file that can't be decoded."""
+    return pa.RecordBatch.from_arrays([pa.array([img_id], pa.int64()), *(pa.nulls(1, pa.int32()) for _ in _NAMES[1:]), pa.array([path]), pa.array([error])], [*_NAMES, "path", "error"])
+
+
+def _good(batch: pa.RecordBatch) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string()), pa.nulls(batch.num_rows, pa.string())], [*_NAMES, "path", "error"])
+
+
+def decoded_pngs(files: DataFrame) -> DataFrame:
+    """PIXELS8 and null path and error, from img_id, path, content of PNG files; one row with path and error for each that can't be decoded."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                try:
+                    data = data.as_py() or b""
+                    if sniff(data) != "png":
+                        raise CodecError(f"named png, but it holds {sniff(data)}")
+                    rgba = decode_png(data)
+                except CodecError as e:
+                    yield _bad(i, path, str(e))
+                    continue
+                yield from map(_good, explode_image(i, rgba))
+
+    return files.select(C("img_id").cast("long").alias("img_id"), "path", "content").mapInArrow(run, _LISTED)
+
+
+def decoded_others(files: DataFrame) -> DataFrame:
+    """The same from rows of Spark's image source with an img_id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 if not r["data"]:
-                    raise CodecError(f"can't decode {r['origin']}")
+                    yield _bad(r["img_id"], r["origin"], "can't be decoded")
+                    continue
                 px = np.frombuffer(r["data"], np.uint8).reshape(r["height"], r["width"], r["nChannels"])
                 rgba = np.full((r["height"], r["width"], 4), 255, np.uint8)
                 rgba[..., :3] = px[..., :1] if r["nChannels"] == 1 else px[..., 2::-1]  # the source gives blue first
                 if r["nChannels"] == 4:
                     rgba[..., 3] = px[..., 3]
-                yield explode_image(r["img_id"], rgba)
+                yield from map(_good, explode_image(r["img_id"], rgba))
+
+    return files.select("img_id", "width", "height", "nChannels", "data", "origin").mapInArrow(run, _LISTED)
 
-    return ingest(files.mapInArrow(run, PIXELS8))
+
+#: Names that Spark's image source is asked for; PNG files are decoded here, as that source knows neither their 16-bit samples nor their colour keys exactly.
+_OTHERS = "*.{jpg,jpeg,JPG,JPEG,Jpg,Jpeg,gif,GIF,bmp,BMP}"
+_PNGS = "*.{png,PNG,Png}"
+
+
+def load_images(spark: SparkSession, path: str, img_id: Column | None = None) -> DataFrame:
+    """PIXELS8, path, error of all png, jpeg, gif and bmp files at a path: pixels with neither path nor error, and one row with both, without pixels, for each file that can't be decoded. Files are dealt to tasks by their bytes; Spark passes over those without any. `img_id`: an expression of `path`, its hash by default."""
+    ship(spark)
+    own_id = F.xxhash64("path") if img_id is None else img_id
+    pngs = spark.read.format("binaryFile").option("pathGlobFilter", _PNGS).load(path)
+    found = decoded_pngs(pngs.select(own_id.alias("img_id"), "path", "content"))
+    others = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _OTHERS).load(path).select("image.*")
+    return found.unionByName(decoded_others(others.withColumn("path", C("origin")).withColumn("img_id", own_id.cast("long"))))
+
+
+def read_images(spark: SparkSession, path: str, img_id: Column | None = None, on_error: str = "fail") -> DataFrame:
+    """Linear pixels of all image files at a path, decoded on the executors. on_error: `fail` raises CodecError's message for a file that can't be decoded, `quarantine` leaves it out (`bad_files` lists them)."""
+    loaded = load_images(spark, path, img_id)
+    if on_error == "quarantine":
+        loaded = loaded.where(C("error").isNull())
+    else:
+        told = F.concat(F.lit("can't decode "), F.coalesce("path", F.lit("")), F.lit(": "), F.coalesce("error", F.lit("")))
+        loaded = loaded.where(F.when(C("error").isNull(), True).otherwise(F.raise_error(told).cast("boolean")))
+    return ingest(loaded.drop("path", "error"))
+
+
+def bad_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, error of files that can't be decoded."""
+    return load_images(spark, path).where("error is not null").select("path", "error")
 
 
 def catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -152,30 +141,82 @@ def catalog(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").load(path).select("image.origin", "image.width", "image.height", F.col("image.nChannels").alias("n_channels"))
 
 
-def encode_pngs(pixels8: DataFrame) -> DataFrame:
-    """img_id, png (binary) from img_id, x, y, r8, g8, b8, a8: rows are packed to lines, lines to images; an image has to fit a task."""
+def banded(pixels8: DataFrame, lines: int, encode: Callable[[np.ndarray], tuple], names: list[str], kinds: list[pa.DataType]) -> DataFrame:
+    """A row per band of `lines` lines of an image: img_id, band, width, lines, and what `encode` makes of its (lines, width, 4) bytes.
+
+    Bands, not images, are dealt out and sorted, and stream through the tasks: no task holds more than a band. A band with holes raises CodecError.
+    """
     ship(pixels8.sparkSession)
-    line = F.array_sort(F.collect_list(F.struct("x", "r8", "g8", "b8", "a8")))
-    packed = pixels8.groupBy("img_id", "y").agg(F.flatten(F.transform(line, lambda p: F.array(p["r8"], p["g8"], p["b8"], p["a8"]))).alias("line"))
-    images = packed.groupBy("img_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "line"))), lambda l: l["line"]).alias("lines"))
+    schema = pa.schema([("img_id", pa.int64()), ("band", pa.int32()), ("width", pa.int32()), ("lines", pa.int32()), *zip(names, kinds)])
+
+    def made(key: tuple[int, int], parts: list[np.ndarray]) -> pa.RecordBatch:
+        rows = np.concatenate(parts)
+        width, n = int(rows[:, 1].max()) + 1, int(rows[:, 0].max()) % lines + 1
+        if len(rows) != width * n or (rows[:, 1] != np.arange(len(rows)) % width).any() or rows[0, 0] % lines:
+            raise CodecError(f"image {key[0]} has holes in lines {key[1] * lines} to {key[1] * lines + n - 1}")
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*key, width, n, *encode(rows[:, 2:].reshape(n, width, 4).astype(np.uint8))), schema.types)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_key, parts = None, []
         for batch in batches:
-            for i, lines in zip(batch.column(0).to_pylist(), batch.column(1)):
-                values = lines.values.flatten().to_numpy().astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([encode_png(values.reshape(len(lines.values), -1, 4))], pa.binary())], ["img_id", "png"])
+            ids, band = (batch.column(i).to_numpy() for i in range(2))
+            rows = np.stack([batch.column(i).to_numpy() for i in range(2, 8)], 1)
+            starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (band[1:] != band[:-1])]) if len(ids) else []
+            for s, e in zip(starts, [*starts[1:], len(ids)]):
+                key = int(ids[s]), int(band[s])
+                if key != open_key and parts:
+                    yield made(open_key, parts)
+                    parts = []
+                open_key = key
+                parts.append(rows[s:e])
+        if parts:
+            yield made(open_key, parts)
+
+    whole = pixels8.select(C("img_id").cast("long").alias("img_id"), F.expr(f"cast(y div {lines} as int)").alias("band"), "y", "x", "r8", "g8", "b8", "a8")
+    return whole.repartition("img_id", "band").sortWithinPartitions("img_id", "band", "y", "x").mapInArrow(run, spark_schema(schema))
+
+
+def spark_schema(schema: pa.Schema) -> str:
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
+    return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
+
+
+def _joined(bands: DataFrame, lines: int, columns: list[str], name: str, join: Callable[[int, int, list], bytes]) -> DataFrame:
+    """One encoded file an image, of its bands in order; only encoded bytes of an image meet."""
+    images = bands.groupBy("img_id").agg(F.sort_array(F.collect_list(F.struct("band", "width", "lines", *columns))).alias("bands"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, parts in zip(batch.column(0).to_pylist(), batch.column(1)):
+                parts = parts.as_py()
+                if [p["band"] for p in parts] != list(range(len(parts))) or len({p["width"] for p in parts}) > 1 or any(p["lines"] != lines for p in parts[:-1]):
+                    raise CodecError(f"image {i} has holes")
+                data = join(parts[0]["width"], sum(p["lines"] for p in parts), [tuple(p[c] for c in columns) for p in parts])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([data], pa.binary())], ["img_id", name])
+
+    return images.mapInArrow(run, f"img_id long, {name} binary")
+
+
+def encode_pngs(pixels8: DataFrame, lines: int = 64) -> DataFrame:
+    """img_id, png (binary) from img_id, x, y, r8, g8, b8, a8: bands of lines are compressed apart and joined."""
+    bands = banded(pixels8, lines, compressed_band, ["data", "total", "size"], [pa.binary(), pa.int64(), pa.int64()])
+    return _joined(bands, lines, ["data", "total", "size"], "png", file_of_bands)
+
 
-    return images.mapInArrow(run, "img_id long, png binary")
+def encode_jpegs(pixels8: DataFrame, quality: int = 90) -> DataFrame:
+    """img_id, jpeg (binary) from img_id, x, y, r8, g8, b8, a8, by bands of eight lines; translucent pixels are laid over white."""
+    bands = banded(pixels8, jpeg.BAND, lambda rgba: (jpeg.coded_band(rgba, quality),), ["data"], [pa.binary()])
+    return _joined(bands, jpeg.BAND, ["data"], "jpeg", lambda w, h, parts: jpeg.file_of_bands(w, h, [p[0] for p in parts], quality))
 
 
 def decode_pngs(files: DataFrame) -> DataFrame:
-    """PIXELS8 rows from img_id, png."""
+    """PIXELS8 rows from img_id, png; a file that can't be decoded raises CodecError."""
     ship(files.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield explode_image(i, decode_png(data))
+            for i, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield from explode_image(i, decode_png(data.as_py() or b""))
 
     return files.select(C("img_id").cast("long").alias("img_id"), "png").mapInArrow(run, PIXELS8)
 

@@ -1,14 +1,18 @@
 import json
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from rasterloom.__main__ import main, ops
 from rasterloom.errors import CodecError, PipelineError, SessionError
 from rasterloom.operators.compose import to_pixels8
 from rasterloom.plans.spec import Pipeline
 from rasterloom.session import Session
-from rasterloom.sources.images import decode_png, decode_pngs, encode_png, encode_pngs, format_of, read_images, sample, sniff
+from rasterloom.sources.images import bad_files, decode_png, decode_pngs, encode_jpegs, encode_png, encode_pngs, format_of, read_images, sample, sniff
+from rasterloom.sources.jpeg import encode_jpeg
+from rasterloom.sources.sink import FileWriter, register, write_images
 from rasterloom.sources.tables import ingest
 from rasterloom.streaming import watch_folder
 
@@ -29,7 +33,7 @@ def test_png(spark):
     rgba[5, 5] = (10, 20, 30, 40)
     assert (decode_png(encode_png(rgba)) == rgba).all() and sniff(encode_png(rgba)) == "png"
     for bad in (b"", b"\x89PNG\r\n\x1a\n", b"GIF89a"):
-        with pytest.raises((CodecError, KeyError, ValueError)):
+        with pytest.raises(CodecError):
             decode_png(bad)
     assert format_of("A.JPG") == "jpeg"
     with pytest.raises(CodecError):
@@ -120,6 +124,113 @@ def test_stream(spark, tmp_path):
     assert len(got) == 3 and all((got[f"{i}.png"] == gradient(8 + i, 6)[:, ::-1]).all() for i in range(3))
 
 
+def rows8(df):
+    return sorted(map(tuple, df.select("img_id", "x", "y", "r8", "g8", "b8", "a8").collect()))
+
+
+def test_bands_of_many_images(spark):
+    px = sample(spark, 30, 20, 4).unionByName(sample(spark, 7, 200, 5)).unionByName(sample(spark, 1, 1, 6)).withColumn("a8", F.pmod(F.xxhash64("x", "y"), F.lit(256)).cast("int")).repartition(7)
+    for lines in (1, 13, 64, 500):
+        assert rows8(decode_pngs(encode_pngs(px, lines))) == rows8(px)
+    holed = px.where("not (img_id = 5 and y = 100 and x = 3)")
+    for df in (holed, px.where("not (img_id = 4 and y >= 5 and y < 10)"), px.where("not (img_id = 5 and y < 64)")):
+        with pytest.raises(Exception, match="holes"):
+            encode_pngs(df).collect()
+    assert encode_pngs(px.where("false")).count() == 0
+
+
+def test_batch_jpeg(spark, tmp_path):
+    px = sample(spark, 90, 50, 1).withColumn("r8", F.col("x") * 2).withColumn("g8", F.col("y") * 4).withColumn("b8", F.lit(90)).withColumn("a8", F.when(F.col("x") < 20, 0).otherwise(255))
+    px = px.unionByName(px.where("x < 33 and y < 11").withColumn("img_id", F.lit(2).cast("long")))
+    write_images(px, str(tmp_path / "out"), "jpg", 95)
+    back = to_pixels8(read_images(spark, str(tmp_path / "out"), F.when(F.col("path").endswith("/1.jpg"), 1).otherwise(2).cast("long")))
+    both = px.alias("p").join(back.alias("q"), ["img_id", "x", "y"])
+    assert both.count() == px.count() == back.count()
+    off = both.select(*(F.avg(F.abs(F.when(F.col("p.a8") == 0, 255).otherwise(F.col(f"p.{c}8")) - F.col(f"q.{c}8"))).alias(c) for c in "rgb")).first()
+    assert max(off) < 3
+    sizes = [sum(len(r.jpeg) for r in encode_jpegs(px, q).collect()) for q in (10, 50, 95)]
+    assert sizes == sorted(sizes)
+
+
+def test_sink(spark, tmp_path):
+    px, out = sample(spark, 12, 9, 3).unionByName(sample(spark, 5, 4, 8)), tmp_path / "out"
+    write_images(px, str(out), name=F.concat(F.lit("of/"), F.col("img_id")))
+    assert sorted(p.name for p in (out / "of").iterdir()) == ["3.png", "8.png"] and (out / "_SUCCESS").exists() and not (out / "_temporary").exists()
+    assert rows8(decode_pngs(spark.read.format("binaryFile").load(str(out / "of")).select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("img_id"), F.col("content").alias("png")))) == rows8(px)
+    with pytest.raises(Exception, match="exists already"):
+        write_images(px, str(out), name=F.concat(F.lit("of/"), F.col("img_id")))
+    write_images(px.where("img_id = 3").withColumn("r8", F.lit(1)), str(out), name=F.concat(F.lit("of/"), F.col("img_id")), mode="overwrite")
+    assert decode_png((out / "of/3.png").read_bytes())[..., 0].max() == 1 and decode_png((out / "of/8.png").read_bytes())[..., 0].max() > 1
+    with pytest.raises(CodecError):
+        write_images(px, str(out), "webp")
+
+
+def test_sink_leaves_nothing_of_failed_tasks(spark, tmp_path):
+    register(spark)
+    out = tmp_path / "out"
+    files = spark.range(40).select(F.concat(F.col("id"), F.lit(".bin")).alias("name"), F.when(F.col("id") < 35, F.lit(b"abc")).otherwise(F.raise_error(F.lit("task fails"))).cast("binary").alias("data")).repartition(4, "name")
+    with pytest.raises(Exception, match="task fails"):
+        files.write.format("rasterloom").mode("append").save(str(out))
+    assert not out.exists() or not list(out.iterdir())
+    for name in ("../up", "/root", ""):
+        with pytest.raises(Exception, match="can't be the name"):
+            spark.createDataFrame([(name, bytearray(b"x"))], "name string, data binary").write.format("rasterloom").mode("append").save(str(out))
+    with pytest.raises(Exception, match="two rows"):
+        spark.createDataFrame([("a", bytearray(b"x")), ("a", bytearray(b"y"))], "name string, data binary").write.format("rasterloom").mode("append").save(str(out))
+    assert not out.exists() or not [p for p in out.iterdir() if p.name != "_SUCCESS"]
+    with pytest.raises(Exception, match="name string, data binary"):
+        spark.range(2).write.format("rasterloom").mode("append").save(str(out))
+
+
+def test_attempts_that_do_not_count(tmp_path):
+    """Of two attempts of a task, the files of the one that is committed stay."""
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([b"1"], pa.binary())], ["name", "data"])
+    w = FileWriter(str(tmp_path / "out"), False)
+    w.write(iter([batch]))
+    second = w.write(iter([batch]))
+    w.commit([second, None])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "a"]
+    v = FileWriter(str(tmp_path / "out"), True)
+    v.write(iter([batch]))
+    v.abort([None])
+    assert sorted(p.name for p in (tmp_path / "out").iterdir()) == ["_SUCCESS", "a"]
+
+
+def test_bad_files(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(encode_png(gradient(9, 7)))
+    (tmp_path / "b.png").write_bytes(encode_png(gradient())[:90])
+    (tmp_path / "c.jpg").write_bytes(b"\xff\xd8\xff rest")
+    (tmp_path / "d.jpeg").write_bytes(encode_jpeg(gradient(16, 10), 95))
+    (tmp_path / "e.png").write_bytes(encode_jpeg(gradient(16, 10), 95))
+    (tmp_path / "f.txt").write_bytes(b"no image")
+    (tmp_path / "g.png").write_bytes(b"x")
+    bad = {r.path.rpartition("/")[2]: r.error for r in bad_files(spark, str(tmp_path)).collect()}
+    assert sorted(bad) == ["b.png", "c.jpg", "e.png", "g.png"] and "jpeg" in bad["e.png"]
+    sizes = sorted((r.width, r.height, r["count"]) for r in read_images(spark, str(tmp_path), on_error="quarantine").groupBy("img_id", "width", "height").count().collect())
+    assert sizes == [(9, 7, 63), (16, 10, 160)]
+    with pytest.raises(Exception, match="can't decode"):
+        read_images(spark, str(tmp_path)).count()
+
+
+def test_stream_of_both_kinds(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.png").write_bytes(encode_png(gradient(30, 20)))
+    (tmp_path / "in/b.jpg").write_bytes(encode_jpeg(gradient(40, 30), 95))
+    (tmp_path / "in/c.jpg").write_bytes(b"\xff\xd8\xff\0")
+    (tmp_path / "in/d.png").write_bytes(b"nothing")
+    (tmp_path / "in/e.png").write_bytes(encode_png(gradient(5, 5)))
+    (tmp_path / "in/f.png").write_bytes(encode_jpeg(gradient(20, 20), 95))
+    crop = Pipeline.parse([{"op": "crop", "x": 2, "y": 1, "width": 15, "height": 12}])
+    for kind in ("png", "jpeg"):
+        query = watch_folder(spark, str(tmp_path / "in"), crop, str(tmp_path / kind), str(tmp_path / f"ckpt-{kind}"), kind=kind)
+        query.awaitTermination()
+        done = {r.path.rpartition("/")[2]: bytes(r[kind]) for r in spark.read.parquet(str(tmp_path / kind)).collect()}
+        assert sorted(done) == ["a.png", "b.jpg", "f.png"] and sniff(done["a.png"]) == kind
+        bad = {r.path.rpartition("/")[2]: r.error for r in spark.read.parquet(str(tmp_path / kind / "_errors")).collect()}
+        assert sorted(bad) == ["c.jpg", "d.png", "e.png"] and "fit" in bad["e.png"]
+    assert (decode_png({r.path.rpartition("/")[2]: bytes(r.png) for r in spark.read.parquet(str(tmp_path / "png")).collect()}["a.png"]) == gradient(30, 20)[1:13, 2:17]).all()
+
+
 def test_ingest(spark):
     px = sample(spark, 4, 3)
     assert ingest(px).count() == 12
