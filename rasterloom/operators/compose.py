@@ -19,11 +19,11 @@ VIEWS = ("difference", "heatmap", "side_by_side")
 SIDE_GAP, SIDE_BACKGROUND = 8, (20, 20, 20)
 
 
-def to_pixels8(df: DataFrame) -> DataFrame:
-    """Straight-alpha 8-bit pixels: img_id, x, y, r8, g8, b8, a8."""
+def to_pixels8(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Straight-alpha 8-bit pixels: img_id, x, y, other columns to keep, r8, g8, b8, a8."""
     straight = {f"{c}8": F.when(C("a") <= 0, 0).otherwise(encode8(C(c) / F.when(C("a") > 0, C("a")).otherwise(1.0))).cast("int") for c in "rgb"}
     a8 = F.floor(F.least(F.greatest(C("a"), F.lit(0.0)), F.lit(1.0)) * 255.0 + 0.5).cast("int")
-    return df.select("img_id", C("x").cast("int").alias("x"), C("y").cast("int").alias("y"), *(v.alias(k) for k, v in straight.items()), a8.alias("a8"))
+    return df.select("img_id", C("x").cast("int").alias("x"), C("y").cast("int").alias("y"), *keep, *(v.alias(k) for k, v in straight.items()), a8.alias("a8"))
 
 
 def overlay(base: DataFrame, top: DataFrame, x: int = 0, y: int = 0, opacity: float = 1.0) -> DataFrame:
@@ -35,11 +35,13 @@ def overlay(base: DataFrame, top: DataFrame, x: int = 0, y: int = 0, opacity: fl
     return both.withColumns({c: F.coalesce(f"t_{c}", F.lit(0.0)) * opacity + C(c) * (1.0 - seen) for c in "rgba"}).select(*KEYS, *"rgba")
 
 
-def _paired(a: DataFrame, b: DataFrame) -> DataFrame:
-    """8-bit pixels of both images of an id, with the largest colour difference m."""
-    left = to_pixels8(a).select("img_id", "x", "y", *(C(f"{c}8").alias(f"a_{c}") for c in "rgb"))
-    right = to_pixels8(b).select("img_id", "x", "y", *(C(f"{c}8").alias(f"b_{c}") for c in "rgb"))
-    both = left.join(right, ["img_id", "x", "y"])
+def _paired(a: DataFrame, b: DataFrame, how: str = "inner") -> DataFrame:
+    """8-bit pixels and sizes of both images of an id, with the largest colour difference m."""
+    sides = []
+    for df, side in ((a, "a"), (b, "b")):
+        eight = to_pixels8(df, keep=("width", "height"))
+        sides.append(eight.select("img_id", "x", "y", *(C(c).alias(f"{side}_{c}") for c in ("width", "height")), *(C(f"{c}8").alias(f"{side}_{c}") for c in "rgb")))
+    both = sides[0].join(sides[1], ["img_id", "x", "y"], how)
     return both.withColumn("m", F.greatest(*(F.abs(C(f"a_{c}") - C(f"b_{c}")) for c in "rgb")))
 
 
@@ -49,11 +51,12 @@ def _sizes_differ(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def diff_stats(a: DataFrame, b: DataFrame, threshold: float = 0.0) -> DataFrame:
-    """Per id: fraction of pixels whose largest 8-bit colour difference exceeds the threshold (0 to 1), and the largest difference (0 to 1); null where sizes differ."""
+    """Per id: fraction of pixels whose largest 8-bit colour difference exceeds the threshold (0 to 1), and the largest difference (0 to 1); null where sizes differ or one image is missing. One join of pixels, which carry their sizes."""
     limit = int(min(max(threshold, 0.0), 1.0) * 255)
-    stats = _paired(a, b).groupBy("img_id").agg(F.avg(F.when(C("m") > limit, 1.0).otherwise(0.0)).alias("fraction"), (F.max("m") / 255.0).alias("max_diff"))
-    joined = _sizes_differ(a, b).join(stats, "img_id", "left")
-    return joined.select("img_id", F.when(~C("differ"), C("fraction")).alias("fraction"), F.when(~C("differ"), C("max_diff")).alias("max_diff"))
+    sides = {f"{side}_{v}": F.max(f"{side}_{v}").alias(f"{side}_{v}") for side in "ab" for v in ("width", "height")}
+    stats = _paired(a, b, "full").groupBy("img_id").agg(*sides.values(), F.avg(F.when(C("m") > limit, 1.0).otherwise(0.0)).alias("fraction"), (F.max("m") / 255.0).alias("max_diff"))
+    same = F.coalesce((C("a_width") == C("b_width")) & (C("a_height") == C("b_height")), F.lit(False))
+    return stats.select("img_id", F.when(same, C("fraction")).alias("fraction"), F.when(same, C("max_diff")).alias("max_diff"))
 
 
 def diff(a: DataFrame, b: DataFrame, view: str = "difference") -> DataFrame:
@@ -97,27 +100,28 @@ def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def collage_layout(sizes: list[tuple[int, int]], target_width: int = 1600, row_height: int = 320, gap: int = 12) -> tuple[list[tuple[int, int, int, int]], tuple[int, int]]:
-    """Cells (x, y, width, height) of images in justified rows, and the canvas size. A row ends with the image that fills it, and is scaled to the width; a last row that isn't full keeps its height. 32-bit arithmetic throughout."""
+    """Cells (x, y, width, height) of images in justified rows, and the canvas size. A row ends with the image that fills it, and is scaled to the width that gaps leave (1 at least); a last row that isn't full keeps its height. 32-bit arithmetic throughout."""
     if not sizes:
         raise SessionError("a collage of no images")
     f = np.float32
     half_up = lambda v: np.floor(v + f(0.5)).astype(int)
+    row_height = max(1, row_height)
     wide = np.array([f(row_height) * f(w) / f(h) for w, h in sizes], f)
     room, cells, top, rest = f(max(1, target_width - 2 * gap)), [], f(gap), wide
     while len(rest):
         filled = np.cumsum(rest, dtype=f) + np.arange(len(rest), dtype=f) * f(gap) >= room
         n = int(filled.argmax()) + 1 if filled.any() else len(rest)
         row, rest = rest[:n], rest[n:]
-        scale = (room - f((n - 1) * gap)) / np.cumsum(row, dtype=f)[-1] if filled.any() else f(1)
+        scale = max(f(1), room - f((n - 1) * gap)) / np.cumsum(row, dtype=f)[-1] if filled.any() else f(1)
         row, height = row * scale, f(row_height) * scale
         left = np.cumsum(np.concatenate([[f(gap)], row[:-1] + f(gap)]), dtype=f)
         cells += [(int(x), int(half_up(top)), max(1, int(w)), max(1, int(half_up(height)))) for x, w in zip(half_up(left), half_up(row))]
         top += height + f(gap)
-    return cells, (target_width, max(1, int(half_up(top))))
+    return cells, (max(1, target_width), max(1, int(half_up(top))))
 
 
-def collages(df: DataFrame, groups: DataFrame, target_width: int = 1600, row_height: int = 320, gap: int = 12, background: Rgba = Rgba(255, 255, 255)) -> DataFrame:
-    """One image per collage of `groups` (img_id, collage long, position: a row per image). A layout takes the sizes of one collage; pixels of all collages are resized and placed together."""
+def layouts(df: DataFrame, groups: DataFrame, target_width: int = 1600, row_height: int = 320, gap: int = 12) -> DataFrame:
+    """The cell of each image of `groups` (img_id, collage long, position: a row per image) in its collage: left, top, to_width, to_height, img_id, collage, position, canvas_width, canvas_height. A task lays out one collage at a time, from its sizes."""
     ship(df.sparkSession)
 
     def layout(rows: pd.DataFrame) -> pd.DataFrame:
@@ -128,7 +132,12 @@ def collages(df: DataFrame, groups: DataFrame, target_width: int = 1600, row_hei
 
     id_type = df.schema["img_id"].dataType.simpleString()
     sizes = images(df).join(groups.select("img_id", C("collage").cast("long").alias("collage"), "position"), "img_id")
-    cells = sizes.groupBy("collage").applyInPandas(layout, f"left int, top int, to_width int, to_height int, img_id {id_type}, collage long, position int, canvas_width int, canvas_height int")
+    return sizes.groupBy("collage").applyInPandas(layout, f"left int, top int, to_width int, to_height int, img_id {id_type}, collage long, position int, canvas_width int, canvas_height int")
+
+
+def collages(df: DataFrame, groups: DataFrame, target_width: int = 1600, row_height: int = 320, gap: int = 12, background: Rgba = Rgba(255, 255, 255)) -> DataFrame:
+    """One image per collage of `groups` (img_id, collage long, position: a row per image). Pixels of all collages are resized and placed together."""
+    cells = layouts(df, groups, target_width, row_height, gap)
     canvas = grid(cells.groupBy("collage").agg(F.max("canvas_width").alias("width"), F.max("canvas_height").alias("height")).withColumnRenamed("collage", "img_id"))
     small = resize_to(df.join(cells.select("img_id", "to_width", "to_height").distinct(), "img_id"), "lanczos3")
     at = cells.select(C("img_id").alias("i"), "collage", "position", "left", "top", C("to_width").alias("cell_width"), C("to_height").alias("cell_height"))

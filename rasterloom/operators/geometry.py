@@ -58,6 +58,8 @@ def rotate(df: DataFrame, op) -> DataFrame:
 
 #: Sides of the blocks that source pixels and turned-back positions are brought together by, and pixels of a group of blocks, about.
 BLOCK, GROUP = 64, 1 << 18
+#: Positions that fit the keys that neighbours are looked up by.
+FARTHEST = 1 << 23
 
 
 def _turned(df: DataFrame, degrees: float, expand: bool) -> DataFrame:
@@ -88,9 +90,11 @@ def _turned(df: DataFrame, degrees: float, expand: bool) -> DataFrame:
         order = np.argsort(key)
         key, pixels = key[order], np.stack([own.column(f"of_{ch}").to_numpy()[order] for ch in "rgba"]) if own.num_rows else np.zeros((4, 0))
         sx, sy = asked.column("sx").to_numpy(), asked.column("sy").to_numpy()
+        if max(np.abs(asked.column(k).to_numpy()).max(initial=0) for k in ("width", "height", "sx", "sy")) >= FARTHEST:
+            raise ValueError(f"rotate: sides from {FARTHEST} pixels on aren't turned by angles other than quarters")
         fx, fy, of = np.floor(sx), np.floor(sy), code[own.num_rows :]
         out = np.zeros((4, asked.num_rows))
-        near = (fx >= -2) & (fy >= -2) & (fx < 1 << 23) & (fy < 1 << 23)
+        near = (fx >= -2) & (fy >= -2)
         for j in (0, 1):
             for i in (0, 1):
                 wanted = place(of, np.where(near, fx + i, -2), np.where(near, fy + j, -2))

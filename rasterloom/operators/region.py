@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.color import over
+from ..functions.color import Rgba, over
 from ..functions.shapes import coverage, rounded_box
-from .geometry import KEYS, grid, images
-from .stencil import blur
+from .geometry import KEYS, pad
+from .stencil import blur, filter_pass
 
 C = F.col
 
@@ -50,25 +50,23 @@ def redact(df: DataFrame, op) -> DataFrame:
 
 
 def beautify(df: DataFrame, op) -> DataFrame:
-    """A rounded copy of the image over its soft shadow over a background, with a margin on all sides."""
-    pad, background = op["padding"], op["background"].premultiplied()
+    """A rounded copy of the image over its soft shadow over a background, with a margin on all sides. The margin is generated beside the moved pixels, and the shadow runs through the line passes with the colours it belongs to: nothing is joined."""
+    margin, background = op["padding"], op["background"].premultiplied()
     source = df
     if op["corner_radius"] > 0:
         w, h = C("width") / 2.0, C("height") / 2.0
         radius = F.least(F.lit(op["corner_radius"]), F.least(w, h))
         source = df.withColumn("cover", coverage(rounded_box(w, h, w, h, radius)))
         source = source.withColumns({c: C(c) * C("cover") for c in "rgba"}).drop("cover")
-    source = source.select("img_id", (C("x") + pad).alias("x"), (C("y") + pad).alias("y"), *(C(c).alias(f"s_{c}") for c in "rgba"))
-    canvas = grid(images(df).select("img_id", (C("width") + 2 * pad).alias("width"), (C("height") + 2 * pad).alias("height")))
-    keys = ["img_id", "x", "y"]
-    canvas = canvas.withColumns({c: F.lit(v) for c, v in zip("rgba", background)})
+    canvas = pad(source, margin, margin, margin, margin, Rgba(0, 0, 0, 0))
+    under = {c: F.lit(v) for c, v in zip("rgba", background)}
     if op["shadow_opacity"] > 0:
         down = math.floor(abs(op["shadow_offset"]) + 0.5) * (1 if op["shadow_offset"] >= 0 else -1)
-        cast = source.select("img_id", "x", (C("y") + down).alias("y"), (C("s_a") * op["shadow_opacity"]).alias("a"))
-        silhouette = canvas.select(*KEYS).join(cast, keys, "left").withColumn("a", F.coalesce("a", F.lit(0.0)))
-        shadow = blur(silhouette, op["shadow_radius"], "a").select(*keys, C("a").alias("shade"))
-        canvas = canvas.join(shadow, keys)
-        canvas = canvas.withColumns({c: C(c) * (1 - C("shade")) for c in "rgb"} | {"a": C("shade") + C("a") * (1 - C("shade"))}).drop("shade")
-    both = canvas.join(source, keys, "left")
-    seen = F.coalesce("s_a", F.lit(0.0))
-    return both.withColumns({c: F.coalesce(f"s_{c}", F.lit(0.0)) + C(c) * (1 - seen) for c in "rgba"}).select(*KEYS, *"rgba")
+        canvas = canvas.withColumn("shade", C("a") * op["shadow_opacity"])
+        how = "gauss" if op["shadow_radius"] > 0 else "none"
+        if how != "none":
+            canvas = filter_pass(canvas, "x", how, ("shade",), op["shadow_radius"], keep=tuple("rgba"))
+        if how != "none" or down:
+            canvas = filter_pass(canvas, "y", how, ("shade",), op["shadow_radius"], keep=tuple("rgba"), shift=down)
+        under = {c: v * (1 - C("shade")) + (C("shade") if c == "a" else 0.0) for c, v in under.items()}
+    return canvas.withColumns({c: C(c) + v * (1 - C("a")) for c, v in under.items()}).select(*KEYS, *"rgba")

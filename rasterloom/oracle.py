@@ -213,6 +213,16 @@ def beautified(width: int, height: int, pad: int, radius: float, sigma: float, o
     return [rounded, grid("canvas", ow, oh), silhouette, blur_taps("bx", ow, sigma), blur_taps("bv", oh, sigma), *separable("sil", "soft", "bx", "bv", ow, oh, "a"), shaded, placed("t", "shaded", "src", pad, pad)]
 
 
+def hue(degrees: float) -> list[list[float]]:
+    """The standard's hueRotate: what its grey part, its cosine part and its sine part add up to, row by row."""
+    c, s = math.cos(degrees * math.pi / 180), math.sin(degrees * math.pi / 180)
+    return [
+        [0.213 + 0.787 * c - 0.213 * s, 0.715 - 0.715 * c - 0.715 * s, 0.072 - 0.072 * c + 0.928 * s],
+        [0.213 - 0.213 * c + 0.143 * s, 0.715 + 0.285 * c + 0.140 * s, 0.072 - 0.072 * c - 0.283 * s],
+        [0.213 - 0.213 * c - 0.787 * s, 0.715 - 0.715 * c + 0.715 * s, 0.072 + 0.928 * c + 0.072 * s],
+    ]
+
+
 def curve_values(points: list) -> list[float]:
     at = np.arange(256) / 255
     x, y = zip(*sorted(points))

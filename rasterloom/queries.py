@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as o
-from .functions.color import Rgba, decode8, encode8, hue_matrix
+from .functions.color import Rgba, decode8, encode8
 from .operators import compose, geometry
 from .operators.compose import to_pixels8
-from .plans.compiler import run
-from .plans.spec import Op, Pipeline, rotated_size
+from .plans.compiler import run, sizes_of
+from .plans.spec import Op, Pipeline
 from .sources.tables import emb_px, events_px8, ingest, orders_px, orders_px8
 
 C = F.col
@@ -53,7 +53,7 @@ add("image_info", lambda s, d: geometry.images(orders_px8(s, d)), f"WITH {o.ORDE
 # Pointwise.
 _op("exposure", "exposure", [o.step("t", {c: f"{c} * {o.n(2 ** .5)}" for c in "rgb"})], stops=0.5)
 _op("grayscale", "grayscale", [o.step("t", o.linear([[0.2126, 0.7152, 0.0722]] * 3))])
-_op("hue_rotate", "hue_rotate", [o.step("t", o.linear(hue_matrix(40)))], degrees=40)
+_op("hue_rotate", "hue_rotate", [o.step("t", o.linear(o.hue(40)))], degrees=40)
 _op("white_balance", "white_balance", [o.step("t", {"r": f"r * {o.n(1.2)}", "g": f"g * {o.n(0.9)}", "b": f"b * {o.n(0.8)}"})], temperature=0.5, tint=0.25)
 _op("invert", "invert", o.srgb_step(lambda *s: [f"(1 - {x})" for x in s]))
 _op("brightness_contrast", "brightness_contrast", o.srgb_step(lambda *s: [o.clamp(f"(({x} - {o.n(.5)}) * {o.n(1.3)} + {o.n(.5)} + {o.n(.1)})") for x in s]), brightness=0.1, contrast=0.3)
@@ -80,7 +80,7 @@ _op("flip_vertical", "flip", [o.step("t", {"y": "19 - y"})], axis="v")
 _op("rotate_90", "rotate", [o.step("t", {"x": "19 - y", "y": "x"})], degrees=90)
 _op("rotate_180", "rotate", [o.step("t", {"x": "24 - x", "y": "19 - y"})], degrees=-180)
 _op("rotate_270", "rotate", [o.step("t", {"x": "y", "y": "24 - x"})], degrees=270)
-_op("rotate_45_expand", "rotate", o.turned(45, 8, 8, *rotated_size((8, 8), 45, True)), "emb", exact8=False, degrees=45)
+_op("rotate_45_expand", "rotate", o.turned(45, 8, 8, 12, 12), "emb", exact8=False, degrees=45)
 _op("rotate_30_in_place", "rotate", o.turned(30, 8, 8, 8, 8), "emb", exact8=False, degrees=30, expand=False)
 _op("pad", "pad", [o.grid("g", 33, 24), o.placed("t", "g", "px", 3, 1, 1.0, Rgba(255, 0, 0, 128).premultiplied()), "u AS (SELECT g.img_id, g.x, g.y, CASE WHEN g.x >= 3 AND g.x < 28 AND g.y >= 1 AND g.y < 21 THEN p.r ELSE t.r END AS r, CASE WHEN g.x >= 3 AND g.x < 28 AND g.y >= 1 AND g.y < 21 THEN p.g ELSE t.g END AS g, CASE WHEN g.x >= 3 AND g.x < 28 AND g.y >= 1 AND g.y < 21 THEN p.b ELSE t.b END AS b, CASE WHEN g.x >= 3 AND g.x < 28 AND g.y >= 1 AND g.y < 21 THEN p.a ELSE t.a END AS a FROM g JOIN t USING (img_id, x, y) LEFT JOIN px p ON p.img_id = g.img_id AND p.x + 3 = g.x AND p.y + 1 = g.y)"], of="u", left=3, right=5, top=1, bottom=3, color=Rgba(255, 0, 0, 128))
 _BOUNDS = "WITH {0}, bounds AS (SELECT p.img_id, min(p.x) AS l, min(p.y) AS t, max(p.x) AS r, max(p.y) AS b FROM px p JOIN px q ON p.img_id = q.img_id AND q.x = 0 AND q.y = 0 WHERE greatest(abs(p.r - q.r), abs(p.g - q.g), abs(p.b - q.b), abs(p.a - q.a)) > 0.5::DOUBLE GROUP BY p.img_id)"
@@ -186,9 +186,8 @@ def _collages(spark: SparkSession, d: str) -> DataFrame:
 
 def _layout(spark: SparkSession, d: str) -> DataFrame:
     px = orders_px8(spark, d)
-    rows = geometry.images(px).join(_threes(px), "img_id").groupBy("collage").agg(F.array_sort(F.collect_list(F.struct("position", "width", "height"))).alias("s")).orderBy("collage").collect()
-    cells = [(r["collage"], i, *c) for r in rows for i, c in enumerate(compose.collage_layout([(x["width"], x["height"]) for x in r["s"]], 60, 16, 2)[0])]
-    return spark.createDataFrame(cells, "collage long, cell int, x int, y int, width int, height int")
+    cells = compose.layouts(px, _threes(px), target_width=60, row_height=16, gap=2)
+    return cells.select("collage", C("position").alias("cell"), C("left").alias("x"), C("top").alias("y"), C("to_width").alias("width"), C("to_height").alias("height"))
 
 
 # 25 x 20 px images are 20 wide at height 16; two leave 14 of a row of 56 (with a gap of 2), so the third fills it: 60 wide, scaled by 52 / 60.
@@ -221,7 +220,7 @@ CHAIN = Pipeline.parse({"steps": [{"op": "exposure", "stops": 0.25}, {"op": "hue
 add(
     "pipeline_chain",
     lambda s, d: to_pixels8(run(orders_px(s, d), CHAIN, [(25, 20)])),
-    o.query(o.ORDERS.replace("px AS MATERIALIZED", "p0 AS MATERIALIZED"), [o.step("p1", {c: f"{c} * {o.n(2 ** .25)}" for c in "rgb"}, "p0"), o.step("p2", o.linear(hue_matrix(30)), "p1"), o.step("p3", {"x": "19 - y", "y": "24 - x"}, "p2"), o.step("px", {"x": "x - 1", "y": "y - 2"}, "p3", "x >= 1 AND x < 16 AND y >= 2 AND y < 20"), *o.srgb_step(lambda *s: [f"(1 - {x})" for x in s])], o.out8("t")),
+    o.query(o.ORDERS.replace("px AS MATERIALIZED", "p0 AS MATERIALIZED"), [o.step("p1", {c: f"{c} * {o.n(2 ** .25)}" for c in "rgb"}, "p0"), o.step("p2", o.linear(o.hue(30)), "p1"), o.step("p3", {"x": "19 - y", "y": "24 - x"}, "p2"), o.step("px", {"x": "x - 1", "y": "y - 2"}, "p3", "x >= 1 AND x < 16 AND y >= 2 AND y < 20"), *o.srgb_step(lambda *s: [f"(1 - {x})" for x in s])], o.out8("t")),
 )
 
 
@@ -234,8 +233,11 @@ def _identity(spark: SparkSession, d: str) -> DataFrame:
 
 
 add("source_identity", _identity, f"WITH {o.ORDERS8} SELECT img_id, sha256(string_agg(line, ',' ORDER BY y)) AS identity FROM (SELECT img_id, y, sha256(string_agg(concat_ws(':', r8, g8, b8, a8), ',' ORDER BY x)) AS line FROM o8 GROUP BY img_id, y) GROUP BY img_id")
-add(
-    "size_flow",
-    lambda s, d: s.createDataFrame([(i, *size) for i, size in enumerate(FLAGSHIP.validate((25, 20)))], "step int, width int, height int"),
-    "SELECT * FROM (VALUES (0, 15, 12), (1, 15, 12), (2, 10, 8), (3, 10, 8)) t(step, width, height)",
-)
+def _flow(spark: SparkSession, d: str) -> DataFrame:
+    """The size of every image after each step of the flagship."""
+    px = orders_px8(spark, d)
+    sizes = [spark.createDataFrame([(w, h, i, *after) for w, h in sizes_of(px) for i, after in enumerate(FLAGSHIP.validate((w, h)))], "w int, h int, step int, width int, height int")]
+    return geometry.images(px).withColumnsRenamed({"width": "w", "height": "h"}).join(F.broadcast(sizes[0]), ["w", "h"]).select("img_id", "step", "width", "height")  # a row per distinct size and step
+
+
+add("size_flow", _flow, f"WITH {o.ORDERS8}, sizes AS (SELECT img_id, max(width) AS w, max(height) AS h FROM o8 GROUP BY img_id), first AS (SELECT img_id, 15 AS w, CAST(floor(h * 15 / w + 0.5) AS INTEGER) AS h FROM sizes) SELECT img_id, step, CASE WHEN step < 2 THEN w ELSE 10 END AS width, CASE WHEN step < 2 THEN h ELSE 8 END AS height FROM first, (VALUES (0), (1), (2), (3)) t(step)")

@@ -5,7 +5,7 @@ from rasterloom.errors import PipelineError, SessionError
 from rasterloom.functions.color import Rgba
 from rasterloom.operators import compose, geometry
 from rasterloom.operators.compose import to_pixels8
-from rasterloom.plans.compiler import apply, run
+from rasterloom.plans.compiler import apply, rewrite, run
 from rasterloom.plans.spec import Op, Pipeline
 
 
@@ -50,6 +50,73 @@ def test_identity_resize_and_pixelate_mean(ramp, pixels):
     assert cells[(4, 0)][0] == cells[(7, 3)][0] == 5.5 and cells[(8, 0)][0] == 9.5 and cells[(3, 0)][0] == 3.0 and cells[(4, 4)][0] == 4.0
 
 
+@pytest.mark.parametrize("how", ["nearest", "bilinear", "catmull_rom", "lanczos3"])
+def test_crop_through_resize(spark, ramp, solid, pixels, how):
+    """Only what the crop's taps read takes part in a resize, with the same result, for images of several sizes."""
+    df = ramp(50, 40).withColumn("r", F.sin("x") * F.cos("y")).unionByName(ramp(33, 61).withColumn("img_id", F.lit(1).cast("long")))
+    for size in ({"width": 21, "height": 90}, {"height": 19}, {"width": 120}):
+        steps = ("resize", size | {"filter": how}), ("exposure", {"stops": 1}), ("blur", {"radius": 0.4}), ("crop", {"x": 3, "y": 5, "width": 7, "height": 9})
+        plain = df
+        for name, p in steps:
+            plain = apply(plain, Op.of(name, **p))
+        for i in (0, 1):
+            assert near(pixels(do(df, *steps).where(f"img_id = {i}")), pixels(plain.where(f"img_id = {i}")), 1e-9)
+    seen = do(df, ("resize", {"width": 200, "height": 200, "filter": how}), ("crop", {"x": 0, "y": 0, "width": 4, "height": 4}))
+    assert [type(op).__name__ for op in rewrite((Op.of("resize", width=5), Op.of("crop", x=0, y=0, width=1, height=1)))] == ["Resampled", "Op"]
+    scans = [l for l in seen._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in l]
+    assert any("width" in l or "cast(" in l for l in scans)
+
+
+def test_what_follows_a_trim_is_checked(spark, solid, pixels):
+    """Of two images, one is large enough for the crop after its trim: the other is an error, or is left out whole."""
+    def card(i, side):
+        return solid(20, 16, (1.0, 1.0, 1.0, 1.0), i).withColumns({c: F.when((F.col("x") >= 2) & (F.col("x") < 2 + side) & (F.col("y") >= 3) & (F.col("y") < 3 + side), 0.0).otherwise(1.0) for c in "rgb"})
+
+    df = card(1, 5).unionByName(card(2, 12))
+    for steps in (("trim", {}), ("crop", {"x": 1, "y": 1, "width": 8, "height": 8})), (("trim", {}), ("blur", {"radius": 1.0}), ("crop", {"x": 6, "y": 6, "width": 2, "height": 2})):
+        p = Pipeline(tuple(Op.of(name, **given) for name, given in steps))
+        with pytest.raises(Exception, match=f"step {len(steps) - 1}: crop doesn't fit image 1 of 5x5"):
+            run(df, p).collect()
+        kept = run(df, p, on_error="quarantine")
+        assert {r.img_id for r in kept.select("img_id").distinct().collect()} == {2}
+        assert len(pixels(kept)) == steps[-1][1]["width"] ** 2
+    both = run(df, Pipeline((Op.of("trim"), Op.of("crop", x=0, y=0, width=5, height=5))))
+    assert both.groupBy("img_id").count().collect().__len__() == 2 and both.count() == 50
+    assert run(df, Pipeline((Op.of("trim"), Op.of("pad", all=1)))).where("img_id = 1").count() == 49
+
+
+def test_sizes_that_do_not_fit_are_left_out(solid):
+    df = solid(5, 5, img_id=1).unionByName(solid(9, 9, img_id=2)).unionByName(solid(9, 4, img_id=3)).unionByName(solid(12, 12, img_id=4))
+    got = run(df, Pipeline((Op.of("crop", x=0, y=0, width=8, height=8),)), on_error="quarantine")
+    assert {r.img_id for r in got.select("img_id").distinct().collect()} == {2, 4}
+
+
+def test_beautify_by_hand(spark, solid, pixels):
+    """A shadow of radius 0 is the silhouette itself, moved down; the margin is the background."""
+    df = solid(4, 3, (0.5, 0.5, 0.5, 1.0))
+    got = pixels(do(df, ("beautify", {"padding": 3, "corner_radius": 0, "shadow_radius": 0, "shadow_opacity": 0.5, "shadow_offset": 2, "background": "white"})))
+    for (x, y), v in got.items():
+        inside, under = 3 <= x < 7 and 3 <= y < 6, 3 <= x < 7 and 5 <= y < 8
+        assert near({0: v}, {0: (0.5, 0.5, 0.5, 1.0) if inside else (0.5, 0.5, 0.5, 1.0) if under else (1.0, 1.0, 1.0, 1.0)})
+    assert len(got) == 10 * 9
+    plan = do(df, ("beautify", {}))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_diff_of_missing_and_uneven_images(solid):
+    a = solid(4, 4, img_id=1).unionByName(solid(3, 3, img_id=2)).unionByName(solid(2, 2, img_id=3))
+    b = solid(4, 4, (0.0, 0.5, 0.9, 1.0), img_id=1).unionByName(solid(3, 4, img_id=2)).unionByName(solid(2, 2, img_id=5))
+    got = {r.img_id: (r.fraction, r.max_diff) for r in compose.diff_stats(a, b).collect()}
+    assert got.keys() == {1, 2, 3, 5} and got[1][0] == 1.0 and all(got[i] == (None, None) for i in (2, 3, 5))
+    assert compose.diff_stats(a, b)._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+def test_far_positions_are_refused(spark):
+    wide = spark.createDataFrame([(0, 0, 0, 1 << 24, 1, 0.0, 0.0, 0.0, 1.0)], "img_id long, x int, y int, width int, height int, r double, g double, b double, a double")
+    with pytest.raises(Exception, match="rotate: sides from"):
+        do(wide, ("rotate", {"degrees": 45, "expand": False})).count()
+
+
 def test_halo_changes_nothing(ramp, pixels):
     """A crop through blurs gives what blurring the whole image gives."""
     df = ramp(40, 30)

@@ -107,6 +107,16 @@ def test_layout():
     assert h >= max(c[1] + c[3] for c in cells)
 
 
+def test_layout_of_narrow_images():
+    """Gaps may take all the room: images keep a width and rows a height of 1, and the canvas holds them."""
+    for sizes, width, row, gap in (([(1, 100), (1, 100)], 40, 100, 15), ([(1, 300)] * 30, 50, 40, 9), ([(5, 5)], 0, 0, 3)):
+        cells, (w, h) = collage_layout(sizes, width, row, gap)
+        assert w == max(1, width) and all(c[1] >= 0 and c[2] >= 1 and c[3] >= 1 for c in cells) and h >= max(c[1] for c in cells)
+        assert [c[1] for c in cells] == sorted(c[1] for c in cells)
+    # A room of 10 has a gap of 15: 1 is left for two images of width 1, which halves them.
+    assert collage_layout([(1, 100), (1, 100)], 40, 100, 15) == ([(15, 15, 1, 50), (31, 15, 1, 50)], (40, 80))
+
+
 def test_text_layout():
     wide, narrow = mask("HH", 0, 0, 20), mask("H", 0, 0, 20)
     assert max(c[0] for c in wide) > max(c[0] for c in narrow) and not mask(" \n ", 0, 0, 20)
