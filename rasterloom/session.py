@@ -21,7 +21,7 @@ from .operators import compose, geometry
 from .operators.compose import to_pixels8
 from .plans.compiler import apply, run
 from .plans.spec import Op, Pipeline, Size
-from .sources.images import decoded_others, decoded_pngs, encode_jpegs, encode_pngs, format_of, sniff
+from .sources.images import decoded_files, decoded_others, encode_files, format_of, sniff
 from .sources.jpeg import MOST
 from .sources.tables import ingest
 
@@ -107,7 +107,7 @@ class Session:
         del self.handles[handle]
 
     def open_image(self, path: str) -> Handle:
-        """Reads a png or jpeg file, told from its content; it is decoded on an executor. The identity of the handle is its content's."""
+        """Reads a png, jpeg or webp file, told from its content; it is decoded on an executor. The identity of the handle is its content's."""
         files = self.spark.read.format("binaryFile").load(path)
         try:
             row = files.select(F.substring("content", 1, 12).alias("head"), F.sha2("content", 256).alias("digest")).first()
@@ -116,10 +116,8 @@ class Session:
         if row is None:
             raise SessionError(f"can't read {path}")
         kind = sniff(bytes(row["head"]))
-        if kind == "webp":
-            raise CodecError("webp: unsupported format")
         own = F.lit(0).cast("long").alias("img_id")
-        found = decoded_pngs(files.select(own, "path", "content")) if kind == "png" else decoded_others(self.spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*", own))
+        found = decoded_files(files.select(own, "path", "content")) if kind != "jpeg" else decoded_others(self.spark.read.format("image").option("dropInvalid", "false").load(path).select("image.*", own))
         size = found.agg(F.max("width"), F.max("height"), F.max("error")).first()
         if size[2] is not None:
             raise CodecError(f"{path}: {size[2]}")
@@ -190,12 +188,9 @@ class Session:
     def export(self, handle: str, path: str, quality: int = 90) -> dict:
         """Writes one image to a local file: {path, bytes}. It is encoded by bands on the executors; the encoded file comes here. For batches: `sources.sink.write_images`."""
         h, kind = self[handle], format_of(path)
-        if kind == "webp":
-            raise CodecError("webp: unsupported format")
         if kind == "jpeg" and max(h.size) > MOST:
             raise CodecError(f"jpeg: width and height are at most {MOST}")
-        files = encode_pngs(to_pixels8(h.df)) if kind == "png" else encode_jpegs(to_pixels8(h.df), quality)
-        data = bytes(files.first()[kind])
+        data = bytes(encode_files(to_pixels8(h.df), kind, quality).first()[kind])
         with open(path, "wb") as f:
             f.write(data)
         return {"path": os.path.abspath(path), "bytes": len(data)}

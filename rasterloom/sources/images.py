@@ -1,7 +1,7 @@
 """Image files in and out, samples.
 
-PNG files are decoded and encoded here, jpeg files are decoded by Spark's image source and encoded here; work is dealt out by files when decoding and by bands
-of lines when encoding. There is no WebP codec in this environment: asking for it raises CodecError.
+PNG and lossless WebP files are decoded and encoded here, jpeg files are decoded by Spark's image source and encoded here; work is dealt out by files when decoding and by bands
+of lines when encoding (a WebP image has to fit a task: its format has no parts that can be coded apart).
 """
 
 from __future__ import annotations
@@ -18,8 +18,9 @@ from ..packaging import ship
 from . import jpeg
 from .png import SIGNATURE, compressed_band, decode_png, encode_png, file_of_bands
 from .tables import ingest, with_size
+from .webp import decode_webp, encode_webp
 
-__all__ = ["bad_files", "catalog", "decode_png", "decode_pngs", "encode_jpegs", "encode_png", "encode_pngs", "flatten_alpha", "format_of", "load_images", "read_images", "sample", "sniff"]
+__all__ = ["bad_files", "catalog", "decode_png", "decode_pngs", "encode_files", "encode_jpegs", "encode_png", "encode_pngs", "encode_webps", "flatten_alpha", "format_of", "load_images", "read_images", "sample", "sniff"]
 C = F.col
 PIXELS8 = "img_id long, x int, y int, width int, height int, r8 int, g8 int, b8 int, a8 int"
 _NAMES = [c.split()[0] for c in PIXELS8.split(", ")]
@@ -67,17 +68,19 @@ def _good(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(batch.num_rows, pa.string()), pa.nulls(batch.num_rows, pa.string())], [*_NAMES, "path", "error"])
 
 
-def decoded_pngs(files: DataFrame) -> DataFrame:
-    """PIXELS8 and null path and error, from img_id, path, content of PNG files; one row with path and error for each that can't be decoded."""
+def decoded_files(files: DataFrame) -> DataFrame:
+    """PIXELS8 and null path and error, from img_id, path, content of png and webp files, told from their content; one row with path and error for each that can't be decoded."""
+
+    own = {"png": decode_png, "webp": decode_webp}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 try:
                     data = data.as_py() or b""
-                    if sniff(data) != "png":
-                        raise CodecError(f"named png, but it holds {sniff(data)}")
-                    rgba = decode_png(data)
+                    if sniff(data) not in own:
+                        raise CodecError(f"named otherwise, but it holds {sniff(data)}")
+                    rgba = own[sniff(data)](data)
                 except CodecError as e:
                     yield _bad(i, path, str(e))
                     continue
@@ -105,17 +108,17 @@ def decoded_others(files: DataFrame) -> DataFrame:
     return files.select("img_id", "width", "height", "nChannels", "data", "origin").mapInArrow(run, _LISTED)
 
 
-#: Names that Spark's image source is asked for; PNG files are decoded here, as that source knows neither their 16-bit samples nor their colour keys exactly.
+#: Names that Spark's image source is asked for; PNG and WebP files are decoded here, as that source knows neither WebP nor a PNG's 16-bit samples exactly.
 _OTHERS = "*.{jpg,jpeg,JPG,JPEG,Jpg,Jpeg,gif,GIF,bmp,BMP}"
-_PNGS = "*.{png,PNG,Png}"
+_OWN = "*.{png,PNG,Png,webp,WEBP,WebP,Webp}"
 
 
 def load_images(spark: SparkSession, path: str, img_id: Column | None = None) -> DataFrame:
-    """PIXELS8, path, error of all png, jpeg, gif and bmp files at a path: pixels with neither path nor error, and one row with both, without pixels, for each file that can't be decoded. Files are dealt to tasks by their bytes; Spark passes over those without any. `img_id`: an expression of `path`, its hash by default."""
+    """PIXELS8, path, error of all png, webp, jpeg, gif and bmp files at a path: pixels with neither path nor error, and one row with both, without pixels, for each file that can't be decoded. Files are dealt to tasks by their bytes; Spark passes over those without any. `img_id`: an expression of `path`, its hash by default."""
     ship(spark)
     own_id = F.xxhash64("path") if img_id is None else img_id
-    pngs = spark.read.format("binaryFile").option("pathGlobFilter", _PNGS).load(path)
-    found = decoded_pngs(pngs.select(own_id.alias("img_id"), "path", "content"))
+    own = spark.read.format("binaryFile").option("pathGlobFilter", _OWN).load(path)
+    found = decoded_files(own.select(own_id.alias("img_id"), "path", "content"))
     others = spark.read.format("image").option("dropInvalid", "false").option("pathGlobFilter", _OTHERS).load(path).select("image.*")
     return found.unionByName(decoded_others(others.withColumn("path", C("origin")).withColumn("img_id", own_id.cast("long"))))
 
@@ -209,6 +212,17 @@ def encode_jpegs(pixels8: DataFrame, quality: int = 90) -> DataFrame:
     return _joined(bands, jpeg.BAND, ["data"], "jpeg", lambda w, h, parts: jpeg.file_of_bands(w, h, [p[0] for p in parts], quality))
 
 
+def encode_webps(pixels8: DataFrame, lines: int = 64) -> DataFrame:
+    """img_id, webp (binary) from img_id, x, y, r8, g8, b8, a8, lossless. Lines meet in the task that encodes their image."""
+    bands = banded(pixels8, lines, lambda rgba: (rgba.tobytes(),), ["data"], [pa.binary()])
+    return _joined(bands, lines, ["data"], "webp", lambda w, h, parts: encode_webp(np.frombuffer(b"".join(p[0] for p in parts), np.uint8).reshape(h, w, 4)))
+
+
+def encode_files(pixels8: DataFrame, kind: str, quality: int = 90) -> DataFrame:
+    """img_id and the encoded files in a column named after their kind: png, jpeg or webp."""
+    return {"png": lambda: encode_pngs(pixels8), "jpeg": lambda: encode_jpegs(pixels8, quality), "webp": lambda: encode_webps(pixels8)}[kind]()
+
+
 def decode_pngs(files: DataFrame) -> DataFrame:
     """PIXELS8 rows from img_id, png; a file that can't be decoded raises CodecError."""
     ship(files.sparkSession)

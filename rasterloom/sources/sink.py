@@ -22,7 +22,7 @@ from pyspark.sql.types import BinaryType, StringType, StructType
 
 from ..errors import CodecError
 from ..packaging import ship
-from .images import encode_jpegs, encode_pngs, format_of
+from .images import encode_files, format_of
 
 _TEMPORARY = "_temporary"
 
@@ -127,9 +127,7 @@ def register(spark: SparkSession) -> None:
 def write_images(pixels8: DataFrame, folder: str, kind: str = "png", quality: int = 90, name: Column | None = None, mode: str = "append") -> None:
     """One file an image of pixels8 in a folder, encoded by bands on the executors. `name`: an expression of img_id, its number by default; the kind's ending is added."""
     kind = format_of(f"a.{kind}")
-    if kind == "webp":
-        raise CodecError("webp: unsupported format")
     register(pixels8.sparkSession)
-    files = encode_pngs(pixels8) if kind == "png" else encode_jpegs(pixels8, quality)
-    named = files.select(F.concat((F.col("img_id") if name is None else name).cast("string"), F.lit({"png": ".png", "jpeg": ".jpg"}[kind])).alias("name"), F.col(kind).alias("data"))
+    files = encode_files(pixels8, kind, quality)
+    named = files.select(F.concat((F.col("img_id") if name is None else name).cast("string"), F.lit({"png": ".png", "jpeg": ".jpg", "webp": ".webp"}[kind])).alias("name"), F.col(kind).alias("data"))
     named.write.format("rasterloom").mode(mode).save(folder)

@@ -14,6 +14,7 @@ from rasterloom.sources.images import bad_files, decode_png, decode_pngs, encode
 from rasterloom.sources.jpeg import encode_jpeg
 from rasterloom.sources.sink import FileWriter, register, write_images
 from rasterloom.sources.tables import ingest
+from rasterloom.sources.webp import decode_webp
 from rasterloom.streaming import watch_folder
 
 
@@ -74,8 +75,13 @@ def test_handles(spark, png, tmp_path):
         s.collage([])
     with pytest.raises(SessionError):
         s.diff(a.id, b.id)
-    with pytest.raises(CodecError):
-        s.export(a.id, str(tmp_path / "a.webp"))
+    assert s.export(a.id, str(tmp_path / "a.webp"))["bytes"] > 0
+    again = s.open_image(str(tmp_path / "a.webp"))
+    assert again.size == (60, 40) and s.diff(a.id, again.id)[1]["max"] == 0
+    for bad, data in (("lossy.webp", b"RIFF\x10\0\0\0WEBPVP8 \4\0\0\0abcd"), ("cut.png", encode_png(gradient())[:50])):
+        (tmp_path / bad).write_bytes(data)
+        with pytest.raises(CodecError):
+            s.open_image(str(tmp_path / bad))
     view, stats = s.diff(a.id, b.id, "sxs")
     assert view.size == (88, 40) and stats == {"fraction": None, "max": None}
     same = s.diff(a.id, a.id)[1]
@@ -161,8 +167,11 @@ def test_sink(spark, tmp_path):
         write_images(px, str(out), name=F.concat(F.lit("of/"), F.col("img_id")))
     write_images(px.where("img_id = 3").withColumn("r8", F.lit(1)), str(out), name=F.concat(F.lit("of/"), F.col("img_id")), mode="overwrite")
     assert decode_png((out / "of/3.png").read_bytes())[..., 0].max() == 1 and decode_png((out / "of/8.png").read_bytes())[..., 0].max() > 1
+    write_images(px, str(tmp_path / "w"), "webp")
+    assert (decode_webp((tmp_path / "w/3.webp").read_bytes()) == decode_png(bytes(encode_pngs(px.where("img_id = 3")).first().png))).all()
+    assert read_images(spark, str(tmp_path / "w")).groupBy("width", "height").count().count() == 2
     with pytest.raises(CodecError):
-        write_images(px, str(out), "webp")
+        write_images(px, str(out), "tiff")
 
 
 def test_sink_leaves_nothing_of_failed_tasks(spark, tmp_path):
@@ -221,7 +230,7 @@ def test_stream_of_both_kinds(spark, tmp_path):
     (tmp_path / "in/e.png").write_bytes(encode_png(gradient(5, 5)))
     (tmp_path / "in/f.png").write_bytes(encode_jpeg(gradient(20, 20), 95))
     crop = Pipeline.parse([{"op": "crop", "x": 2, "y": 1, "width": 15, "height": 12}])
-    for kind in ("png", "jpeg"):
+    for kind in ("png", "jpeg", "webp"):
         query = watch_folder(spark, str(tmp_path / "in"), crop, str(tmp_path / kind), str(tmp_path / f"ckpt-{kind}"), kind=kind)
         query.awaitTermination()
         done = {r.path.rpartition("/")[2]: bytes(r[kind]) for r in spark.read.parquet(str(tmp_path / kind)).collect()}
