@@ -41,7 +41,7 @@ def main(argv: list[str] | None = None) -> int:
         with open(args.pipeline) as f:
             pipeline = Pipeline.parse(f.read())
         session = Session(SparkSession.builder.appName("rasterloom").getOrCreate())
-        result = session.run_pipeline(session.open_image(args.source).id, pipeline)
+        result = session.run_pipeline(session.open_image(args.source).id, pipeline, measure=not args.quiet)
         session.export(result.id, args.target, args.quality)
     except (RasterError, OSError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -12,7 +12,7 @@ import os
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import CodecError, PipelineError, SessionError
@@ -32,9 +32,12 @@ def digest(*parts: str) -> str:
 
 @dataclass
 class StepStat:
+    """A step of a chain. Of a step that has run: its rows, the seconds that it took beyond the steps before it, and whether storage still held its result, so that nothing of it was computed."""
+
     name: str
-    seconds: float
-    hit: bool
+    rows: int | None = None
+    seconds: float | None = None
+    hit: bool = False
 
 
 @dataclass
@@ -45,6 +48,7 @@ class StepCache:
     kept: dict[str, DataFrame] = field(default_factory=dict)
     hits: int = 0
     misses: int = 0
+    ran: dict[str, int] = field(default_factory=dict)
 
     def get(self, key: str, make) -> tuple[DataFrame, bool]:
         if key in self.kept:
@@ -54,13 +58,24 @@ class StepCache:
         self.misses += 1
         self.kept[key] = df = make().persist()
         while len(self.kept) > self.most:
-            self.kept.pop(next(iter(self.kept))).unpersist()
+            oldest = next(iter(self.kept))
+            self.kept.pop(oldest).unpersist()
+            self.ran.pop(oldest, None)
         return df, False
 
     def clear(self) -> None:
         for df in self.kept.values():
             df.unpersist()
         self.kept.clear()
+        self.ran.clear()
+
+    def run(self, key: str, name: str) -> StepStat:
+        """Computes a kept result, if storage doesn't hold it yet, and says what that took."""
+        df, hit, rows = self.kept[key], key in self.ran, Observation()
+        began = time.monotonic()
+        df.observe(rows, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
+        self.ran[key] = rows.get["rows"]
+        return StepStat(name, self.ran[key], time.monotonic() - began, hit)
 
 
 @dataclass(frozen=True)
@@ -130,24 +145,23 @@ class Session:
     def apply(self, handle: str, op: str, **params) -> Handle:
         return self.run_pipeline(handle, Pipeline((Op.of(op, **params),)))
 
-    def run_pipeline(self, handle: str, pipeline: Pipeline | str | list | dict) -> Handle:
-        """Validates the whole chain first, then makes one new handle; each step's result is cached by content."""
+    def run_pipeline(self, handle: str, pipeline: Pipeline | str | list | dict, measure: bool = False) -> Handle:
+        """Validates the whole chain first, then makes one new handle; each step's result is cached by content. `measure`: runs the steps one after another, each from the result of the one before, and adds what they took to `stats`."""
         h, p = self[handle], pipeline if isinstance(pipeline, Pipeline) else Pipeline.parse(pipeline)
         sizes = p.validate(h.size)
         df, key = h.df, h.key
         for op in p.steps:
             if op.name == "trim":
-                return self._trimmed_then(df, key, p, op)
+                return self._trimmed_then(df, key, p, op, measure)
             key = digest(key, op.canonical())
-            began = time.monotonic()
-            df, hit = self.cache.get(key, lambda df=df, op=op: apply(df, op))
-            self.stats.append(StepStat(op.name, time.monotonic() - began, hit))
+            df, _ = self.cache.get(key, lambda df=df, op=op: apply(df, op))
+            self.stats.append(self.cache.run(key, op.name) if measure else StepStat(op.name))
         return self.add(df, sizes[-1] if sizes else h.size, key)
 
-    def _trimmed_then(self, df: DataFrame, key: str, p: Pipeline, op: Op) -> Handle:
+    def _trimmed_then(self, df: DataFrame, key: str, p: Pipeline, op: Op, measure: bool) -> Handle:
         at = p.steps.index(op)
         mid = self._trim(df, key, op["color"], op["tolerance"])
-        return self.run_pipeline(mid.id, Pipeline(p.steps[at + 1 :], p.version)) if p.steps[at + 1 :] else mid
+        return self.run_pipeline(mid.id, Pipeline(p.steps[at + 1 :], p.version), measure) if p.steps[at + 1 :] else mid
 
     def _trim(self, df: DataFrame, key: str, color: Rgba | None, tolerance: float) -> Handle:
         bounds = geometry.content_bounds(df, color, tolerance).first()
@@ -196,8 +210,9 @@ class Session:
         return {"path": os.path.abspath(path), "bytes": len(data)}
 
     def report(self) -> str:
-        """A line per step since the session began."""
-        return "\n".join(f"{s.name:24} {s.seconds * 1000:9.1f} ms  {'cached' if s.hit else 'planned'}" for s in self.stats)
+        """A line per step since the session began; steps that nobody measured are planned only."""
+        told = lambda s: "planned" if s.seconds is None else f"{s.seconds * 1000:9.1f} ms  {s.rows:12d} rows  {'from storage' if s.hit else 'computed'}"
+        return "\n".join(f"{s.name:24} {told(s)}" for s in self.stats)
 
 
 def run_batch(df: DataFrame, pipeline: Pipeline | str | list | dict, on_error: str = "fail") -> DataFrame:

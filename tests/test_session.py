@@ -108,6 +108,21 @@ def test_cache(spark, png):
     s.cache.clear()
 
 
+def test_stats_of_what_ran(spark, png):
+    s = Session(spark)
+    a = s.open_image(png)
+    chain = [{"op": "exposure", "stops": 1}, {"op": "crop", "x": 0, "y": 0, "width": 30, "height": 20}, {"op": "blur", "radius": 1}]
+    s.run_pipeline(a.id, chain)
+    assert [(x.name, x.rows, x.seconds) for x in s.stats] == [("exposure", None, None), ("crop", None, None), ("blur", None, None)] and s.report().count("planned") == 3
+    s.run_pipeline(a.id, chain, measure=True)
+    first = s.stats[3:]
+    assert [(x.name, x.rows, x.hit) for x in first] == [("exposure", 2400, False), ("crop", 600, False), ("blur", 600, False)] and all(x.seconds > 0 for x in first)
+    s.run_pipeline(a.id, [*chain[:2], {"op": "invert"}], measure=True)
+    assert [(x.name, x.rows, x.hit) for x in s.stats[6:]] == [("exposure", 2400, True), ("crop", 600, True), ("invert", 600, False)]
+    assert s.report().count("from storage") == 2 and s.report().count("computed") == 4
+    s.cache.clear()
+
+
 def test_command_line(spark, png, tmp_path, capsys):
     assert "lanczos3" in ops()
     spec = tmp_path / "p.json"
