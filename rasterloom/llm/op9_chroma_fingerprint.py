@@ -4,7 +4,7 @@ A recording's samples are cut into overlapping frames of the same duration at ev
 semitones; a frame's spectrum is folded into twelve pitch classes. Sixteen rectangle filters over a few frames and classes,
 answered in constant time from an integral image, give two bits each: one packed 32-bit integer per position. Recordings that share an index key are aligned by the histogram of
 position differences, and the bit errors along the overlap at the best difference tell how alike they are. A key is the signs
-of all filters at three positions, `STEP` apart: less easily changed by noise than an integer, and far less often shared by
+of all filters at three positions, `STEP` apart (in short recordings also at two): less easily changed by noise than an integer, and far less often shared by
 recordings that have nothing else in common. Of a run of equal keys the first counts, and silence doesn't count. This is an index: tests measure its recall.
 Two recordings that share a stretch share all of its keys at one difference: the join gives a row where such a stretch starts, not one per key. The histogram
 over all keys of a pair is counted per pair, at the differences found so.
@@ -12,8 +12,8 @@ over all keys of a pair is counted per pair, at the differences found so.
 Recordings with equal fingerprints are one class from the start, so copies are compared once.
 
 Defined results: null or empty media have no integers and match nothing; media that can't be read (damaged or unknown
-files) neither, and say why in `error`; shorter media than one fingerprint window are padded with silence; media of fewer than
-`LEAST_POSITIONS` integers match as copies only; queries are ids for which `query` holds; repeated rows each get a row; extra columns are left out; an empty table gives an empty result.
+files) neither, and say why in `error`; shorter media than one fingerprint window are padded with silence; the shorter an overlap, the fewer errors it may have
+(`allowed`): below ten positions, where unrelated recordings may be equal by chance, media match as copies only; queries are ids for which `query` holds; repeated rows each get a row; extra columns are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -37,10 +37,12 @@ from .shared import Scratch, bit_set, documents, in_bit_set
 RATE, SECONDS, SPAN, AT_ONCE = 11025, 4096 / 11025, 8, 1 << 22
 #: Least and greatest frequency that counts, in Hz.
 LOW, HIGH = 60.0, 3520.0
-#: Greatest share of differing bits of a match (unrelated recordings differ in three tenths), the least share of the shorter recording that the overlap covers, in percent, and the least positions of it (some four seconds; in fewer, unrelated ones meet by chance).
-MOST_ERRORS, LEAST_OVERLAP, LEAST_POSITIONS = 0.15, 50, 40
-#: Positions between the three of a key.
-STEP = 2
+#: Greatest share of differing bits of a match, and the least share of the shorter recording that the overlap covers, in percent.
+MOST_ERRORS, LEAST_OVERLAP = 0.15, 50
+#: Share of bits in which unrelated recordings differ, and the positions of an overlap from which MOST_ERRORS is far enough below it.
+UNRELATED, SURE_POSITIONS = 0.3, 40
+#: Positions between those of a key, and positions of a recording below which keys of two positions are added to those of three: short ones have few chances for a key without an error.
+STEP, SHORT = 2, 80
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -199,18 +201,29 @@ def signs(codes: np.ndarray) -> np.ndarray:
 
 
 def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of keys, and keys, of the integers of recordings one after another; row: the recording of each."""
-    s, n = signs(codes), max(0, len(codes) - 2 * STEP)
-    key = s[:n] << 32 | s[STEP : STEP + n] << 16 | s[2 * STEP : 2 * STEP + n]
-    still = int(signs(packed_integers(np.zeros((SPAN, 12), np.float32)))[0])
-    use = (row[:n] == row[2 * STEP : 2 * STEP + n]) & (key != (still << 32 | still << 16 | still))
-    use[1:] &= (key[1:] != key[:-1]) | (row[1:n] != row[: n - 1]) if n else True
-    at = np.flatnonzero(use)
-    return at, key[at]
+    """Places of keys, and keys, of the integers of recordings one after another; row: the recording of each, ascending."""
+    s, still = signs(codes), int(signs(packed_integers(np.zeros((SPAN, 12), np.float32)))[0])
+    lengths = np.bincount(row) if len(row) else np.zeros(0, np.int64)
+    places, keys = [], []
+    for taken, tag in ((3, 0), (2, 1 << 62)):
+        n, silence = max(0, len(codes) - (taken - 1) * STEP), 0
+        key = np.full(n, tag, np.int64)
+        for i in range(taken):
+            key |= s[i * STEP : i * STEP + n] << 16 * (taken - 1 - i)
+            silence |= still << 16 * (taken - 1 - i)
+        use = (row[:n] == row[(taken - 1) * STEP : (taken - 1) * STEP + n]) & (key != (silence | tag))
+        use[1:] &= (key[1:] != key[:-1]) | (row[1:n] != row[: n - 1]) if n else True
+        if tag:
+            use &= lengths[row[:n]] < SHORT
+        places.append(np.flatnonzero(use))
+        keys.append(key[places[-1]])
+    at = np.concatenate(places)
+    order = np.argsort(at, kind="stable")
+    return at[order], np.concatenate(keys)[order]
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """classes and keys array<long>, at array<int>: keys and their places; none of recordings that are too short."""
+    """classes and keys array<long>, at array<int>: keys and their places; none of recordings of fewer positions than a key has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,8 +234,6 @@ def keyed(classes: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 at, key = index_keys(prints.flatten().to_numpy(), row)
-                enough = lengths[row[at]] >= LEAST_POSITIONS
-                at, key = at[enough], key[enough]
                 offsets = pa.array(np.searchsorted(row[at], np.arange(len(lengths) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((key, pa.int64()), (within[at], pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "keys", "at"])
@@ -237,6 +248,11 @@ def postings(classes: DataFrame) -> DataFrame:
     return classes.where(F.size("keys") > 0).select("node", "asks", F.inline(entries))
 
 
+def allowed(overlap: Column) -> Column:
+    """Greatest share of errors of a match over an overlap of some positions: as many standard deviations below what unrelated recordings have as MOST_ERRORS is at SURE_POSITIONS, and MOST_ERRORS beyond. Negative, so never met, where that many lie below nothing."""
+    return F.least(F.lit(MOST_ERRORS), UNRELATED - (UNRELATED - MOST_ERRORS) * F.sqrt(F.lit(float(SURE_POSITIONS)) / F.greatest(overlap, F.lit(1))))
+
+
 def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str = "media", width: int = 1, rate: int = RATE) -> DataFrame:
     """Membership and matches. Each row of df: doc_id, class_id (least id with the same fingerprint), n_prints, error. Each match of a class with a
     query (`query` over doc_id) and another class, both by class_id: doc_id null, class_id, match_id, shift (position in match_id less
@@ -269,7 +285,7 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     differing = F.aggregate(F.zip_with(F.slice("prints_q", from_q + 1, overlap), F.slice("prints_m", from_m + 1, overlap), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
     null = lambda kind: F.lit(None).cast(kind)
     measured = pairs.select(null("long").alias("doc_id"), F.col("id_q").alias("class_id"), null("long").alias("n_prints"), null("string").alias("error"), F.col("id_m").alias("match_id"), F.col("shift").cast("long").alias("shift"), "hits", overlap.cast("long").alias("overlap"), (differing / (32.0 * overlap)).alias("errors"), F.least(F.size("prints_q"), F.size("prints_m")).alias("shorter"))
-    matched = measured.where((F.col("errors") <= MOST_ERRORS) & (100 * F.col("overlap") >= LEAST_OVERLAP * F.col("shorter")) & (F.col("overlap") >= LEAST_POSITIONS)).drop("shorter")
+    matched = measured.where((F.col("errors") <= allowed(F.col("overlap"))) & (100 * F.col("overlap") >= LEAST_OVERLAP * F.col("shorter"))).drop("shorter")
     nothing = [null(t).alias(c) for c, t in (("match_id", "long"), ("shift", "long"), ("hits", "long"), ("overlap", "long"), ("errors", "double"))]
     members = found.select("doc_id", "class_key", F.size("prints").cast("long").alias("n_prints"), "error").join(classes.select("class_key", "class_id"), "class_key", "left").select("doc_id", "class_id", "n_prints", "error", *nothing)
     return members.union(matched)
