@@ -396,6 +396,10 @@ def test_short_recordings_match(spark):
     df = spark.createDataFrame(list(media.items()), "doc_id long, media binary")
     prints = {r["doc_id"]: np.array(r["prints"], np.int32) for r in fingerprints(df, "doc_id", "media").collect()}
     assert max(map(len, prints.values())) < 40
+    classes = {}
+    for d in sorted(prints):
+        classes.setdefault(prints[d].tobytes(), d)
+    prints = {d: prints[d] for d in classes.values()}  # copies are one class
     want = all_matches(prints, [d for d in prints if d % 10 == 0])
     got = {frozenset((r["class_id"], r["match_id"])) for r in align(df, F.col("doc_id") % 10 == 0).where("match_id is not null").collect()}
     assert got <= want and len(want) >= 30 and len(got) >= 0.9 * len(want), (len(got), len(want))
