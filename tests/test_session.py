@@ -58,10 +58,10 @@ def test_handles(spark, png, tmp_path):
     s = Session(spark)
     a = s.open_image(png)
     assert s.image_info(a.id) == {"image_id": "img-1", "width": 60, "height": 40}
-    b = s.apply(a.id, "crop", x=10, y=5, width=20, height=10)
-    assert b.size == (20, 10) and s[a.id].size == (60, 40)
+    b = s.apply(a.id, "crop", x=10, y=5, width=23, height=10)
+    assert b.size == (23, 10) and s[a.id].size == (60, 40)
     out = s.export(b.id, str(tmp_path / "b.png"))
-    assert (decode_png((tmp_path / "b.png").read_bytes()) == gradient()[5:15, 10:30]).all() and out["bytes"] > 0
+    assert (decode_png((tmp_path / "b.png").read_bytes()) == gradient()[5:15, 10:33]).all() and out["bytes"] > 0
     padded = s.apply(a.id, "pad", all=8, color="white")
     assert s.trim(padded.id).size == (60, 40)
     with pytest.raises(SessionError, match="img-99"):
@@ -83,7 +83,7 @@ def test_handles(spark, png, tmp_path):
         with pytest.raises(CodecError):
             s.open_image(str(tmp_path / bad))
     view, stats = s.diff(a.id, b.id, "sxs")
-    assert view.size == (88, 40) and stats == {"fraction": None, "max": None}
+    assert view.size == (91, 40) and stats == {"fraction": None, "max": None}
     same = s.diff(a.id, a.id)[1]
     assert same == {"fraction": 0.0, "max": 0.0}
     s.export(a.id, str(tmp_path / "a.jpg"), 95)
