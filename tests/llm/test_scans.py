@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm.op1_secret_scan import op1_secret_scan, redact, scan
+from rasterloom.llm.op1_secret_scan import ENCODINGS, RATE, op1_secret_scan, randomness, redact, scan
 from rasterloom.llm.op5_stupid_backoff import op5_stupid_backoff, score
 from rasterloom.llm.op8_quality_outliers import CONSISTENCY, CUTOFF, INNER, INNER_CONSISTENCY, judge, op8_quality_outliers, robust_distance
 from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, MOST_ERRORS, SPAN, SURE_POSITIONS, TEXT_RATE, UNRELATED, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
@@ -95,7 +95,47 @@ def test_reported_strings_are_random(spark):
     rows = [(i, f"see {t} here", i >= 1500) for i, t in enumerate(names + random_ones)]
     got = {r["doc_id"] for r in scan(spark.createDataFrame(rows, "doc_id long, text string, secret boolean")).collect() if r["n_random"]}
     false = sum(i < 1500 for i in got)
-    assert len(got) - false >= 150 and false <= 0.12 * len(got), (len(got), false)
+    most = RATE + 3 * math.sqrt(RATE * (1 - RATE) / len(got))  # the rate that is promised, and the error of a sample
+    assert len(got) - false >= 150 and false <= most * len(got), (len(got), false)
+
+
+def battery(token, symbols):
+    """The three tests and Fisher's rule by the letter: (chi-squared, its degrees, joint p-value)."""
+    x = token.rstrip("=")
+    n, k, codes = len(x), len(symbols), [symbols.index(c) for c in x]
+    tail = lambda z: math.erfc(z / math.sqrt(2)) / 2
+    m = max(2, min(k, n // 5))
+    edges = [math.ceil(j * k / m) for j in range(m + 1)]
+    chi = sum((sum(a <= c < b for c in codes) - n * (b - a) / k) ** 2 / (n * (b - a) / k) for a, b in zip(edges, edges[1:]))
+    z = ((chi / (m - 1)) ** (1 / 3) - (1 - 2 / (9 * (m - 1)))) / math.sqrt(2 / (9 * (m - 1)))
+    kind = lambda c: 0 if c.isdigit() else 1 if c.isupper() else 2 if c.islower() else 3
+    share = [sum(kind(c) == i for c in symbols) / k for i in range(4)]
+    q, cubes = sum(s**2 for s in share), sum(s**3 for s in share)
+    changes = sum(kind(a) != kind(b) for a, b in zip(x, x[1:]))
+    z_runs = abs(changes - (n - 1) * (1 - q)) / math.sqrt((n - 1) * (1 - q) * q + 2 * (n - 2) * (cubes - q * q))
+    mean, variance = (k - 1) / 2, (k * k - 1) / 12
+    z_serial = abs(sum((a - mean) * (b - mean) for a, b in zip(codes, codes[1:]))) / (math.sqrt(n - 1) * variance)
+    tails = [min(1, max(1e-12, p)) for p in (tail(z), 2 * tail(z_runs), 2 * tail(z_serial))]
+    half = -sum(map(math.log, tails))
+    return chi, m - 1, math.exp(-half) * (1 + half + half * half / 2)
+
+
+def test_battery(spark):
+    """p-values of all encodings against a plain version, and their law: of random strings, a share of about p lies below p."""
+    rng, rows = random.Random(31), []
+    for name, (symbols, padded, needs) in ENCODINGS.items():
+        while sum(r[1] == name for r in rows) < 60:
+            n = rng.choice([20, 24, 33, 47, 64, 128])
+            token = "".join(rng.choice(symbols) for _ in range(n)) if rng.random() < 0.8 else "".join(rng.choice(symbols) * rng.randrange(1, 5) for _ in range(n // 2))
+            if all(re.search(x, token) for x in needs):
+                rows.append((token + "=" * (padded and rng.randrange(3)), name))
+    df = spark.createDataFrame(rows, "t string, e string")
+    for r in df.select("t", "e", randomness(F.col("t"), F.col("e")).alias("p")).collect():
+        want = battery(r.t, ENCODINGS[r.e][0])[2]
+        assert math.isclose(r.p, want, rel_tol=0.02, abs_tol=1e-6), (r.t, r.p, want)  # normal tails are good to 1e-7
+    draws = [battery("".join(rng.choice(string.digits + "abcdef") for _ in range(64)), string.digits + "abcdef")[2] for _ in range(3000)]
+    for p in (0.5, 0.2, 0.05):
+        assert abs(sum(d < p for d in draws) / 3000 - p) < 0.04
 
 
 def test_long_texts_take_time_in_proportion(spark):
