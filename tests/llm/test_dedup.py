@@ -6,7 +6,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from rasterloom.llm.op2_line_dedup import deduplicate, op2_line_dedup
+from rasterloom.llm import op2_line_dedup as op2
+from rasterloom.llm.op2_line_dedup import deduplicate, line_matches, op2_line_dedup
 from rasterloom.llm.op7_minmax_dedup import MinMax, components, keep_one, near_duplicates, odd_sketch, op7_minmax_dedup, shingle_set
 
 from helpers import line_oracle, near_groups
@@ -122,3 +123,19 @@ def test_line_dedup_odd_rows(odd, none_of):
     assert {r["clean"] for r in rows if r["doc_id"] == 9} == {"the same line of six words\n"}
     assert {r["clean"] for r in rows if r["doc_id"] is None} == {"no id here"}
     assert deduplicate(none_of).count() == 0
+
+
+def test_templates_do_not_meet(spark):
+    """Lines of a template with two changing words of twelve are all below the threshold and share ten words: what the join of unsettled classes makes grows with their number, not its square."""
+    join, made = op2._Join(75), []
+    for m in (500, 2000):
+        rows = spark.range(m).select(F.col("id").alias("node"), F.lit(12).alias("n"), F.array(F.concat(F.lit("id"), F.col("id")), F.concat(F.lit("time"), F.col("id")), F.lit("a"), F.lit("b")).alias("prefix"))
+        entries = rows.select("node", "n", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("s1"), F.lit(False).alias("settled"), F.posexplode("prefix").alias("at", "token"))
+        made.append(op2.unsettled(entries, join).count())
+    assert made == [0, 0]
+    texts = {i: "\n".join(f"user {i}-{k} has logged in at {i}:{k}:{i * k % 7} from the main front door" for k in range(40)) for i in range(30)}
+    texts[30] = "user 3-5 has logged in at 3:5:1 from the main front door"
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = line_oracle(texts)
+    got = {(r.r_doc, r.r_line) for r in line_matches(df).where("removed").collect()}
+    assert got == set(want)
