@@ -41,8 +41,10 @@ LOW, HIGH = 60.0, 3520.0
 MOST_ERRORS, LEAST_OVERLAP = 0.15, 50
 #: Share of bits in which unrelated recordings differ, and the positions of an overlap from which MOST_ERRORS is far enough below it.
 UNRELATED, SURE_POSITIONS = 0.3, 40
+#: Positions of the shortest overlap that may be a match: `allowed` is negative below.
+LEAST_POSITIONS = 10
 #: Positions between those of a key, and positions of a recording below which keys of two positions are added to those of three: short ones have few chances for a key without an error.
-STEP, SHORT = 2, 80
+STEP, SHORT = 2, 40
 
 
 def filters() -> list[tuple[int, int, int, int]]:
@@ -223,7 +225,7 @@ def index_keys(codes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def keyed(classes: DataFrame) -> DataFrame:
-    """classes and keys array<long>, at array<int>: keys and their places; none of recordings of fewer positions than a key has."""
+    """classes and keys array<long>, at array<int>: keys and their places; none of recordings in which no overlap is long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,6 +236,8 @@ def keyed(classes: DataFrame) -> DataFrame:
                 row = np.repeat(np.arange(len(lengths)), lengths)
                 within = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
                 at, key = index_keys(prints.flatten().to_numpy(), row)
+                enough = lengths[row[at]] >= LEAST_POSITIONS
+                at, key = at[enough], key[enough]
                 offsets = pa.array(np.searchsorted(row[at], np.arange(len(lengths) + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(x, t)) for x, t in ((key, pa.int64()), (within[at], pa.int32()))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *lists], [*part.schema.names, "keys", "at"])
@@ -242,10 +246,10 @@ def keyed(classes: DataFrame) -> DataFrame:
 
 
 def postings(classes: DataFrame) -> DataFrame:
-    """node long, asks boolean, key long, at int, before long (hash of the recording's key before it and of how far that is; null where there is none): a row per key."""
+    """node long, asks boolean, n int (positions), key long, at int, before long (hash of the recording's key before it and of how far that is; null where there is none): a row per key."""
     before = lambda i: F.when(i > 0, F.xxhash64(F.get("keys", i - 1), F.get("at", i) - F.get("at", i - 1)))
     entries = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("at", i).alias("at"), before(i).alias("before")))
-    return classes.where(F.size("keys") > 0).select("node", "asks", F.inline(entries))
+    return classes.where(F.size("keys") > 0).select("node", "asks", F.size("prints").alias("n"), F.inline(entries))
 
 
 def allowed(overlap: Column) -> Column:
@@ -263,9 +267,12 @@ def align(df: DataFrame, query: Column, id_col: str = "doc_id", media_col: str =
     classes = scratch.table("classes", keyed(classes.withColumn("node", F.monotonically_increasing_id())))
     scratch.drop()
     post = postings(classes)
-    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("at").alias("q_at"), F.col("before").alias("q_before"))
-    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before"), "key")
+    asked = post.where("asks").select("key", F.col("node").alias("q"), F.col("n").alias("q_n"), F.col("at").alias("q_at"), F.col("before").alias("q_before"))
+    met = asked.join(post.select("key", F.col("node").alias("m"), F.col("n").alias("m_n"), F.col("asks").alias("m_asks"), F.col("at").alias("m_at"), "before"), "key")
     met = met.where("q <> m and (not m_asks or q < m)")  # a pair of asking classes once
+    # Differences at which the two don't overlap far enough are left out at once.
+    common = F.least("q_at", "m_at") + F.least(F.col("q_n") - F.col("q_at"), F.col("m_n") - F.col("m_at"))
+    met = met.where((common >= LEAST_POSITIONS) & (100 * common >= LEAST_OVERLAP * F.least("q_n", "m_n")))
     starts = met.where(~F.coalesce(F.col("q_before") == F.col("before"), F.lit(False)))
     # No more differences than the two recordings have positions.
     candidates = scratch.table("candidates", starts.groupBy("q", "m").agg(F.collect_set(F.col("m_at") - F.col("q_at")).alias("shifts")))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from rasterloom.llm.op1_secret_scan import ENCODINGS, RATE, op1_secret_scan, randomness, redact, scan
 from rasterloom.llm.op5_stupid_backoff import op5_stupid_backoff, score
 from rasterloom.llm.op8_quality_outliers import CONSISTENCY, CUTOFF, INNER, INNER_CONSISTENCY, judge, op8_quality_outliers, robust_distance
-from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, MOST_ERRORS, SPAN, SURE_POSITIONS, TEXT_RATE, UNRELATED, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
+from rasterloom.llm.op9_chroma_fingerprint import LEAST_OVERLAP, LEAST_POSITIONS, MOST_ERRORS, SPAN, SURE_POSITIONS, TEXT_RATE, UNRELATED, align, chroma, chroma_matrix, filters, fingerprints, frame_of, op9_chroma_fingerprint, packed_integers, samples
 from rasterloom.llm.op10_language_id import fit, in_fold, op10_language_id, predict, predict_rows, sample
 
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -436,6 +436,7 @@ def test_short_recordings_match(spark):
     df = spark.createDataFrame(list(media.items()), "doc_id long, media binary")
     prints = {r["doc_id"]: np.array(r["prints"], np.int32) for r in fingerprints(df, "doc_id", "media").collect()}
     assert max(map(len, prints.values())) < 40
+    assert LEAST_POSITIONS == math.ceil(SURE_POSITIONS * ((UNRELATED - MOST_ERRORS) / UNRELATED) ** 2)
     classes = {}
     for d in sorted(prints):
         classes.setdefault(prints[d].tobytes(), d)
