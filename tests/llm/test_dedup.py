@@ -139,3 +139,14 @@ def test_templates_do_not_meet(spark):
     want = line_oracle(texts)
     got = {(r.r_doc, r.r_line) for r in line_matches(df).where("removed").collect()}
     assert got == set(want)
+
+
+def test_words_are_joined_in_parts(spark, monkeypatch):
+    """Entries of one part of the words are dealt out at a time: no join holds most of them, and together they are all."""
+    held, join = [], op2.unsettled
+    monkeypatch.setattr(op2, "unsettled", lambda entries, j: held.append({tuple(r) for r in entries.select("node", "token").collect()}) or join(entries, j))
+    texts = {i: "\n".join(" ".join(f"w{(7 * i + k * k + j) % 90}" for j in range(8)) for k in range(6)) for i in range(30)}
+    got = {(r.r_doc, r.r_line) for r in line_matches(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).where("removed").collect()}
+    assert got == set(line_oracle(texts))
+    together = set().union(*held)
+    assert sum(map(len, held)) == len(together) > 100 and max(map(len, held)) < len(together) / 2
