@@ -21,7 +21,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +37,11 @@ _MASK, _HEAD, _PAYLOAD = 0xA282EAD8, struct.Struct("<QI"), struct.Struct("<BBq")
 _INDEX = [("offset", "<u8"), ("doc_id", "<i8")]
 
 _INNER_SPACE = re.compile(r"[\s\x1c-\x1f\x85]")
+#: A word of Latin letters, a space or line feed before it and ASCII marks after it (but apostrophes), and how a byte-level tokenizer that parts these splits such a text.
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+_MARKED = re.compile(rf"([ \n]?)([{_LATIN}]+)([!-&(-/:-@\[-`{{-~]*)")
+_SPACE, _FEED = "Ġ", "Ċ"
+_PROBE, _PROBE_PARTS = " ab.,;:!? Ab! a$_~\nC,\nd", [f"{_SPACE}ab", ".,;:!?", f"{_SPACE}Ab", "!", f"{_SPACE}a", "$_~", _FEED, "C", ",", _FEED, "d"]
 
 
 def masked(data: bytes) -> int:
@@ -74,14 +79,15 @@ def encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Chunks:
     t = Tokenizer.from_file(tokenizer_path)
     t.no_padding(), t.no_truncation()
     feed = t.encode("\n", add_special_tokens=False).ids
-    added = re.compile("|".join(re.escape(x.content) for x in t.get_added_tokens_decoder().values()) or r"(?!)")
+    special = [x.content for x in t.get_added_tokens_decoder().values()]
+    unfit = re.compile("|".join([_INNER_SPACE.pattern, *map(re.escape, special)]))
 
     def each(texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for s in range(0, len(texts), 10_000) for e in t.encode_batch_fast(texts[s : s + 10_000], add_special_tokens=False)]
 
-    def encode(chunks: list[str]) -> list[bytes]:
+    def encode_pieces(chunks: list[str]) -> list[bytes]:
         """Pieces without white space but a leading space, and without the string of an added token, go many to a text, a line each: no token spans a line feed, so its id parts them."""
-        plain = [i for i, x in enumerate(chunks) if len(feed) == 1 and x and (x[0] == " " or not x[0].isspace()) and not _INNER_SPACE.search(x, 1) and not added.search(x)]
+        plain = [i for i, x in enumerate(chunks) if len(feed) == 1 and x and (x[0] == " " or not x[0].isspace()) and not unfit.search(x, x[0] == " ")]
         out = [b""] * len(chunks)
         lines = [[chunks[i] for i in plain[s : s + 200]] for s in range(0, len(plain), 200)]
         at = 0
@@ -95,6 +101,36 @@ def encoder(tokenizer_path: str, remembered: int = REMEMBERED) -> Chunks:
             out[i] = ids.tobytes()
         return out
 
+    tokenize = t.model.tokenize
+
+    def packed(pretoken: str) -> bytes:
+        ids = [x.id for x in tokenize(pretoken)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    of_marks = lru_cache(1000)(packed)
+    spelled = lambda text: [x for x, _ in t.pre_tokenizer.pre_tokenize_str(text)]
+    plainly = t.normalizer is None and t.pre_tokenizer is not None and spelled(_PROBE) == _PROBE_PARTS
+    # No added token is all of letters before marks, so none is in such a piece.
+    plainly = plainly and not any(re.fullmatch(rf"[ \n]?[{_LATIN}]*[^\w\s]*_*[^\w\s]*", x) for x in special)
+    if not plainly:
+        return Chunks(encode_pieces, remembered)
+    letters = {i: spelled(chr(i))[0] for i in range(0xC0, 0x100) if chr(i).isalpha()}
+
+    def encode(chunks: list[str]) -> list[bytes]:
+        """A word of letters, and marks after it, are pretokens as they are, so the library's model is asked for them at once, without its search for pretokens."""
+        out, others = [b""] * len(chunks), []
+        for i, x in enumerate(chunks):
+            if m := _MARKED.fullmatch(x):
+                before, word, marks = m.groups()
+                word = word if word.isascii() else word.translate(letters)
+                ids = packed(_SPACE + word) if before == " " else of_marks(_FEED) + packed(word) if before else packed(word)
+                out[i] = ids + of_marks(marks) if marks else ids
+            else:
+                others.append(i)
+        for i, ids in zip(others, encode_pieces([chunks[i] for i in others])):
+            out[i] = ids
+        return out
+
     return Chunks(encode, remembered)
 
 

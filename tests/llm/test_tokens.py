@@ -219,3 +219,36 @@ def test_packing_odd_rows(odd, none_of, library_ids):
     check_packing(rows, {10: library_ids(next(r["text"] for r in odd.collect() if r["doc_id"] == 10)) + [2]})
     assert sum(r["length"] for r in rows) == sum(len(library_ids(r["text"])) + 1 for r in odd.collect())
     assert pack_documents(none_of, TOKENIZER).count() == 0
+
+
+def test_plain_words_go_to_the_model(monkeypatch):
+    """Words of letters with marks are not searched for pretokens, and get the ids that the library gives for them in a text."""
+    import public_tokenizers
+    import tokenizers
+
+    from rasterloom.llm.op4_token_records import encoder
+
+    path, searched = public_tokenizers.path("byte_bpe_50k.json"), []
+    whole = tokenizers.Tokenizer.from_file(path)
+
+    class Watched:
+        def __init__(self):
+            self.of = tokenizers.Tokenizer.from_file(path)
+
+        def __getattr__(self, name):
+            return getattr(self.of, name)
+
+        def encode_batch_fast(self, texts, **how):
+            searched.extend(texts)
+            return self.of.encode_batch_fast(texts, **how)
+
+    plain = [" word", " Wörter,", "Straße", "\nÀ!?", " a$$$", " it_", " END!!", " naïveté..."]
+    odd = [" <b", " it's", " a'", " x1", " 12", " 日本語", "\n\n", " ", "<|endoftext|>", " a<|endoftext|>", " é", " ét", "a\x85b", " ×", " ªº"]
+    with monkeypatch.context() as m:
+        m.setattr(tokenizers, "Tokenizer", type("T", (), {"from_file": staticmethod(lambda _, made=Watched(): made)}))
+        made = encoder.__wrapped__(path)
+    ids = lambda x: np.array(whole.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+    assert made.encode_chunks(plain + odd) == [ids(x) for x in plain + odd]
+    assert not any(x in text.split("\n") for text in searched for x in plain)
+    texts = ["".join(plain) + "".join(odd), " ".join(plain), "\n".join(x.strip() for x in plain)]
+    assert made.encode(texts) == [ids(x) for x in texts]
